@@ -82,17 +82,26 @@ def required_defaults(spark, sf):
                          records.if_else(F.col("p_size") > 25, "large", "small").alias("bulk"))
 
 
-@query("c5_url_inventory", """SELECT page_id, unnest(regexp_extract_all(html, '(^|[^(])(http://\\S+)', 2)) AS url FROM pages""")
+PAGE = "(SELECT page_id, '[link](' || url || ') see ' || url || ' in ' || html AS body FROM pages)"
+
+
+def page_text(spark, sf):
+    """The page with its address in front, once as a markdown link and once bare."""
+    body = F.concat(F.lit("[link]("), "url", F.lit(") see "), "url", F.lit(" in "), "html")
+    return table(spark, sf, "pages").select("page_id", body.alias("body"))
+
+
+@query("c5_url_inventory", f"""SELECT page_id, unnest(regexp_extract_all(body, '(^|[^(])(http://\\S+)', 2)) AS url FROM {PAGE}""")
 def url_inventory(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.explode(text.urls(F.col("html"))).alias("url"))
+    return page_text(spark, sf).select("page_id", F.explode(text.urls(F.col("body"))).alias("url"))
 
 
-@query("c5_escape_markup", """SELECT page_id, md5(regexp_replace(replace(html, '<', '&lt;'), '(^|[^(])(http://\\S+)', '\\1<\\2>', 'g')) AS escaped,
-    md5(regexp_replace(html, 'class="(\\w+)"', 'class=x', 'g')) AS replaced, regexp_extract_all(html, 'class="(\\w+)"', 1)[-1] AS last_class FROM pages""")
+@query("c5_escape_markup", f"""SELECT page_id, md5(regexp_replace(replace(body, '<', '&lt;'), '(^|[^(])(http://\\S+)', '\\1<\\2>', 'g')) AS escaped,
+    md5(regexp_replace(body, 'class="(\\w+)"', 'class=x', 'g')) AS replaced, regexp_extract_all(body, 'class="(\\w+)"', 1)[-1] AS last_class FROM {PAGE}""")
 def escape_markup(spark, sf):
-    replaced, last = text.replace_and_last(F.col("html"), r'class="(\w+)"', "class=x")
-    return table(spark, sf, "pages").select("page_id", F.md5(text.escape_markup(F.col("html"))).alias("escaped"),
-                                            F.md5(replaced).alias("replaced"), F.get(last, F.lit(0)).alias("last_class"))
+    replaced, last = text.replace_and_last(F.col("body"), r'class="(\w+)"', "class=x")
+    return page_text(spark, sf).select("page_id", F.md5(text.escape_markup(F.col("body"))).alias("escaped"),
+                                       F.md5(replaced).alias("replaced"), F.get(last, F.lit(0)).alias("last_class"))
 
 
 @query("c6_json_rows", """SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k, 'none' AS absent,
