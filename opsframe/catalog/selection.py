@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from opsframe.catalog.base import Shop, query, table
 from opsframe.operators import paging
 from opsframe.plans import predicates as P
+from opsframe.plans.ordered import number_rows
 from opsframe.plans.model import field_tree, join_path_columns, select_lookups
 
 DAY = dt.date(1998, 8, 1)
@@ -177,14 +178,11 @@ def row_ownership(spark, sf):
 
 # --- ordering and paging -------------------------------------------------------------------------
 
-@query("l1_order", """SELECT c_custkey, c_nationkey, c_acctbal,
-    row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC NULLS LAST, c_custkey) AS place FROM customer""")
+@query("l1_order", """SELECT c_custkey, c_nationkey, c_acctbal, row_number() OVER (ORDER BY c_nationkey, c_acctbal DESC, c_custkey) - 1 AS place FROM customer""")
 def order_rows(spark, sf):
-    from pyspark.sql import Window
     customer = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
-    by = P.order_columns(customer, ["-c_acctbal", "not_a_column", "c_custkey"])
-    place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy(*by)).cast("long")
-    return paging.ordered(customer.withColumn("place", place), ["c_nationkey", "place"])
+    by = P.order_columns(customer, ["c_nationkey", "-c_acctbal", "not_a_column", "c_custkey"])
+    return number_rows(customer, by, "place").orderBy("place")
 
 
 @query("l2_limit_offset", "SELECT * FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 25 OFFSET 100")
@@ -199,10 +197,8 @@ def one_page(spark, sf):
 
 @query("l3_deep_page", "SELECT * FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 50 OFFSET 1000")
 def deep_page(spark, sf):
-    from opsframe.plans.ordered import number_rows
-    order = [F.col("l_extendedprice").desc(), *[F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]]
-    numbered = number_rows(table(spark, sf, "lineitem"), order, "_at")
-    return numbered.filter("_at >= 1000 AND _at < 1050").drop("_at")
+    order = ["-l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return paging.deep_slice(table(spark, sf, "lineitem"), order, 1000, 50)
 
 
 @query("l3_page_info", """SELECT 'orders' AS model, CAST(3 AS BIGINT) AS page, CAST(2 AS BIGINT) AS previous,
@@ -219,7 +215,7 @@ def top_rows(spark, sf):
 
 @query("l5_nth_row", "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1 OFFSET 9")
 def nth(spark, sf):
-    return paging.nth_row(table(spark, sf, "orders"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], 9)
+    return paging.nth_row(table(spark, sf, "orders"), ["-o_totalprice", "o_orderkey"], 9)
 
 
 @query("l5_nth_item", """SELECT p_partkey, coalesce(string_split(p_name, ' ')[2], 'none') AS second,

@@ -40,9 +40,9 @@ def by_count(counts: DataFrame, value: str) -> DataFrame:
 
 # --- sequences -----------------------------------------------------------------------------------
 
-def batches(df: DataFrame, order: list, size: int, items: list[str]) -> DataFrame:
+def batches(df: DataFrame, order: list[str], size: int, items: list[str]) -> DataFrame:
     """Consecutive groups of `size` rows, the last one short: (batch, items). Arrays are bounded by `size`."""
-    numbered = number_rows(df, order, "_at")
+    numbered = number_rows(df.select(*dict.fromkeys([*order, *items])), order, "_at")
     packed = numbered.groupBy(F.floor(F.col("_at") / size).alias("batch")).agg(
         F.sort_array(F.collect_list(F.struct("_at", *items))).alias("_rows"))
     return packed.select("batch", F.transform("_rows", lambda r: F.struct(*[r[i].alias(i) for i in items])).alias("items"))
@@ -92,7 +92,7 @@ def in_parts(df: DataFrame, group: list[str], order: list[str], size: int, items
     The rows are numbered in (group, order) over range partitions, so a large group is never
     collected in one task.
     """
-    numbered = number_rows(df, [*group, *order], "_at")
+    numbered = number_rows(df.select(*dict.fromkeys([*group, *order, *items])), [*group, *order], "_at")
     starts = numbered.groupBy(*group).agg(F.min("_at").alias("_first"))
     rows = numbered.join(starts, group).withColumn("part", F.floor((F.col("_at") - F.col("_first")) / size))
     packed = rows.groupBy(*group, "part").agg(F.sort_array(F.collect_list(F.struct("_at", *items))).alias("_rows"))

@@ -63,8 +63,8 @@ def related_choices(related: DataFrame, key: str, label: str, nullable: bool, te
                     page_no: int = 1, size: int = 15) -> DataFrame:
     """(id, repr) choices by label, optionally containing `text`; a None choice on top when nullable."""
     found = related.filter(F.col(label).ilike(f"%{text}%")) if text else related
-    rows = slice_rows(found.select(F.col(key).cast("string").alias("id"), F.col(label).cast("string").alias("repr"),
-                                   F.col(key).alias("_k")), [F.col("repr"), F.col("_k")], (max(page_no, 1) - 1) * size, size)
+    shown = found.select(F.col(key).cast("string").alias("id"), F.col(label).cast("string").alias("repr"), F.col(key).alias("_k"))
+    rows = slice_rows(shown, ["repr", "_k"], (max(page_no, 1) - 1) * size, size)
     rows = rows.select(F.lit(1).alias("rank"), "id", "repr")
     if nullable:
         none = related.sparkSession.range(1).select(F.lit(0).alias("rank"), F.lit("__None").alias("id"), F.lit("None").alias("repr"))

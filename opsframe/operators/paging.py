@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsframe.plans.ordered import number_rows
+from opsframe.plans.ordered import join_null_safe, number_rows
 from opsframe.plans.predicates import order_columns
 
 DEEP = 100_000
@@ -17,16 +17,27 @@ def ordered(df: DataFrame, order, key: str | None = None) -> DataFrame:
     return df.orderBy(*by, *([F.col(key)] if key else []))
 
 
-def slice_rows(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
-    """Rows offset .. offset + limit in order.
+def slice_rows(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
+    """Rows offset .. offset + limit in a total order given as `col` / `-col`.
 
-    Shallow slices are a distributed top-k. A top-k keeps offset + limit rows per task, so deep
-    slices number the rows (range partitioned) and filter on the number instead.
+    Shallow slices are a distributed top-k. A top-k keeps offset + limit rows per task, so deep slices
+    go another way, see `deep_slice`.
     """
     if offset + limit <= DEEP:
-        return df.orderBy(*order).offset(offset).limit(limit)
-    numbered = number_rows(df, order, "_at")
-    return numbered.filter((F.col("_at") >= offset) & (F.col("_at") < offset + limit)).orderBy("_at").drop("_at")
+        return df.orderBy(*order_columns(df, order)).offset(offset).limit(limit)
+    return deep_slice(df, order, offset, limit)
+
+
+def deep_slice(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
+    """Number the order keys alone, over range partitions, and fetch the rows of the slice by key.
+
+    At most `limit` keys remain after the filter; they are broadcast when that is a small number.
+    """
+    names = [o.lstrip("-") for o in order]
+    numbered = number_rows(df.select(*names), order_columns(df, order), "_at")
+    keys = numbered.filter((F.col("_at") >= offset) & (F.col("_at") < offset + limit))
+    small = F.broadcast(keys) if limit <= DEEP else keys
+    return join_null_safe(df, small, names, "inner").orderBy("_at").drop("_at")
 
 
 def page_number(text) -> int:
@@ -46,7 +57,8 @@ def page_size(requested, maximum: int) -> int:
 def page(df: DataFrame, order, key: str, page_text=None, requested=None, maximum: int = 20) -> DataFrame:
     """One page. Page 0 is page 1; a page past the end is empty."""
     size = page_size(requested, maximum)
-    by = [*order_columns(df, order), F.col(key)]
+    asked = [o for o in ([order] if isinstance(order, str) else order) if o.lstrip("-") in df.columns]
+    by = asked if key in [o.lstrip("-") for o in asked] else [*asked, key]
     return slice_rows(df, by, max(page_number(page_text) - 1, 0) * size, size)
 
 
@@ -65,7 +77,7 @@ def top(df: DataFrame, order, k: int = 20, key: str | None = None) -> DataFrame:
     return ordered(df, order, key).limit(k)
 
 
-def nth_row(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+def nth_row(df: DataFrame, order: list[str], n: int) -> DataFrame:
     return slice_rows(df, order, n, 1)
 
 

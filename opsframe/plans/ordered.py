@@ -61,27 +61,34 @@ def _slot(pos: Column) -> Column:
     return F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.coalesce(inside, F.lit(1))).cast("long")
 
 
-def with_chunks(df: DataFrame, keys: list[str], order: list[str], rows_per_task: int) -> DataFrame:
-    """Add `_chunk`, which is 0 for cold keys and grows with the order within a hot key.
+def with_chunks(df: DataFrame, keys: list[str], order: list[str], rows_per_task: int) -> tuple[DataFrame, bool]:
+    """Add `_chunk`, which is 0 for cold keys and grows with the order within a hot key; and whether any key is hot.
 
-    Equal-width parts first; parts that are still too large (bursts) are cut once more by their own
-    span. The chunk depends on row values only, so a retried task computes the same one.
+    One aggregate over the key and time columns finds the hot keys. Without any, the rows are left as
+    they are. Otherwise: equal-width parts first, and parts that are still too large (bursts) once more
+    by their own span. The chunk depends on row values only, so a retried task computes the same one.
     """
     pos = position(df, order[0])
-    hot = _cut_points(df, keys, pos, rows_per_task)
+    hot = cut(_cut_points(df, keys, pos, rows_per_task))
+    if hot.isEmpty():
+        return df.withColumn(_CHUNK, F.lit(0).cast("long")), False
     coarse = join_null_safe(df, F.broadcast(hot), keys, "left").withColumn("_c1", _slot(pos))
     coarse = coarse.drop("_lo", "_hi", "_parts")
-    burst = _cut_points(coarse.filter("_c1 > 0"), [*keys, "_c1"], pos, rows_per_task)
+    burst = cut(_cut_points(coarse.filter("_c1 > 0"), [*keys, "_c1"], pos, rows_per_task))
     fine = join_null_safe(coarse, F.broadcast(burst), [*keys, "_c1"], "left").withColumn("_c2", _slot(pos))
-    return fine.withColumn(_CHUNK, F.col("_c1") * _FINE + F.col("_c2")).drop("_c1", "_c2", "_lo", "_hi", "_parts")
+    return fine.withColumn(_CHUNK, F.col("_c1") * _FINE + F.col("_c2")).drop("_c1", "_c2", "_lo", "_hi", "_parts"), True
 
 
 class Timeline:
-    """Rows of each key in order. `order` must be total within a key; its first column a number or time."""
+    """Rows of each key in order. `order` must be total within a key; its first column a number or time.
+
+    Making one runs a job that looks for hot keys. The rows are read again by every later action, so
+    `cut` or write them first where they are expensive to compute.
+    """
 
     def __init__(self, df: DataFrame, keys: list[str], order: list[str], rows_per_task: int = ROWS_PER_TASK):
         self.keys, self.order = list(keys), list(order)
-        self._rows = with_chunks(df, self.keys, self.order, rows_per_task)
+        self._rows, self._hot = with_chunks(df, self.keys, self.order, rows_per_task)
 
     @property
     def frame(self) -> DataFrame:
@@ -90,7 +97,7 @@ class Timeline:
     def map(self, fn) -> Timeline:
         """Apply a narrow DataFrame -> DataFrame function that keeps keys, order columns and chunks."""
         other = object.__new__(Timeline)
-        other.keys, other.order, other._rows = self.keys, self.order, fn(self._rows)
+        other.keys, other.order, other._rows, other._hot = self.keys, self.order, fn(self._rows), self._hot
         return other
 
     def scan(self, previous: dict[str, Column] | None = None, running: dict[str, Column] | None = None,
@@ -102,6 +109,8 @@ class Timeline:
         known:    last non-null value up to and including this row
         """
         previous, running, known = previous or {}, running or {}, known or {}
+        if not self._hot:
+            return self._scan_whole(previous, running, known)
         here = Window.partitionBy(*self.keys, _CHUNK).orderBy(*self.order)
         upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         at = F.struct(*self.order)
@@ -139,6 +148,16 @@ class Timeline:
         return self.map(lambda _: result)
 
 
+    def _scan_whole(self, previous: dict, running: dict, known: dict) -> Timeline:
+        """The same columns by plain windows, when no key is hot."""
+        here = Window.partitionBy(*self.keys).orderBy(*self.order)
+        upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = {n: F.lag(c).over(here) for n, c in previous.items()}
+        out |= {n: F.sum(c).over(upto) for n, c in running.items()}
+        out |= {n: F.last(c, ignorenulls=True).over(upto) for n, c in known.items()}
+        return self.map(lambda df: df.withColumns(out))
+
+
 def number_rows(df: DataFrame, order: list, name: str = "row_no", start: int | Column = 0) -> DataFrame:
     """Consecutive numbers from `start` in the given total order.
 

@@ -6,6 +6,8 @@ key on one timeline and drops them from the output.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,47 +77,98 @@ LINK = ["src", "dst"]
 AT = ["ts", "seq"]
 
 
-def _expiries(rows: DataFrame, timeout: float, losses: int, rows_per_task: int) -> DataFrame:
-    """First probe after each sighting that finds its link silent: (src, dst, seen, ts, seq)."""
+def _link_flags(rows: DataFrame, timeout: float, losses: int, rows_per_task: int) -> DataFrame:
+    """Rows that can change a link's state, with code = side of the pair + 2 * (0 seen, 1 lost, 2 lost and silent).
+
+    rows: (src, dst, ts, seq, kind, n) with kind `seen` or `probe` (n probes sent). When a link was last
+    seen and how many probes it left unanswered since do not depend on its state, so two scans give them.
+    """
     probe, seen = F.col("kind") == "probe", F.col("kind") == "seen"
-    here = F.struct(*AT)
-    line = Timeline(rows, LINK, AT, rows_per_task).scan(
-        running={"_probes": F.when(probe, F.col("n")).otherwise(F.lit(0))},
-        known={"_seen": F.when(seen, here), "_aged": F.when(F.col("kind") == "aged", here)})
+    line = Timeline(rows, LINK, AT, rows_per_task).scan(running={"_probes": F.when(probe, F.col("n")).otherwise(F.lit(0))},
+                                                        known={"_seen": F.when(seen, F.col("ts"))})
     line = line.scan(known={"_base": F.when(seen, F.col("_probes"))}).frame
-    silent = F.timestamp_diff("MICROSECOND", F.col("_seen.ts"), F.col("ts")) > int(timeout * 1_000_000)
-    aged = F.coalesce(F.col("_aged") > F.col("_seen"), F.lit(False))
-    lost = F.col("_probes") - F.col("_base") > losses
-    due = line.filter(probe & F.col("_seen").isNotNull() & lost & (silent | aged))
-    return due.groupBy(*LINK, F.col("_seen").alias("seen")).agg(F.min(here).alias("_at")).select(*LINK, "seen", "_at.ts", "_at.seq")
-
-
-def link_deletions(rows: DataFrame, timeout: float = LINK_TIMEOUT, losses: int = LOST_PROBES,
-                   rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Links removed for silence: (src, dst, seen, ts, seq).
-
-    rows: (src, dst, ts, seq, kind, n) with kind `seen` or `probe` (n probes sent). A removed link ages
-    its reverse, so that the reverse goes at its next probe that has enough losses, unless it was seen
-    since. An aged removal may age again, so the pass repeats until nothing changes; a removal depends
-    only on earlier ones, so every pass settles at least the earliest open removal.
+    silent = F.timestamp_diff("MICROSECOND", F.col("_seen"), F.col("ts")) > int(timeout * 1_000_000)
+    lost = probe & (F.col("_probes") - F.col("_base") > losses)
+    what = F.when(seen, 0).when(lost & silent, 2).when(lost, 1)
+    side = F.when(F.col("src") > F.col("dst"), 1).otherwise(0)
+    kept = line.withColumns({"code": side + 2 * what, "lo": F.least(*LINK), "hi": F.greatest(*LINK)})
+    return kept.filter("code IS NOT NULL").drop("_probes", "_base", "_seen")
+
+
+def _moves() -> tuple[np.ndarray, np.ndarray]:
+    """Next state and event by (code, state); a pair's state is 3 * side 0 + side 1, each 0 gone, 1 live, 2 aged."""
+    following, event = np.zeros((6, 9), dtype=np.int8), np.zeros((6, 9), dtype=np.int8)
+    for code in range(6):
+        for state in range(9):
+            ends, side, what = [state // 3, state % 3], code % 2, code // 2
+            if what == 0:
+                event[code, state] = 1 if ends[side] == 0 else 0
+                ends[side] = 1
+            elif ends[side] == 2 or (ends[side] == 1 and what == 2):
+                event[code, state], ends[side] = 2, 0
+                ends[1 - side] = 2 if ends[1 - side] else 0
+            following[code, state] = 3 * ends[0] + ends[1]
+    return following, event
+
+
+NEXT_STATE, STATE_EVENT = _moves()
+
+
+def _chunk_ends(rows: pd.DataFrame) -> pd.DataFrame:
+    """The state after the chunk for each of the nine states before it."""
+    ends = np.arange(9)
+    for code in rows.sort_values(AT)["code"].to_numpy():
+        ends = NEXT_STATE[code][ends]
+    return rows[["lo", "hi", "_chunk"]].head(1).assign(ends=[ends.astype("int32").tolist()])
+
+
+def _chunk_starts(chunks: pd.DataFrame) -> pd.DataFrame:
+    """Thread a pair's first state through its chunks; one row per chunk."""
+    chunks = chunks.sort_values("_chunk")
+    state, starts = int(chunks["state"].iloc[0]), []
+    for ends in chunks["ends"]:
+        starts.append(state)
+        state = int(ends[state])
+    return chunks[["lo", "hi", "_chunk"]].assign(start=np.array(starts, dtype="int32"))
+
+
+def _chunk_events(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values(AT)
+    state, events = int(rows["start"].iloc[0]), []
+    for code in rows["code"].to_numpy():
+        events.append(STATE_EVENT[code, state])
+        state = NEXT_STATE[code, state]
+    rows = rows.assign(event=np.array(["", "add", "delete"])[events])
+    return rows.loc[rows["event"] != "", [*LINK, *AT, "event"]]
+
+
+def link_events(rows: DataFrame, timeout: float = LINK_TIMEOUT, losses: int = LOST_PROBES, rows_per_task: int = 500_000,
+                before: DataFrame | None = None) -> DataFrame:
+    """(src, dst, ts, seq, event): `add` when a link is seen first or again, `delete` when it is removed.
+
+    A link goes at a probe that finds too many losses and either the time limit passed or the link
+    aged; a removed link ages its live reverse. So the links of a pair form a machine of nine states.
+    A hot pair is cut into chunks: each is run from all nine states, the small results are threaded
+    to give every chunk its true first state, and the chunks then run on their own.
+
+    `before` gives the first state of pairs: (lo, hi, state). Rows with `replay` set only count as past.
     """
-    gone = cut(_expiries(rows, timeout, losses, rows_per_task))
-    while True:
-        marks = gone.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "ts", "seq", F.lit("aged").alias("kind"), F.lit(0).cast("long").alias("n"))
-        again = cut(_expiries(rows.unionByName(marks), timeout, losses, rows_per_task))
-        if again.exceptAll(gone).isEmpty() and gone.exceptAll(again).isEmpty():
-            return again
-        gone = again
-
-
-def link_events(rows: DataFrame, deletions: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """`add` when a link is seen first or again after its removal, `delete` when it is removed."""
-    sights = rows.filter("kind = 'seen'").select(*LINK, *AT)
-    line = Timeline(sights, LINK, AT, rows_per_task).scan(previous={"_last": F.struct(*AT)}).frame
-    ended = deletions.select(*LINK, F.col("seen").alias("_last"), F.lit(True).alias("_ended"))
-    added = join_null_safe(line, ended, [*LINK, "_last"], "left").filter(F.col("_last").isNull() | F.col("_ended"))
-    return added.select(*LINK, *AT, F.lit("add").alias("event")).unionByName(
-        deletions.select(*LINK, *AT, F.lit("delete").alias("event")))
+    flags = _link_flags(rows, timeout, losses, rows_per_task)
+    if "replay" in rows.columns:
+        flags = flags.filter("NOT replay").drop("replay")
+    flags = cut(flags.select("lo", "hi", *LINK, *AT, "code"))
+    kept = Timeline(flags, ["lo", "hi"], AT, rows_per_task)._rows
+    spark = rows.sparkSession
+    if before is None:
+        before = spark.createDataFrame([], kept.select("lo", "hi").schema).withColumn("state", F.lit(0))
+    key = "lo {0}, hi {0}".format(kept.schema["lo"].dataType.simpleString())
+    hot = kept.filter("_chunk > 0").groupBy("lo", "hi", "_chunk").applyInPandas(_chunk_ends, f"{key}, _chunk bigint, ends array<int>")
+    first = hot.join(before, ["lo", "hi"], "left").fillna(0, ["state"])
+    starts = first.groupBy("lo", "hi").applyInPandas(_chunk_starts, f"{key}, _chunk bigint, start int")
+    ready = kept.join(starts, ["lo", "hi", "_chunk"], "left").join(before, ["lo", "hi"], "left")
+    ready = ready.withColumn("start", F.coalesce("start", "state", F.lit(0))).drop("state")
+    out = ready.select(*LINK, *AT).schema.add("event", "string")
+    return ready.groupBy("lo", "hi", "_chunk").applyInPandas(_chunk_events, out)
 
 
 def expired_now(rows: DataFrame, now: Column, timeout: float = LINK_TIMEOUT, losses: int = LOST_PROBES) -> DataFrame:
@@ -132,30 +185,46 @@ def expired_now(rows: DataFrame, now: Column, timeout: float = LINK_TIMEOUT, los
     return both.select(*LINK, F.col("_seen.ts").alias("last_seen"), "unanswered", action.alias("action"))
 
 
-def liveness_step(timeout: float = LINK_TIMEOUT, losses: int = LOST_PROBES, rows_per_task: int = ROWS_PER_TASK):
+def liveness_step(timeout: float = LINK_TIMEOUT, losses: int = LOST_PROBES, rows_per_task: int = 500_000):
     """Streaming form of `link_events`.
 
-    The state replays a link's past in at most three rows: when it was last seen, when it was last
-    aged, and how many probes it has not answered since. A removed link leaves no rows.
+    The state has one row per live link: when it was last seen, the probes it has not answered since,
+    and whether it is aged. It is replayed as a sighting and a probe row in front of the batch.
     """
+    columns = [*LINK, *AT, "kind", "n"]
+
     def step(batch: DataFrame, prior: DataFrame | None):
-        batch = batch.select(*LINK, *AT, "kind", "n")
-        rows = cut(with_prior(batch, prior))
-        plain = rows.drop("_old")
-        gone = link_deletions(plain.filter("kind <> 'aged'") if prior is None else plain, timeout, losses, rows_per_task)
-        known = rows.filter("_old AND kind = 'seen'").select(*LINK, *AT)
-        events = link_events(plain, gone, rows_per_task)
-        events = events.join(known.withColumn("event", F.lit("add")), [*LINK, *AT, "event"], "left_anti")
-
-        last = plain.filter("kind = 'seen'").groupBy(*LINK).agg(F.max(F.struct(*AT)).alias("_seen"))
-        ended = gone.select(*LINK, F.col("seen").alias("_seen"))
-        live = last.join(ended, [*LINK, "_seen"], "left_anti")
-        marks = gone.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *AT, F.lit("aged").alias("kind"), F.lit(0).cast("long").alias("n"))
-        after = plain.filter("kind <> 'seen'").unionByName(marks).join(live, LINK).filter(F.struct(*AT) > F.col("_seen"))
-        rest = after.groupBy(*LINK, "kind").agg(F.max(F.struct(*AT)).alias("_at"), F.sum("n").alias("n"))
-        state = live.select(*LINK, "_seen.ts", "_seen.seq", F.lit("seen").alias("kind"), F.lit(0).cast("long").alias("n")).unionByName(
-            rest.select(*LINK, "_at.ts", "_at.seq", "kind", "n"))
-        return events, state
+        rows, before = batch.select(*columns), None
+        if prior is not None:
+            rows = drop_late(rows, prior, LINK, AT)
+            sighting = prior.select(*LINK, *AT, F.lit("seen").alias("kind"), F.lit(0).cast("long").alias("n"))
+            probes = prior.select(*LINK, "ts", "seq", F.lit("probe").alias("kind"), "n")
+            past = sighting.unionByName(probes).withColumn("replay", F.lit(True))
+            # the replayed probe counts right after the sighting
+            past = past.withColumn("seq", F.col("seq") + F.when(F.col("kind") == "probe", 0.5).otherwise(0.0))
+            rows = rows.withColumns({"seq": F.col("seq").cast("double"), "replay": F.lit(False)}).unionByName(past)
+            level = F.when(F.col("aged"), 2).otherwise(1)
+            place = F.when(F.col("src") > F.col("dst"), level).otherwise(3 * level)
+            before = prior.groupBy(F.least(*LINK).alias("lo"), F.greatest(*LINK).alias("hi")).agg(F.sum(place).cast("int").alias("state"))
+        else:
+            rows = rows.withColumns({"seq": F.col("seq").cast("double"), "replay": F.lit(False)})
+        rows = cut(rows)
+        events = cut(link_events(rows, timeout, losses, rows_per_task, before))
+
+        here = F.struct(*AT)
+        last = rows.filter("kind = 'seen'").groupBy(*LINK).agg(F.max(here).alias("_seen"))
+        gone = events.filter("event = 'delete'").groupBy(*LINK).agg(F.max(here).alias("_gone"))
+        reverse = gone.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("_gone").alias("_aged"))
+        live = last.join(gone, LINK, "left").filter(F.col("_gone").isNull() | (F.col("_gone") < F.col("_seen"))).drop("_gone")
+        after = rows.filter("kind = 'probe'").join(live, LINK).filter(here > F.col("_seen")).groupBy(*LINK).agg(F.sum("n").alias("n"))
+        state = live.join(after, LINK, "left").join(reverse, LINK, "left").fillna(0, ["n"])
+        aged = F.coalesce(F.col("_aged") > F.col("_seen"), F.lit(False))
+        if prior is not None:
+            kept = prior.select(*LINK, F.struct("ts", F.col("seq").cast("double").alias("seq")).alias("_was"), F.col("aged").alias("_still"))
+            state = state.join(kept, LINK, "left")
+            aged = aged | F.coalesce(F.col("_still") & (F.col("_was") == F.col("_seen")), F.lit(False))
+        state = state.select(*LINK, "_seen.ts", F.col("_seen.seq").cast("long").alias("seq"), "n", aged.alias("aged"))
+        return events.withColumn("seq", F.col("seq").cast("long")), state
     return step
 
 
