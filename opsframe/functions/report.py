@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,18 +24,17 @@ def ordinal(n: Column) -> Column:
 
 def fill(text: Column, pattern: str) -> Column:
     """Characters of the text put in place of each X; null when the text is too short."""
-    parts, used, plain = [], 0, ""
-    for ch in pattern:
-        if ch != "X":
-            plain += ch
-            continue
-        if plain:
-            parts.append(F.lit(plain))
-        plain, used = "", used + 1
-        parts.append(F.substring(text, used, 1))
-    if plain:
-        parts.append(F.lit(plain))
-    return F.when(F.length(text) >= used, F.concat(*parts))
+    runs = re.findall(r"X+|[^X]+", pattern)
+    groups = [len(r) for r in runs if r[0] == "X"]
+    shape = "(?s)^" + "".join(f"(.{{{n}}})" for n in groups) + ".*$"
+    number, made = 0, ""
+    for run in runs:
+        if run[0] == "X":
+            number += 1
+            made += f"${number}"
+        else:  # a digit behind $n would be read as part of the group number
+            made += re.sub(r"([\\$0-9])", r"\\\1", run)
+    return F.when(F.length(text) >= sum(groups), F.regexp_replace(text, shape, made))
 
 
 def fill_date(number_text: Column) -> Column:

@@ -119,24 +119,33 @@ def traffic_rates(samples: Timeline, net: list[str], swap: list[str], interval:
     return differences(samples, [*net, *swap]).map(rates)
 
 
-# Wording of the status report; the number of the last matching line counts.
+# Wording of the status report, and on which side of it the number stands.
 STATUS_LINES = {
-    "history_list": r"History list length\s+(\d+)",
-    "log_bytes_written": r"Log sequence number\s+(\d+)",
-    "log_bytes_flushed": r"Log flushed up to\s+(\d+)",
-    "last_checkpoint": r"Last checkpoint at\s+(\d+)",
-    "queries_inside": r"(\d+) queries inside InnoDB",
-    "queries_queued": r"queries inside InnoDB, (\d+) queries in queue",
-    "read_views": r"(\d+) read views open inside InnoDB",
+    "history_list": ("History list length", "after"),
+    "log_bytes_written": ("Log sequence number", "after"),
+    "log_bytes_flushed": ("Log flushed up to", "after"),
+    "last_checkpoint": ("Last checkpoint at", "after"),
+    "queries_inside": ("queries inside InnoDB", "before"),
+    "queries_queued": ("queries inside InnoDB,", "after"),
+    "read_views": ("read views open inside InnoDB", "before"),
 }
 
 
 def log_lag(df: DataFrame, text: str) -> DataFrame:
-    """Numbers read out of a status text, plus unflushed and uncheckpointed log bytes. No shuffle."""
-    def number(pattern: str) -> Column:
-        return F.regexp_extract(F.col(text), r"(?s)^(?:.*[^\d])?" + pattern, 1).try_cast("bigint")
+    """Numbers read out of a status text, plus unflushed and uncheckpointed log bytes. No shuffle.
 
-    out = df.withColumns({n: number(p) for n, p in STATUS_LINES.items()})
+    The last line with the wording counts. Plain substring search finds it; only the few characters
+    beside it meet a regular expression.
+    """
+    def number(label: str, side: str) -> Column:
+        whole = F.col(text)
+        rest = F.substring_index(whole, label, -1)
+        left = F.substr(whole, F.lit(1), F.length(whole) - F.length(rest) - F.lit(len(label)))
+        digits = (F.regexp_extract(rest, r"^\s*(\d+)", 1) if side == "after" else
+                  F.regexp_extract(F.substring_index(left, "\n", -1), r"(\d+)\s*$", 1))
+        return F.when(F.contains(whole, F.lit(label)), digits.try_cast("bigint"))
+
+    out = df.withColumns({n: number(*where) for n, where in STATUS_LINES.items()})
     return out.withColumns({"unflushed_log": F.col("log_bytes_written") - F.col("log_bytes_flushed"),
                             "uncheckpointed_bytes": F.col("log_bytes_written") - F.col("last_checkpoint")})
 

@@ -15,23 +15,20 @@ from opsframe.plans.model import SEP, Model, Node, all_of, any_of, field_tree, j
 # --- where, variables, raw SQL -------------------------------------------------------------------
 
 _VARIABLE = re.compile(r"\$(?:(?P<dollar>\$)|\{(?P<braced>[^}]*)\}|(?P<plain>[A-Za-z_]\w*(?:\.[A-Za-z_]\w*|\[[^\]]+\])*))")
+_PATH = re.compile(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*|\[\s*(?:-?\d+|'[^']*'|\"[^\"]*\")\s*\])*")
 _STEP = re.compile(r"\.?([A-Za-z_]\w*)|\[\s*(-?\d+|'[^']*'|\"[^\"]*\")\s*\]")
 
 
 def lookup(expression: str, values: dict):
     """Value of `name`, `a.b`, `a[0]` or `a['k']`; nothing else is evaluated."""
-    at, value, first = 0, values, True
-    text = expression.strip()
-    while at < len(text):
-        step = _STEP.match(text, at)
-        if not step or (first and step.group(1) is None):
-            raise ValueError(f"cannot bind ${{{expression}}}: use names, dots and indexes")
-        name, index = step.groups()
-        if index is not None:
+    text, value = expression.strip(), values
+    if not _PATH.fullmatch(text):
+        raise ValueError(f"cannot bind {expression!r}: use names, dots and indexes")
+    for name, index in _STEP.findall(text):
+        if index:
             value = value[int(index)] if index.lstrip("-").isdigit() else value[index[1:-1]]
         else:
             value = value[name] if isinstance(value, dict) else getattr(value, name)
-        at, first = step.end(), False
     return value
 
 
