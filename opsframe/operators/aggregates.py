@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsframe.plans.ordered import ROWS_PER_TASK, Timeline, number_rows
+from opsframe.plans.ordered import Timeline, number_rows
 
 
 def aggregate(df: DataFrame, group: list[str], **measures: str) -> DataFrame:
@@ -161,7 +161,7 @@ def play_summary(runs: DataFrame) -> DataFrame:
 # --- response times ------------------------------------------------------------------------------
 
 def response_times(df: DataFrame, interval: list[str], value: str, percents=(95, 99),
-                   rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                   rows_per_task: int | None = None) -> DataFrame:
     """Per interval: count, max, min, avg, med, std, and max/avg/std of the fastest p percent.
 
     `value` holds whole numbers (microseconds). Equal values are counted first, then a running count

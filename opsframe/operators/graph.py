@@ -90,29 +90,30 @@ def routes(edges: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, Da
     the source, over the predecessor with the largest (distance, id); hops: (source, target, node,
     pred, paths), paths = in how many walks back from the target the hop occurs.
     """
-    pairs = cut(pairs.select("source", "target").distinct())
+    pairs = pairs.select("source", "target").distinct()
     links = simple_edges(edges)
     dist = _relax(links, pairs.select("source"))
-    preds = cut(_predecessors(links, dist))
-    metric = pairs.join(dist.select("source", F.col("node").alias("target"), "dist"), ["source", "target"])
-    last = cut(preds.groupBy("source", "node").agg(F.max_by("pred", F.struct("pred_dist", "pred")).alias("pred")))
-
-    at = cut(metric.filter("source <> target").select("source", "target", F.lit(1).cast("long").alias("step"), F.col("target").alias("node")))
-    path = [at]
-    while not at.isEmpty():
-        at = cut(at.join(last, ["source", "node"]).filter("pred <> source").select(
-            "source", "target", (F.col("step") + 1).alias("step"), F.col("pred").alias("node")))
-        path.append(at)
-
-    walk = path[0].select("source", "target", "node", F.lit(1).cast("long").alias("paths"))
-    hops = []
-    while not walk.isEmpty():
-        hop = cut(walk.join(preds, ["source", "node"]).select("source", "target", "node", "pred", "paths"))
-        hops.append(hop)
-        walk = cut(hop.filter("pred <> source").groupBy("source", "target", F.col("pred").alias("node")).agg(F.sum("paths").alias("paths")))
-    empty = path[0].select("source", "target", "node", F.col("node").alias("pred"), F.col("step").alias("paths")).limit(0)
-    all_hops = reduce(DataFrame.unionByName, hops, empty).groupBy("source", "target", "node", "pred").agg(F.sum("paths").alias("paths"))
-    return metric, reduce(DataFrame.unionByName, path), all_hops
+    preds = _predecessors(links, dist)
+    last = preds.groupBy("source", "node").agg(F.max_by("pred", F.struct("pred_dist", "pred")).alias("_last"))
+    preds = cut(preds.join(last, ["source", "node"]).select("source", "node", "pred", (F.col("pred") == F.col("_last")).alias("last")))
+    metric = cut(pairs.join(dist.select("source", F.col("node").alias("target"), "dist"), ["source", "target"]))
+
+    # all walks of a pair advance together, one hop per round; `main` marks the single path among them
+    walk = metric.filter("source <> target").select("source", "target", F.col("target").alias("node"),
+                                                    F.lit(1).cast("long").alias("paths"), F.lit(True).alias("main"))
+    hops, step = [], 0
+    while True:
+        step += 1
+        hop = walk.join(preds, ["source", "node"]).select("source", "target", "node", "pred", "paths",
+                                                          (F.col("main") & F.col("last")).alias("main"), F.lit(step).cast("long").alias("step"))
+        hops.append(cut(hop))
+        if hops[-1].isEmpty():
+            break
+        walk = hops[-1].filter("pred <> source").groupBy("source", "target", F.col("pred").alias("node")).agg(
+            F.sum("paths").alias("paths"), F.bool_or("main").alias("main"))
+    walked = reduce(DataFrame.unionByName, hops)
+    path = walked.filter("main").select("source", "target", "step", "node")
+    return metric, path, walked.groupBy("source", "target", "node", "pred").agg(F.sum("paths").alias("paths"))
 
 
 def graph_from_links(sightings: DataFrame, order: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from opsframe.operators.paging import slice_rows
 from opsframe.plans.model import SEP, Model, join_path_columns
-from opsframe.plans.ordered import ROWS_PER_TASK, Timeline
+from opsframe.plans.ordered import Timeline
 
 
 def comma_join(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
@@ -141,7 +141,7 @@ FLOOD = "FLOOD"
 
 
 def learned_port(packets: DataFrame, switch: str = "switch", src: str = "src", dst: str = "dst", port: str = "in_port",
-                 order: list[str] = ("ts", "seq"), rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                 order: list[str] = ("ts", "seq"), rows_per_task: int | None = None) -> DataFrame:
     """For each packet the port last learnt for its destination on that switch, else FLOOD.
 
     A packet teaches its own source first. Teaching and asking rows form one timeline per

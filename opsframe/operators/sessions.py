@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsframe.plans.ordered import ROWS_PER_TASK, Timeline
+from opsframe.plans.ordered import Timeline
 
 
 def _micros(a: Column, b: Column) -> Column:
@@ -13,7 +13,7 @@ def _micros(a: Column, b: Column) -> Column:
 
 
 def event_gaps(events: DataFrame, session: list[str], order: list[str], start: str, payload: str,
-               rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+               rows_per_task: int | None = None) -> DataFrame:
     """gap: seconds since the session's previous event (4 decimals; from `start` for the first); bytes: payload size."""
     line = Timeline(events, session, order, rows_per_task).scan(previous={"_before": F.col(order[0])}).frame
     gap = _micros(F.coalesce("_before", start), F.col(order[0]))
@@ -31,14 +31,13 @@ def session_offsets(chunks: DataFrame, session: list[str], time: str) -> DataFra
 
 
 def in_session(events: DataFrame, sessions: DataFrame, by: list[str], time: str, seq: str, start: str, end: str,
-               session_id: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+               session_id: str, rows_per_task: int | None = None) -> DataFrame:
     """Events with the id of the session they fall into: the one of the same user started last, if not yet over.
 
     An as-of lookup on one timeline of session starts and events, not a join on the user.
     """
     marks = sessions.select(*by, F.col(start).alias("_at"), F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_seq"),
-                            F.struct(F.col(session_id).alias("id"), F.col(end).alias("until")).alias("_session"),
-                            F.when(F.lit(False), F.lit(0)).alias("_none"))
+                            F.struct(F.col(session_id).alias("id"), F.col(end).alias("until")).alias("_session"))
     rows = events.select(*by, F.col(time).alias("_at"), F.lit(1).alias("_kind"), F.col(seq).cast("long").alias("_seq"),
                          F.struct(*events.columns).alias("_row"))
     line = Timeline(marks.unionByName(rows, allowMissingColumns=True), by, ["_at", "_kind", "_seq"], rows_per_task)
@@ -48,7 +47,7 @@ def in_session(events: DataFrame, sessions: DataFrame, by: list[str], time: str,
 
 
 def audit_summary(log: DataFrame, ttylog: DataFrame, filelog: DataFrame, execlog: DataFrame,
-                  rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                  rows_per_task: int | None = None) -> DataFrame:
     """Per login: start, end, finished, duration, commands, files up and down, executions, hosts touched.
 
     Commands carry the log id; file and execution records belong to the user's session they fall into.
@@ -81,7 +80,7 @@ def typed_command(text: Column) -> Column:
 
 
 def extract_commands(chunks: DataFrame, session: list[str], order: list[str], output: str, typed: str,
-                     rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                     rows_per_task: int | None = None) -> DataFrame:
     """Commands typed outside a full-screen editor.
 
     A row with exactly two switches leaves the editor, one or three and more toggle it, and none leaves

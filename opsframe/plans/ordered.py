@@ -17,7 +17,9 @@ from pyspark.sql import types as T
 
 from opsframe.plans.session import cut
 
+# Rows of one key that one task takes; the session setting overrides it.
 ROWS_PER_TASK = 4_000_000
+ROWS_PER_TASK_SETTING = "opsframe.rowsPerTask"
 _CHUNK = "_chunk"
 _FINE = 1_000_000
 
@@ -86,9 +88,10 @@ class Timeline:
     `cut` or write them first where they are expensive to compute.
     """
 
-    def __init__(self, df: DataFrame, keys: list[str], order: list[str], rows_per_task: int = ROWS_PER_TASK):
+    def __init__(self, df: DataFrame, keys: list[str], order: list[str], rows_per_task: int | None = None):
         self.keys, self.order = list(keys), list(order)
-        self._rows, self._hot = with_chunks(df, self.keys, self.order, rows_per_task)
+        limit = rows_per_task or int(df.sparkSession.conf.get(ROWS_PER_TASK_SETTING, str(ROWS_PER_TASK)))
+        self._rows, self._hot = with_chunks(df, self.keys, self.order, limit)
 
     @property
     def frame(self) -> DataFrame:

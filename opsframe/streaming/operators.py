@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsframe.operators.metrics import counter_rates
-from opsframe.plans.ordered import ROWS_PER_TASK, Timeline, join_null_safe
+from opsframe.plans.ordered import Timeline, join_null_safe
 from opsframe.plans.session import cut
 
 
@@ -38,7 +38,7 @@ def with_prior(batch: DataFrame, prior: DataFrame | None) -> DataFrame:
 
 # --- counter rates -------------------------------------------------------------------------------
 
-def rates_step(keys: list[str], order: list[str], counters: list[str], interval: float = 1.0, rows_per_task: int = ROWS_PER_TASK):
+def rates_step(keys: list[str], order: list[str], counters: list[str], interval: float = 1.0, rows_per_task: int | None = None):
     """Streaming counter rates; the state is the last sample per host."""
     def step(batch: DataFrame, prior: DataFrame | None):
         rows = with_prior(drop_late(batch, prior, keys, order), prior)
@@ -58,7 +58,7 @@ def changes(line: Timeline, values: list[str]) -> DataFrame:
     return seen.filter(~same).drop("_has")
 
 
-def location_step(keys: list[str], order: list[str], values: list[str], rows_per_task: int = ROWS_PER_TASK):
+def location_step(keys: list[str], order: list[str], values: list[str], rows_per_task: int | None = None):
     """Emit an address only when it is new or has moved; the state is its latest location."""
     def step(batch: DataFrame, prior: DataFrame | None):
         rows = with_prior(drop_late(batch, prior, keys, order), prior)
