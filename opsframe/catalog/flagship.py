@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from opsframe.catalog.base import Shop
 from opsframe.operators.joins import embed
-from opsframe.operators.paging import page
+from opsframe.operators.paging import ordered, page
 from opsframe.plans.predicates import lookup_filter
 
 
@@ -19,4 +19,5 @@ def order_page(spark, sf, nation: str = "NATION_7", above: int = 100000, page_te
     orders = Shop(spark, sf).orders
     found = lookup_filter(orders, {"customer__nation__n_name": nation, "o_totalprice__gt": str(above)})
     rows = page(found, "-o_totalprice", "o_orderkey", page_text)
-    return embed(replace(orders, frame=rows), ["customer__nation"], how="inner")
+    nested = embed(replace(orders, frame=rows), ["customer__nation"], how="inner")
+    return ordered(nested, "-o_totalprice", "o_orderkey")
