@@ -21,13 +21,14 @@ def event_gaps(events: DataFrame, session: list[str], order: list[str], start: s
     return line.withColumns({"gap": tenth_ms / F.lit(10000.0), "bytes": F.octet_length(payload).cast("long")}).drop("_before")
 
 
-def session_offsets(chunks: DataFrame, session: list[str], time: str) -> DataFrame:
+def session_offsets(chunks: DataFrame, session: list[str], time: str, rows_per_task: int | None = None) -> DataFrame:
     """offset: seconds since the first chunk of the session. Replay by ordering on (session, offset, sequence).
 
-    The start is a map-side combined minimum; AQE splits the join partition of a hot session.
+    The start is carried along the session's timeline: one shuffle, no join.
     """
-    starts = chunks.groupBy(*session).agg(F.min(time).alias("_start"))
-    return chunks.join(starts, session).withColumn("offset", _micros(F.col("_start"), F.col(time)) / F.lit(1e6)).drop("_start")
+    line = Timeline(chunks, session, [time], rows_per_task).scan(previous={"_has": F.lit(True)})
+    line = line.scan(known={"_start": F.when(F.col("_has").isNull(), F.col(time))}).frame
+    return line.withColumn("offset", _micros(F.col("_start"), F.col(time)) / F.lit(1e6)).drop("_start", "_has")
 
 
 def in_session(events: DataFrame, sessions: DataFrame, by: list[str], time: str, seq: str, start: str, end: str,
