@@ -9,7 +9,7 @@ from opsframe.operators.aggregates import hosts_by_path
 from opsframe.plans.model import Model
 from opsframe.plans.session import scratch
 from opsframe.sources import inventory, logs, writes
-from opsframe.sources.shards import ShardMap, delete_shard_rows, read_shard, write_sharded
+from opsframe.sources.shards import ShardMap, delete_shard_rows, read_shard, update_shard_rows, write_sharded
 from opsframe.sources.tables import scan
 
 
@@ -251,3 +251,12 @@ def shard_delete(spark, sf):
     path = scratch(spark, "sharded")
     write_sharded(table(spark, sf, "orders"), TEN, "o_custkey", path)
     return delete_shard_rows(spark, TEN, "o_custkey", 77, path, F.col("o_orderstatus") == "F").drop("_shard")
+
+
+@query("h3_shard_update", """SELECT o_orderkey, o_custkey, CASE WHEN o_custkey = 77 AND o_totalprice > 100000 THEN 'X' ELSE o_orderstatus END AS o_orderstatus
+    FROM orders WHERE o_custkey % 10 = 7""")
+def shard_update(spark, sf):
+    path = scratch(spark, "sharded")
+    write_sharded(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), TEN, "o_custkey", path)
+    rows = update_shard_rows(spark, TEN, "o_custkey", 77, path, F.col("o_totalprice") > 100000, {"o_orderstatus": F.lit("X")})
+    return rows.select("o_orderkey", "o_custkey", "o_orderstatus")

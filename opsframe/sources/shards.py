@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opsframe.sources.writes import update_where
+
 SHARD = "_shard"
 
 
@@ -56,3 +58,10 @@ def delete_shard_rows(spark: SparkSession, shards: ShardMap, column: str, value:
     """Rows of the value's shard that stay after a delete; only that shard is read."""
     rows = spark.read.parquet(path).filter(F.col(SHARD) == value % shards.modulus)
     return rows.filter(~F.coalesce((F.col(column) == value) & condition, F.lit(False)))
+
+
+def update_shard_rows(spark: SparkSession, shards: ShardMap, column: str, value: int, path: str, condition: Column,
+                      values: dict[str, Column]) -> DataFrame:
+    """Rows of the value's shard with columns set where the value and the condition match; only that shard is read."""
+    rows = spark.read.parquet(path).filter(F.col(SHARD) == value % shards.modulus)
+    return update_where(rows, (F.col(column) == value) & condition, values)
