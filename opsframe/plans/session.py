@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +34,17 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application; a no-op where they have it installed."""
+    context = spark.sparkContext
+    if any(name.startswith("opsframe-") and name.endswith(".zip") for name in context._python_includes):
+        return
+    package = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="opsframe-package-")  # of the driver; Spark's file server hands the file out
+    copy = shutil.copytree(package, Path(folder) / "top" / package.name, ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(f"{folder}/opsframe-{uuid.uuid4().hex}", "zip", copy.parent))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only in local mode."""
     context = spark.sparkContext
