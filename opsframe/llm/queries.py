@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsframe.llm import contamination, lines, packing, quality, rules, secrets, toxicity
+from opsframe.llm import contamination, lines, near, packing, quality, rules, secrets, toxicity
 from opsframe.plans.session import ship_package
 
 QUERIES: dict = {}
@@ -40,6 +40,11 @@ def toxic_documents(spark, folder):
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query("op4_near_duplicates")
+def near_duplicates(spark, folder):
+    return near.near_duplicates(table(spark, folder, "documents"))
+
+
 @query("op5_benchmark_decontamination")
 def decontamination(spark, folder):
     found = contamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
