@@ -47,19 +47,18 @@ def _fingerprints(values: np.ndarray, first: np.ndarray, short: list[int], whole
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _scan(docs: DataFrame, short: list[int], whole_only: bool, bitmap=None) -> DataFrame:
+def _scan(docs: DataFrame, short: list[int], whole_only: bool, shared=None) -> DataFrame:
     """A row without fp for each document, and a row per fingerprint with the hashes of the words around it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if bitmap is None else np.frombuffer(bitmap.value, np.uint8)
+        bits = None if shared is None else shared.value
         for batch in batches:
             for rows, data, offsets in blocks(batch):
                 starts, ends, first = words(data, offsets, LETTERS)
                 values = Hashes(of_bytes(data, lower=True)).spans(starts, ends)
                 doc, pos, length, fp = _fingerprints(values, first, short, whole_only)
                 if bits is not None:
-                    place = fp >> U64(64 - BITS)
-                    hit = (bits[(place >> U64(3)).astype(np.int64)] >> (place & U64(7)).astype(np.uint8)) & 1 == 1
+                    hit = inside_bitmap(bits, fp)
                     doc, pos, length, fp = doc[hit], pos[hit], length[hit], fp[hit]
                 there = ragged(pos - SIDE, np.full(len(pos), SPAN + SIDE))
                 of = np.repeat(doc, SPAN + SIDE)
@@ -81,8 +80,8 @@ def _scan(docs: DataFrame, short: list[int], whole_only: bool, bitmap=None) -> D
     return docs.select(*KEY, "text").mapInArrow(run, FOUND)
 
 
-def _bitmap(prints: DataFrame) -> bytes:
-    """One bit for each fingerprint's leading bits; the rows that come here number 2**19 at most."""
+def bitmap(prints: DataFrame) -> bytes:
+    """One bit for the leading BITS bits of each `fp`; at most 2**19 rows come here, whatever the table's size."""
     place = F.shiftrightunsigned("fp", 64 - BITS)
     parts = prints.groupBy(F.shiftright(place, 6).alias("word")).agg(
         F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(fp, {64 - BITS}) & 63 as int))")).alias("bits")).toArrow()
@@ -91,6 +90,11 @@ def _bitmap(prints: DataFrame) -> bytes:
     return out.tobytes()
 
 
+def inside_bitmap(bits: bytes, fp: np.ndarray) -> np.ndarray:
+    place = fp >> U64(64 - BITS)
+    return (np.frombuffer(bits, np.uint8)[(place >> U64(3)).astype(np.int64)] >> (place & U64(7)).astype(np.uint8)) & 1 == 1
+
+
 def hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents with their number of words, and (document, item, from, to) in words for each extended hit.
 
@@ -101,7 +105,7 @@ def hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
         items.select(*KEY, F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("item")).distinct(), KEY), "items")
     prints = prints.where("fp is not null").select("fp", "item", "length", F.col("around").alias("theirs")).distinct()
     short = sorted(-r.length for r in prints.where("length < 0").select("length").distinct().collect())  # 9 at most
-    found = saved(_scan(docs, short, False, spark.sparkContext.broadcast(_bitmap(prints))), "fingerprints")
+    found = saved(_scan(docs, short, False, spark.sparkContext.broadcast(bitmap(prints))), "fingerprints")
     same = F.zip_with("around", "theirs", lambda x, y: F.coalesce(x == y, F.lit(False)))
     met = found.where("fp is not null").join(prints, ["fp", "length"]).withColumn("same", same)
 

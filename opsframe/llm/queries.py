@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsframe.llm import contamination, lines, near, packing, quality, rules, secrets, toxicity
+from opsframe.llm import contamination, lines, near, packing, passages, quality, repeats, rules, secrets, toxicity
 from opsframe.plans.session import ship_package
 
 QUERIES: dict = {}
@@ -40,6 +40,11 @@ def toxic_documents(spark, folder):
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query("op3_suffix_array_dedup")
+def suffix_array_dedup(spark, folder):
+    return repeats.repeats(table(spark, folder, "documents")).drop("removed")
+
+
 @query("op4_near_duplicates")
 def near_duplicates(spark, folder):
     return near.near_duplicates(table(spark, folder, "documents"))
@@ -70,3 +75,8 @@ def secret_scans(spark, folder):
 def line_dedup(spark, folder):
     return lines.line_dedup(table(spark, folder, "documents")).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op10_repeated_phrases")
+def repeated_phrases(spark, folder):
+    return passages.without_passages(table(spark, folder, "documents"))
