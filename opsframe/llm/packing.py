@@ -12,6 +12,7 @@ are packed each.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +30,9 @@ SLACK = LENGTH // 100  # a bin with less room than this is nearly full
 ROUND_ITEMS = 100_000  # of one task in a round
 BLOCK_ITEMS = 200_000  # pieces that a task packs at once in the first round
 FAN_IN = 8
-CACHED_WORDS = 300_000
+CACHED_WORDS = 800_000  # about 30 MB; kept from task to task of a Python worker
+BATCH = 10_000  # words in one text for the tokenizer
+SEPARATOR = "<|endoftext|>"  # a token of its own for the tokenizer, wherever it stands
 END = 0
 FIELDS = ["doc_id", "piece", "start", "length", "ids_crc32", "offset"]
 
@@ -38,9 +41,11 @@ class Words:
     """Ids of words by their hash; tokenised when first met, forgotten when there are too many."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.parting = self.tokenizer.token_to_id(SEPARATOR)
         self.clear()
 
     def clear(self):
@@ -48,15 +53,26 @@ class Words:
         self.ids = np.zeros(0, "<u4")
 
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        if len(self.keys) > CACHED_WORDS:
-            self.clear()
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        count = np.array([len(x) for x in ids], np.int64)
-        start = len(self.ids) + np.cumsum(count) - count
-        self.ids = np.concatenate([self.ids, np.array([i for x in ids for i in x], "<u4")])
-        keys, start, count = (np.concatenate([a, b]) for a, b in zip((self.keys, self.start, self.count), (keys, start, count)))
-        order = np.argsort(keys)
-        self.keys, self.start, self.count = keys[order], start[order], count[order]
+        """Words are tokenised by the thousand in one text, with a special token between them, whose id parts the ids again."""
+        plain = np.array([SEPARATOR not in t for t in texts])
+        ids, count = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        for some, of in ((keys[plain], [t for t, p in zip(texts, plain) if p]), (keys[~plain], [t for t, p in zip(texts, plain) if not p])):
+            if not len(some):
+                continue
+            if of[0].find(SEPARATOR) < 0:
+                joined = [SEPARATOR.join(of[i:i + BATCH]) + SEPARATOR for i in range(0, len(of), BATCH)]
+                found = np.concatenate([np.array(self.tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids, "<u4") for t in joined])
+                parting = found == self.parting
+                ends = np.flatnonzero(parting) - np.arange(len(of))
+                n, found = np.diff(ends, prepend=0), found[~parting]
+            else:
+                each = [e.ids for e in self.tokenizer.encode_batch_fast(of, add_special_tokens=False)]
+                n, found = np.array([len(x) for x in each], np.int64), np.array([i for x in each for i in x], "<u4")
+            start = len(self.ids) + len(ids) + np.cumsum(n) - n
+            ids = np.concatenate([ids, found])
+            at = np.searchsorted(self.keys, some)  # both are sorted
+            self.keys, self.start, self.count = (np.insert(x, at, y) for x, y in ((self.keys, some), (self.start, start), (self.count, n)))
+        self.ids = np.concatenate([self.ids, ids])
 
     def ids_of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a block's documents, each followed by END, and where each document begins."""
@@ -69,6 +85,7 @@ class Words:
         new[inside] = self.keys[where[inside]] != distinct[inside]
         if new.any():
             if len(self.keys) > CACHED_WORDS:  # all words of the block are learnt anew
+                self.clear()
                 new[:] = True
             raw = data.tobytes()
             self._learn(distinct[new], [raw[a:b].decode() for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist())])
@@ -86,6 +103,15 @@ class Words:
         return out, begin
 
 
+_known: dict[str, Words] = {}
+
+
+def known_words(path: str) -> Words:
+    if path not in _known:
+        _known[path] = Words(path)
+    return _known[path]
+
+
 def best_fit(lengths: np.ndarray) -> tuple[list[list[int]], list[int]]:
     """Items of each bin and its fill, longest items first, each into the fullest bin that has room."""
     bins: list[list[int]] = []
@@ -149,7 +175,7 @@ def tokenised(docs: DataFrame, path: str, kind: str) -> DataFrame:
     """The first round: bins of each partition's pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, next_id = Words(path), _first_id(0)
+        known, next_id = known_words(path), _first_id(0)
         held: list[tuple] = []
         size = 0
         for batch in batches:
