@@ -133,7 +133,8 @@ def repeated_parts(found: DataFrame, parts: DataFrame, every: DataFrame, length:
     found: from `repeating`; every: all variants from `contested`; parts: what repeats in single ones.
     """
     whole = F.array(F.struct(F.lit(0).alias("from"), (F.col("n") - 1 + length).alias("to"))).cast(SPANS)
-    known = every.select("fp", "variant", "copies").join(parts, ["fp", "variant"], "left").where("copies > 1 or spans is not null")
+    known = saved(every.select("fp", "variant", "copies").join(parts, ["fp", "variant"], "left").where(
+        "copies > 1 or spans is not null"), "parts")  # a table, so that Spark can split the next join where a variant is hot
     rows = unpacked(found)
     columns = [*KEY, "start", "n", "fp", "variant"]
     return rows.where("not contested").select(*columns, whole.alias("spans")).unionByName(
