@@ -25,7 +25,7 @@ from opsframe.llm.text import NOT_SPACE, Hashes, of_bytes, parts, ragged, words
 
 LENGTH, GRAM = 35, 8
 SHARD_BYTES = 6 << 20
-_PLANE = 0xD000  # numbers below stay clear of code points that can't stand alone; higher digits follow as further characters
+BASE = 256  # numbers below stay clear of code points that can't stand alone; higher digits follow as further characters
 
 
 def confirmed(variants: list[np.ndarray], fp: np.ndarray, length: int) -> list[list[tuple[int, int]]]:
@@ -67,23 +67,26 @@ def recurring(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def characters(numbers: np.ndarray, width: int) -> str:
-    """Word numbers as `width` characters each, all below _PLANE."""
+    """Word numbers as `width` characters each, digits of base BASE."""
     digits = np.empty((len(numbers), width), "<u4")
     rest = numbers.astype(np.int64)
     for i in range(width):
-        digits[:, i] = rest % _PLANE
-        rest = rest // _PLANE
+        digits[:, i] = rest % BASE
+        rest = rest // BASE
     return digits.tobytes().decode("utf-32-le")
 
 
 def occurrences(automaton, text: str, width: int, n: int) -> np.ndarray:
     """Which of a document's n words lie in an occurrence; values of the automaton are lengths in words."""
     change = np.zeros(n + 1, np.int64)
-    for end, size in automaton.iter(text):
-        if (end + 1) % width == 0:
-            at = (end + 1) // width
-            change[at - size] += 1
-            change[at] -= 1
+    found = list(automaton.iter(text))
+    if not found:
+        return np.zeros(n, bool)
+    end, size = np.array(found, np.int64).T
+    whole = (end + 1) % width == 0
+    at = (end[whole] + 1) // width
+    np.add.at(change, at - size[whole], 1)
+    np.add.at(change, at, -1)
     return np.cumsum(change[:n]) > 0
 
 
@@ -102,7 +105,7 @@ def strip_shard(rows: pa.Table, places: pa.Table) -> pa.Table:
     hashes = Hashes(of_bytes(data)).spans(starts, ends)
     distinct, number = np.unique(hashes, return_inverse=True)
     width = 1
-    while _PLANE ** width <= len(distinct):
+    while BASE ** width <= len(distinct):
         width += 1
     text = characters(number, width)
     where = {}
