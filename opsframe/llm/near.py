@@ -6,8 +6,8 @@ representative from here on. Each shingle sends exponential arrivals to the regi
 to its weight, in the order of time, and stops once its next arrival is later than every register's: the registers that
 two documents agree on estimate their probability Jaccard. Registers in bands file documents in buckets.
 
-Members of a bucket are verified against its least member (exact probability Jaccard of the shingles, 0.8 or more), and
-components are formed. Where documents that share buckets, directly or through others, still lie in different components,
+A document is verified against the least member of all its buckets, and if they aren't alike against the least member of
+each (exact probability Jaccard of the shingles, 0.8 or more), and components are formed. Where documents that share buckets, directly or through others, still lie in different components,
 the pairs of documents of different components are verified in blocks, within tasks, so no link that the bands show is lost.
 
 Documents without words are copies of each other if their texts are equal. Rows that repeat a document are copies.
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsframe.llm.components import components
+from opsframe.llm.contamination import bitmap, inside_bitmap
 from opsframe.llm.store import KEY, keyed, saved, wrapped
 from opsframe.llm.text import LETTERS, U64, Hashes, blocks, documents_of, lists, mix, of_bytes, signed, words
 
@@ -115,17 +116,23 @@ def signed_documents(docs: DataFrame) -> DataFrame:
     return docs.select(*KEY, "text").mapInArrow(run, "_id long, _key long, h1 long, h2 long, bands array<long>")
 
 
-def bags(docs: DataFrame) -> DataFrame:
-    """(_id, _key, bag): the sorted 64-bit hashes of a document's shingles, with repetitions, as bytes."""
+def bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(_id, _key, bag) of the wanted documents: the sorted 64-bit hashes of their shingles, with repetitions, as bytes.
+
+    A bitmap of fixed size picks documents in the scan, so texts aren't shuffled; a few others pass and do no harm.
+    """
+    place = F.xxhash64(*KEY).alias("fp")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(place)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(inside_bitmap(shared.value, batch.column(3).to_numpy().view(np.uint64))))
             for rows, data, offsets in blocks(batch):
                 values, begin, _, _ = shingles(data, offsets)
                 bag = [np.sort(values[a:b]).tobytes() for a, b in zip(begin[:-1], begin[1:])]
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(bag, pa.binary())], [*KEY, "bag"])
 
-    return docs.select(*KEY, "text").mapInArrow(run, "_id long, _key long, bag binary")
+    return docs.select(*KEY, "text", place).mapInArrow(run, "_id long, _key long, bag binary").dropDuplicates(KEY)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -243,10 +250,17 @@ def classes(documents: DataFrame) -> DataFrame:
     buckets = lead.select("node", F.explode("bands").alias("bucket"))
     least = buckets.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("bucket", "a")
     stars = saved(buckets.join(least, "bucket").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "stars")
+    # a document and the least of its buckets' least members; its other buckets' least members hang on that one
+    near = saved(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "stars")
+    others = stars.join(near.withColumnRenamed("a", "top"), "b").where("a <> top")
+    coarse = components(near.unionByName(others.select("a", F.col("top").alias("b")).distinct()))
     some = stars.select("a").unionByName(stars.select(F.col("b").alias("a"))).distinct().select("a.*")
-    bag = saved(bags(docs.join(some, KEY, "left_semi").dropDuplicates(KEY)), "bags")
-    links = saved(verified(stars, bag), "links")
-    fine, coarse = components(links), components(stars)
+    bag = saved(bags(docs, some), "bags")
+    first_links = saved(verified(near, bag), "links")
+    # a document that isn't like the first may be like another
+    open_ones = others.join(first_links.select("b"), "b", "left_anti").select("a", "b")
+    links = saved(first_links.unionByName(verified(open_ones, bag)), "links")
+    fine = components(links)
     groups = saved(coarse.select("node", F.col("root").alias("coarse")).join(fine, "node", "left").select(
         "node", "coarse", F.coalesce("root", "node").alias("root")), "groups")
     more = saved(_between(groups, bag), "links")
