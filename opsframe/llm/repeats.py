@@ -75,7 +75,7 @@ def enhanced_suffix_array(text: np.ndarray, left: np.ndarray, length: int):
     a, b = place[pair - 1] + length, place[pair] + length
     more = np.zeros(len(pair), np.int64)
     last = len(text) - 1
-    for step in ([depth] * 2 + [d for d, _ in ranks[::-1]][1:]):
+    for step in [depth] * (1 + int(left.max() - length) // depth) + [d for d, _ in ranks[-2::-1]]:
         rank = dict(ranks)[step]
         i, j = np.minimum(a + more, last), np.minimum(b + more, last)
         inside = (a + more <= last) & (b + more <= last) & (left[place[pair - 1]] - length - more >= step) & (left[place[pair]] - length - more >= step)

@@ -84,6 +84,7 @@ def marginals(emission: np.ndarray, first: np.ndarray, transition: np.ndarray, p
     links = np.empty((4, rows * STRIDE))  # clean-clean, clean-toxic, toxic-clean, toxic-toxic, into each token
     links[:] = t.reshape(4, 1)
     links[:, begins] = 1  # documents are independent
+    links[:, n:] = 1  # and so is what fills the last stride
     links = np.ascontiguousarray(links.reshape(4, rows, STRIDE).transpose(0, 2, 1))
     grow = np.ascontiguousarray(grow.reshape(rows, STRIDE).T)
     a, b, c, d = np.ones(rows), np.zeros(rows), np.zeros(rows), np.ones(rows)
