@@ -22,7 +22,7 @@ from opsframe.llm.text import NOT_SPACE, U64, Hashes, blocks, documents_of, mix,
 
 BITS = 18
 GRAMS = (3, 4)
-PER_CLASS, LONGEST = 2000, 20_000
+PER_CLASS, LONGEST = 1000, 20_000
 THRESHOLD = 0.3
 
 
@@ -45,17 +45,18 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
         yield of[inside], (mix(hashes.spans(here, here + k) + U64(k)) >> shift).astype(np.int64)
 
 
-def _bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Buckets and their shares, for each text."""
-    out = []
+def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of all texts one after the other, their shares, and where each text's begin."""
+    buckets, shares, sizes = [], [], []
     for _, data, offsets in blocks(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])):
         parts = list(features(data, offsets))
         doc, bucket = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         pair, n = np.unique(doc << BITS | bucket, return_counts=True)
-        cut = np.searchsorted(pair, np.arange(len(offsets)) << BITS)
-        for a, b in zip(cut[:-1], cut[1:]):
-            out.append((pair[a:b] & ((1 << BITS) - 1), (n[a:b] / max(1, n[a:b].sum())).astype(np.float32)))
-    return out
+        doc = pair >> BITS
+        buckets.append((pair & ((1 << BITS) - 1)).astype(np.int32))
+        shares.append((n / np.bincount(doc, n, len(offsets) - 1)[doc]).astype(np.float32))
+        sizes.append(np.bincount(doc, minlength=len(offsets) - 1))
+    return np.concatenate(buckets), np.concatenate(shares), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
 
 def fit(texts: list[str], labels: list[int], share: float, dim: int = 8, epochs: int = 8, rate: float = 0.5) -> tuple[np.ndarray, float]:
@@ -67,13 +68,13 @@ def fit(texts: list[str], labels: list[int], share: float, dim: int = 8, epochs:
     rng = np.random.default_rng(11)
     vectors = rng.uniform(-1 / dim, 1 / dim, (1 << BITS, dim)).astype(np.float32)
     out, bias = np.zeros((2, dim), np.float32), np.zeros(2, np.float32)
-    bags = _bags(texts)
+    buckets, shares, begin = _bags(texts)
     weight = np.where(known == 1, share * len(known) / known.sum(), (1 - share) * len(known) / (1 - known).sum())
     weight = np.sqrt(weight)  # between the sample's balance and the table's
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
-        for i in rng.permutation(len(bags)):
-            bucket, part = bags[i]
+        for i in rng.permutation(len(texts)):
+            bucket, part = buckets[begin[i]:begin[i + 1]], shares[begin[i]:begin[i + 1]]
             mean = part @ vectors[bucket]
             z = out @ mean + bias
             p = np.exp(z - z.max())
