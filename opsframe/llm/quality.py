@@ -22,7 +22,7 @@ from opsframe.llm.text import NOT_SPACE, U64, Hashes, blocks, documents_of, mix,
 
 BITS = 18
 GRAMS = (3, 4)
-PER_CLASS, LONGEST = 1000, 20_000
+PER_CLASS, LONGEST = (1000, 1000), 20_000
 THRESHOLD = 0.3
 
 

@@ -11,11 +11,11 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0, F.lit(False))
 
 
-def labelled(documents: DataFrame, labels: DataFrame, name: str, per_class: int, longest: int) -> tuple[list[str], list[int], float]:
-    """Texts and labels of at most `per_class` documents of each class that aren't held out, and the share of label 1.
+def labelled(documents: DataFrame, labels: DataFrame, name: str, per_class: tuple[int, int], longest: int) -> tuple[list[str], list[int], float]:
+    """Texts and labels of at most `per_class` documents of label 0 and 1 that aren't held out, and the share of label 1.
 
     The choice depends on doc_ids alone, so each run fits the same model. Texts of more than `longest` characters aren't
-    used to fit (they are scored whole), so the sample is bounded by 2 * per_class * longest characters. A label of null
+    used to fit (they are scored whole), so the sample is bounded by sum(per_class) * longest characters. A label of null
     counts as none; an id with several labels has the largest.
     """
     one = labels.where(labels["doc_id"].isNotNull() & labels[name].isNotNull()).groupBy(labels["doc_id"].alias("doc_id")).agg(
@@ -27,7 +27,7 @@ def labelled(documents: DataFrame, labels: DataFrame, name: str, per_class: int,
     total = {r.label: r["count"] for r in one.groupBy("label").count().collect()}
     rows = []
     for label in (0, 1):
-        chosen = known.where(F.col("label") == label).orderBy(order, "doc_id").limit(per_class)
+        chosen = known.where(F.col("label") == label).orderBy(order, "doc_id").limit(per_class[label])
         rows += texts.where(F.length("text") <= longest).join(F.broadcast(chosen), "doc_id").select(
             "doc_id", "text", "label").orderBy("doc_id", "text").collect()
     n = sum(total.values())

@@ -26,7 +26,7 @@ from opsframe.llm.text import LETTERS, U64, Hashes, blocks, documents_of, lists,
 
 BITS = 18
 BEGINNINGS = (3, 4, 5, 6, 7, 8)  # bytes
-PER_CLASS, LONGEST = 2500, 20_000
+PER_CLASS, LONGEST = (1000, 2500), 20_000  # clean and toxic documents of the sample
 STRIDE = 128
 TOLERANCE = 0.02  # clean documents for each toxic one, of equally many, that a picked feature may have
 
@@ -133,15 +133,22 @@ def token_labels(found: list[np.ndarray], doc: np.ndarray, toxic: np.ndarray) ->
     """
     n_docs, n_toxic = len(toxic), int(toxic.sum())
     short = U64(20)  # 44 bits of a feature and 20 of a document
-    pairs = np.unique(np.concatenate([(h[h > 0] >> short << short) | doc[h > 0].astype(np.uint64) for h in found]))
-    names, inverse = np.unique(pairs >> short, return_inverse=True)
-    of = (pairs & U64((1 << 20) - 1)).astype(np.int64)
-    bad = np.bincount(inverse, toxic[of], len(names))
-    clean = np.bincount(inverse, 1 - toxic[of], len(names))
-    # a clean document weighs as much as a toxic one: the classes of the sample differ in size
-    candidate = (bad >= 3) & (clean * n_toxic <= TOLERANCE * bad * max(1, n_docs - n_toxic))
-    keep = candidate[inverse] & (toxic[of] == 1)
-    inverse, of = inverse[keep], of[keep]
+    kept_names, kept_inverse, kept_of, kept_bad, known = [], [], [], [], 0
+    for h in found:  # one kind of feature after the other, to hold less
+        pairs = np.unique((h[h > 0] >> short << short) | doc[h > 0].astype(np.uint64))
+        names, inverse = np.unique(pairs >> short, return_inverse=True)
+        of = (pairs & U64((1 << 20) - 1)).astype(np.int64)
+        bad = np.bincount(inverse, toxic[of], len(names))
+        clean = np.bincount(inverse, 1 - toxic[of], len(names))
+        # a clean document weighs as much as a toxic one: the classes of the sample differ in size
+        candidate = (bad >= 3) & (clean * n_toxic <= TOLERANCE * bad * max(1, n_docs - n_toxic))
+        keep = candidate[inverse] & (toxic[of] == 1)
+        kept_names.append(names[candidate])
+        kept_bad.append(bad[candidate])
+        kept_inverse.append(known + (np.cumsum(candidate) - 1)[inverse[keep]])
+        kept_of.append(of[keep])
+        known += int(candidate.sum())
+    names, inverse, of, bad = (np.concatenate(x) for x in (kept_names, kept_inverse, kept_of, kept_bad))
     order = np.argsort(inverse, kind="stable")
     inverse, of = inverse[order], of[order]
     begin = np.searchsorted(inverse, np.arange(len(names) + 1))
