@@ -147,7 +147,9 @@ ALERT_LIMITS = [("usr", ">", "10"), ("sys", ">", "10"), ("iow", ">", "10"), ("ps
 def alert_rows(spark, sf):
     line = M.cpu_percent(system_samples(spark, sf, TICKS, DISK, NET))
     line = M.traffic_rates(M.disk_rates(line, M.elapsed_ms(4)), ["recv", "send"], ["pswpin", "pswpout"])
-    return M.alerts(line.frame, ["host", "event_id"], "ts")
+    known = line.frame.columns
+    rules = [r for r in M.RULES if r[0] in known and (not isinstance(r[2], str) or r[2] in known)]
+    return M.alerts(line.frame, ["host", "event_id"], "ts", rules)
 
 
 # --- sessions ------------------------------------------------------------------------------------

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 def commas(number: Column) -> Column:
     """Thousands separators in the whole part; decimals as they are."""
     text = number.cast("string")
+    plain = F.regexp_replace(number.cast("decimal(38,10)").cast("string"), r"(\.\d+?)0+$", "$1")
+    text = F.when(F.contains(text, F.lit("E")), plain).otherwise(text)  # large doubles are written with an exponent
     whole = F.regexp_replace(F.substring_index(text, ".", 1), r"(?<=\d)(?=(\d{3})+$)", ",")
     return F.when(F.contains(text, F.lit(".")), F.concat_ws(".", whole, F.substring_index(text, ".", -1))).otherwise(whole)
 

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsframe.plans.ordered import Timeline, number_rows
+from opsframe.plans.ordered import Timeline, join_null_safe, number_rows
+from opsframe.plans.session import cut as materialised
 
 
 def aggregate(df: DataFrame, group: list[str], **measures: str) -> DataFrame:
@@ -94,7 +95,7 @@ def in_parts(df: DataFrame, group: list[str], order: list[str], size: int, items
     """
     numbered = number_rows(df.select(*dict.fromkeys([*group, *order, *items])), [*group, *order], "_at")
     starts = numbered.groupBy(*group).agg(F.min("_at").alias("_first"))
-    rows = numbered.join(starts, group).withColumn("part", F.floor((F.col("_at") - F.col("_first")) / size))
+    rows = join_null_safe(numbered, starts, group, "inner").withColumn("part", F.floor((F.col("_at") - F.col("_first")) / size))
     packed = rows.groupBy(*group, "part").agg(F.sort_array(F.collect_list(F.struct("_at", *items))).alias("_rows"))
     return packed.select(*group, "part", F.transform("_rows", lambda r: F.struct(*[r[i].alias(i) for i in items])).alias("items"))
 
@@ -168,10 +169,10 @@ def response_times(df: DataFrame, interval: list[str], value: str, percents=(95,
     over the values of an interval finds how many of each belong to the fastest p percent and to the
     middle. Only counts are shuffled, and a hot interval is cut by value.
     """
-    counted = df.groupBy(*interval, value).agg(F.count(F.lit(1)).alias("_n"))
+    counted = materialised(df.groupBy(*interval, value).agg(F.count(F.lit(1)).alias("_n")))
     line = Timeline(counted, interval, [value], rows_per_task).scan(running={"_upto": F.col("_n")}).frame
     totals = counted.groupBy(*interval).agg(F.sum("_n").alias("_all"))
-    rows = line.join(totals, interval).withColumn("_before", F.col("_upto") - F.col("_n"))
+    rows = join_null_safe(line, totals, interval, "inner").withColumn("_before", F.col("_upto") - F.col("_n"))
 
     v = F.col(value).cast("decimal(19,0)")
 

@@ -163,7 +163,12 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: list[str], values: l
     def side(df: DataFrame, prefix: str) -> DataFrame:
         return df.select(*key, F.lit(True).alias(f"_{prefix}"), *[F.col(v).alias(f"{prefix}_{v}") for v in values])
 
-    both = side(before, "old").join(side(after, "new"), key, "full_outer")
+    old = side(before, "old").withColumnsRenamed({k: f"_old_{k}" for k in key})
+    new = side(after, "new").withColumnsRenamed({k: f"_new_{k}" for k in key})
+    met = reduce(lambda a, b: a & b, [F.col(f"_old_{k}").eqNullSafe(F.col(f"_new_{k}")) for k in key])
+    both = old.join(new, met, "full_outer").select(
+        *[F.when(F.col("_old").isNull(), F.col(f"_new_{k}")).otherwise(F.col(f"_old_{k}")).alias(k) for k in key],
+        "_old", "_new", *[f"{p}_{v}" for p in ("old", "new") for v in values])
     same = reduce(lambda a, b: a & b, [F.col(f"old_{v}").eqNullSafe(F.col(f"new_{v}")) for v in values], F.lit(True))
     change = F.when(F.col("_old").isNull(), "add").when(F.col("_new").isNull(), "delete").when(~same, "move")
     return both.withColumn("change", change).filter("change IS NOT NULL").drop("_old", "_new")

@@ -176,7 +176,9 @@ def alerts(metrics: DataFrame, keep: list[str], time: str, rules=RULES) -> DataF
         beyond = c > edge if op == ">" else c <= edge
         return F.when(beyond, F.struct(F.lit(metric).alias("metric"), F.concat_ws(" ", F.lit(f"{metric} {op}"), edge).alias("msg")))
 
-    usable = [r for r in rules if r[0] in metrics.columns and (not isinstance(r[2], str) or r[2] in metrics.columns)]
-    found = F.array_compact(F.array(*[row(*r) for r in usable]))
+    names = {r[0] for r in rules} | {r[2] for r in rules if isinstance(r[2], str)}
+    if missing := sorted(names - set(metrics.columns)):
+        raise ValueError(f"no column for the rules on {missing}; pass the rules that apply")
+    found = F.array_compact(F.array(*[row(*r) for r in rules]))
     return metrics.select(*keep, F.col(time).alias("time"), F.explode(found).alias("_a")).select(
         *keep, "_a.metric", "_a.msg", "time", F.lit(0).cast("long").alias("is_finished"))

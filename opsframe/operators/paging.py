@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsframe.plans.ordered import join_null_safe, number_rows
+from opsframe.plans.ordered import number_rows
 from opsframe.plans.predicates import order_columns
 
-DEEP = 100_000
-
 
 def ordered(df: DataFrame, order, key: str | None = None) -> DataFrame:
     """Order by `col` / `-col` / `col desc`; the key is appended to make the order total."""
@@ -20,24 +18,15 @@ def ordered(df: DataFrame, order, key: str | None = None) -> DataFrame:
 def slice_rows(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
     """Rows offset .. offset + limit in a total order given as `col` / `-col`.
 
-    Shallow slices are a distributed top-k. A top-k keeps offset + limit rows per task, so deep slices
-    go another way, see `deep_slice`.
+    A distributed top-k, which keeps offset + limit rows per task. A caller who pages deep asks for `deep_slice`.
     """
-    if offset + limit <= DEEP:
-        return df.orderBy(*order_columns(df, order)).offset(offset).limit(limit)
-    return deep_slice(df, order, offset, limit)
+    return df.orderBy(*order_columns(df, order)).offset(offset).limit(limit)
 
 
 def deep_slice(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
-    """Number the order keys alone, over range partitions, and fetch the rows of the slice by key.
-
-    At most `limit` keys remain after the filter; they are broadcast when that is a small number.
-    """
-    names = [o.lstrip("-") for o in order]
-    numbered = number_rows(df.select(*names), order_columns(df, order), "_at")
-    keys = numbered.filter((F.col("_at") >= offset) & (F.col("_at") < offset + limit))
-    small = F.broadcast(keys) if limit <= DEEP else keys
-    return join_null_safe(df, small, names, "inner").orderBy("_at").drop("_at")
+    """Number the rows over range partitions and keep those of the slice; rows that tie are each counted once."""
+    numbered = number_rows(df, order_columns(df, order), "_at")
+    return numbered.filter((F.col("_at") >= offset) & (F.col("_at") < offset + limit)).orderBy("_at").drop("_at")
 
 
 def page_number(text) -> int:

@@ -50,8 +50,8 @@ class Node:
         return own + [p for rel, child in self.children.items() for p in child.paths(f"{prefix}{rel}{SEP}")]
 
 
-def field_tree(model: Model, fields=None, exclude=None, force_recursion: bool = False, _seen=()) -> Node:
-    """Exposed columns. Names take `relation__column` nesting; each link is visited once unless forced."""
+def field_tree(model: Model, fields=None, exclude=None, force_recursion: bool = False, _seen=(), depth: int = 2) -> Node:
+    """Exposed columns. Names take `relation__column` nesting; each link is visited once, if forced up to `depth` times."""
     def split(names):
         own, below = [], {}
         for n in names or []:
@@ -69,9 +69,9 @@ def field_tree(model: Model, fields=None, exclude=None, force_recursion: bool =
         wanted = (not fields) or rel in below or rel in named
         if not wanted or rel in hidden or (mark in _seen and not force_recursion):
             continue
-        if force_recursion and list(_seen).count(mark) >= 2:
+        if force_recursion and list(_seen).count(mark) >= depth:
             continue
-        children[rel] = field_tree(link.model, below.get(rel), hidden_below.get(rel), force_recursion, (*_seen, mark))
+        children[rel] = field_tree(link.model, below.get(rel), hidden_below.get(rel), force_recursion, (*_seen, mark), depth)
     return Node(model, shown, children)
 
 

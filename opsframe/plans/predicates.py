@@ -88,20 +88,24 @@ def where(df: DataFrame, condition=None, values: dict | None = None, key: str =
         return df.filter(F.col(key) == condition)
     if isinstance(condition, dict):
         return df.filter(equalities(condition))
-    return run_sql(df.sparkSession, f"SELECT * FROM {{_rows}} WHERE {condition}", values, _rows=df)
+    text = condition.replace("{", "{{").replace("}", "}}")  # braces of the condition aren't names of frames
+    return run_sql(df.sparkSession, f"SELECT * FROM {{_rows}} WHERE {text}", values, _rows=df)
 
 
 def select(df: DataFrame, what: str | list = "*", condition=None, values: dict | None = None, group=None,
-           order: list | None = None, limit: int | None = None, offset: int | None = None, key: str = "id") -> DataFrame:
-    """One-call select: where, group, columns, order, offset, limit."""
-    items = what if isinstance(what, list) else [w.strip() for w in re.split(r",(?![^(]*\))", what)]
+           order: list | str | None = None, limit: int | None = None, offset: int | None = None, key: str = "id") -> DataFrame:
+    """One-call select: where, group, columns, order, offset, limit.
+
+    Columns, group and order may be SQL text. An order given as a list has the form of a request, see `order_columns`.
+    """
+    items = what if isinstance(what, list) else top_level(what)
     out = where(df, condition, values, key)
     if group:
-        names = group if isinstance(group, list) else [g.strip() for g in group.split(",")]
+        names = group if isinstance(group, list) else top_level(group)
         aggregates = [F.expr(i) for i in items if i not in names]
         out = out.groupBy(*names).agg(*aggregates)
     if order:
-        out = out.orderBy(*order_columns(out, order))
+        out = out.orderBy(*(order_terms(out, order) if isinstance(order, str) else order_columns(out, order)))
     if not group:
         out = out.selectExpr(*items)
     if offset:
@@ -109,6 +113,41 @@ def select(df: DataFrame, what: str | list = "*", condition=None, values: dict |
     return out.limit(limit) if limit is not None else out
 
 
+def top_level(text: str) -> list[str]:
+    """The parts between commas that stand outside brackets and quotes."""
+    parts, depth, quote = [""], 0, None
+    for c in text:
+        if quote:
+            quote = None if c == quote else quote
+        elif c in "'\"`":
+            quote = c
+        elif c in "([":
+            depth += 1
+        elif c in ")]":
+            depth -= 1
+        if c == "," and not depth and not quote:
+            parts.append("")
+        else:
+            parts[-1] += c
+    return [p.strip() for p in parts if p.strip()]
+
+
+def order_terms(df: DataFrame, text: str) -> list[Column]:
+    """ORDER BY text as columns: expressions, each with ASC or DESC; `-name` of a column is descending.
+
+    Nulls come first ascending and last descending.
+    """
+    found = []
+    for term in top_level(text):
+        if term.startswith("-") and term[1:] in df.columns:
+            found.append(F.col(term[1:]).desc_nulls_last())
+            continue
+        said = re.fullmatch(r"(?is)(.*?)\s+(asc|desc)", term)
+        column = F.expr(said[1] if said else term)
+        found.append(column.desc_nulls_last() if said and said[2].lower() == "desc" else column.asc_nulls_first())
+    return found
+
+
 def order_columns(df: DataFrame, order) -> list[Column]:
     """`col`, `-col` or `col desc`; names that are not columns are ignored. Nulls first ascending, last descending."""
     found = []

@@ -74,6 +74,7 @@ def export_json(model: Model, lookups: list[str], order: list[str]) -> DataFrame
     Only the least order value is looked up, to leave out the comma before the first object; the lines
     are range-sorted, so that the part files written from them concatenate to the document.
     """
+    order = list(dict.fromkeys([*order, model.key]))  # the key makes the order total: ties must not share the first place
     rows = select_lookups(model, list(dict.fromkeys([*lookups, *order])))
     rows = rows.withColumn("_at", F.struct(*order))
     first = rows.agg(F.min("_at").alias("_first"))

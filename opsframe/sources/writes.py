@@ -123,10 +123,12 @@ def dependants(models: list[Model], root: Model, keys: DataFrame, _path: tuple =
 
 
 def dependency_preview(models: list[Model], root: Model, keys: DataFrame) -> DataFrame:
-    """(model, id) of all rows a cascade would remove, by model name."""
+    """(model, id) of all rows a cascade would remove, by model name; ids are text unless all are whole numbers."""
     out = None
-    for model, ids in dependants(models, root, keys):
-        part = ids.select(F.lit(model.name).alias("model"), F.col(model.key).cast("long").alias("id"))
+    found = dependants(models, root, keys)
+    whole = all(ids.schema[0].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") for _, ids in found)
+    for model, ids in found:
+        part = ids.select(F.lit(model.name).alias("model"), F.col(model.key).cast("long" if whole else "string").alias("id"))
         out = part if out is None else out.unionByName(part)
     if out is None:
         return keys.sparkSession.createDataFrame([], "model string, id long")
