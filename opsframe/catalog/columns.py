@@ -198,3 +198,11 @@ def safe(spark, sf):
 def skipping(spark, sf):
     done = user.safe_map(table(spark, sf, "events").select("event_id", "event_type"), risky, "double", True, ["event_id"])
     return done.select("event_id", "value")
+
+
+@query("f3_exact_keys", """SELECT event_id + 1152921504606846977 AS id, CASE WHEN user_id % 5 <> 0 THEN user_id % 5 END AS part,
+    CASE WHEN user_id % 5 <> 0 THEN event_id + 1152921504606846977 + user_id % 5 END AS value, user_id % 5 <> 0 AS ok FROM events""")
+def exact_keys(spark, sf):
+    """Whole numbers beyond 2^53 and nulls reach the function and come back as they are; text doesn't fit and fails its row."""
+    rows = table(spark, sf, "events").select((F.col("event_id") + F.lit(2**60 + 1)).alias("id"), F.nullif(F.col("user_id") % 5, F.lit(0)).alias("part"))
+    return user.safe_map(rows, lambda r: "none" if r["part"] is None else r["id"] + r["part"], "bigint").drop("error")

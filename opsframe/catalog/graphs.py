@@ -92,7 +92,7 @@ def metric_and_path(spark, sf):
       UNION ALL SELECT w.source, w.target, p.pred FROM walk w JOIN p ON p.source = w.source AND p.node = w.node WHERE p.pred <> w.source)
     SELECT w.source, w.target, w.node, p.pred, count(*) AS paths FROM walk w JOIN p ON p.source = w.source AND p.node = w.node GROUP BY ALL""")
 def hops(spark, sf):
-    return nation_routes(spark, sf)[2]
+    return nation_routes(spark, sf)[2].withColumn("paths", F.col("paths").cast("long"))
 
 
 def sightings(spark, sf):
@@ -145,12 +145,14 @@ def flows(spark, sf):
           JOIN n ON n.source = path.source AND n.target = path.target),
     b AS (SELECT *, lag(switch) OVER w AS prev, lead(switch) OVER w AS nxt FROM a WINDOW w AS (PARTITION BY source, target ORDER BY hop))
     SELECT source, target, hop, switch, CASE WHEN prev IS NULL THEN source * 100 ELSE switch * 31 + prev END AS in_port,
-    CASE WHEN nxt IS NULL THEN target * 100 + 1 ELSE switch * 31 + nxt END AS out_port FROM b""")
+    CASE WHEN nxt IS NULL THEN target * 100 + 1 ELSE switch * 31 + nxt END AS out_port FROM b
+    UNION ALL SELECT n_nationkey, n_nationkey, 0, n_nationkey, n_nationkey * 100, n_nationkey * 100 + 1 FROM nation""")
 def hop_table(spark, sf):
     edges = G.simple_edges(nation_edges(spark, sf))
     _, path, _ = nation_routes(spark, sf, edges)
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     exits = both.withColumn("port", F.col("src") * 31 + F.col("dst"))
-    ends = edges.select(F.col("src").alias("source"), F.col("dst").alias("target"), (F.col("src") * 100).alias("first_port"),
+    same = table(spark, sf, "nation").select(F.col("n_nationkey").alias("src"), F.col("n_nationkey").alias("dst"))
+    ends = edges.select("src", "dst").unionByName(same).select(F.col("src").alias("source"), F.col("dst").alias("target"), (F.col("src") * 100).alias("first_port"),
                         (F.col("dst") * 100 + 1).alias("last_port"))
     return G.hop_table(path, exits, ends)

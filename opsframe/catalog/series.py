@@ -170,21 +170,20 @@ def offsets(spark, sf):
     return S.session_offsets(chunks, ["user_id", "day"], "ts").orderBy("user_id", "day", "offset", "event_id").drop("ts")
 
 
-LOG_SQL = """log AS (SELECT user_id * 100 + day // 7 AS log_id, user_id, min(ts) + INTERVAL 2 HOUR AS start_time,
-    CASE WHEN user_id % 3 > 0 THEN max(ts) - INTERVAL 2 HOUR END AS end_time, user_id % 3 > 0 AS is_finished FROM (
-      SELECT *, day(ts) AS day FROM events) GROUP BY user_id, day // 7 HAVING max(ts) - min(ts) > INTERVAL 5 HOUR)"""
+LOG_SQL = """log AS (SELECT user_id * 100 + day // 7 AS log_id, user_id, min(ts) AS start_time,
+    CASE WHEN user_id % 3 > 0 THEN greatest(min(ts), max(ts) - INTERVAL 2 HOUR) END AS end_time, user_id % 3 > 0 AS is_finished FROM (
+      SELECT *, day(ts) AS day FROM events) GROUP BY user_id, day // 7)"""
 
 
 def login_tables(spark, sf):
-    """A login per user and week, from the user's first event + 2 h to the last - 2 h; every third user stays logged in."""
+    """A login per user and week, from the user's first event to 2 h before the last; every third user stays logged in."""
     events = table(spark, sf, "events")
     week = F.floor(F.dayofmonth("ts") / 7)
     hours = F.expr("INTERVAL 2 HOURS")
     span = events.groupBy("user_id", week.alias("week")).agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    span = span.filter(F.col("b") - F.col("a") > F.expr("INTERVAL 5 HOURS"))
     done = F.col("user_id") % 3 > 0
     log = span.select((F.col("user_id") * 100 + F.col("week")).alias("log_id"), F.col("user_id").alias("user"),
-                      (F.col("a") + hours).alias("start_time"), F.when(done, F.col("b") - hours).alias("end_time"), done.alias("is_finished"))
+                      F.col("a").alias("start_time"), F.when(done, F.greatest("a", F.col("b") - hours)).alias("end_time"), done.alias("is_finished"))
     kind = F.col("event_type")
     tty = events.filter(kind == "click").select((F.col("user_id") * 100 + week).alias("log_id"), "ts")
     files = events.filter(kind.isin("purchase", "view")).select(
@@ -222,4 +221,4 @@ def commands(spark, sf):
     chunks = table(spark, sf, "conversations").select(
         "conv_id", "turn", F.concat(F.lit("screen "), F.repeat(F.lit("\x1b[?1049h"), times), "text").alias("output"),
         F.concat(prompt, line).alias("typed"))
-    return S.extract_commands(chunks, ["conv_id"], ["turn"], "output", "typed")
+    return S.extract_commands(chunks, ["conv_id"], ["turn"], "output", "typed", longest=200)

@@ -15,9 +15,9 @@ from opsframe.streaming.logs import ship
 
 
 def stream_of(spark, sf, name):
-    """A table of the folder as a file stream."""
+    """A table of the folder, one file or a folder of files, as a file stream."""
     schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 @query("t1_tail_tag_route", f"WITH {TAGGED} " + " UNION ALL ".join(

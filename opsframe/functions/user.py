@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from opsframe.operators.joins import chosen
 
@@ -43,29 +44,28 @@ def safe_map(df: DataFrame, fn: Callable[[dict], object], value: T.DataType | st
              keep: list[str] | None = None) -> DataFrame:
     """fn on every row: (kept columns, value, ok, error). A failing row gives null, false and the error text.
 
-    Rows stream through in Arrow batches; there is no shuffle and no order promise.
+    fn sees Python values: whole numbers stay whole, nulls are None. Kept columns pass through untouched. A result
+    that doesn't fit `value` is a failure of its row. Rows stream through in Arrow batches, without a shuffle.
     """
     keep = keep if keep is not None else df.columns
     kind = T._parse_datatype_string(value) if isinstance(value, str) else value
     out = T.StructType([df.schema[c] for c in keep] + [T.StructField("value", kind), T.StructField("ok", T.BooleanType()),
                                                        T.StructField("error", T.StringType())])
 
+    arrow = to_arrow_type(kind)
+
     def apply(batches):
         for batch in batches:
-            values, oks, errors = [], [], []
-            for row in batch.to_dict("records"):
+            values, errors = [], []
+            for row in batch.to_pylist():
                 try:
-                    values.append(fn(row))
-                    oks.append(True)
+                    values.append(pa.scalar(fn(row), arrow))
                     errors.append(None)
                 except Exception as problem:  # a row's own failure must not end the job
-                    values.append(None)
-                    oks.append(False)
+                    values.append(pa.scalar(None, arrow))
                     errors.append(f"{type(problem).__name__}: {problem}")
-            result = batch[keep].copy()
-            result["value"] = pd.Series(values, index=batch.index, dtype=object)
-            result["ok"], result["error"] = oks, errors
-            yield result
+            made = [pa.array(values, arrow), pa.array([e is None for e in errors], pa.bool_()), pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *made], names=[*keep, "value", "ok", "error"])
 
-    mapped = df.mapInPandas(apply, out)
+    mapped = df.mapInArrow(apply, out)
     return mapped.filter("ok") if skip_failures else mapped

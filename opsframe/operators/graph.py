@@ -18,6 +18,7 @@ from opsframe.sources.writes import new_rows
 # Fixed value: the distance of unreachable nodes.
 UNREACHABLE = 16_000_000
 LAYERS = 8
+COUNT = "decimal(38,0)"  # walks double with every diamond
 
 
 def simple_edges(edges: DataFrame) -> DataFrame:
@@ -88,7 +89,7 @@ def routes(edges: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, Da
 
     metric: (source, target, dist); path: (source, target, step, node) from the target back, without
     the source, over the predecessor with the largest (distance, id); hops: (source, target, node,
-    pred, paths), paths = in how many walks back from the target the hop occurs.
+    pred, paths), paths = in how many walks back from the target the hop occurs (a decimal of 38 digits; null beyond).
     """
     pairs = pairs.select("source", "target").distinct()
     links = simple_edges(edges)
@@ -100,7 +101,7 @@ def routes(edges: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, Da
 
     # all walks of a pair advance together, one hop per round; `main` marks the single path among them
     walk = metric.filter("source <> target").select("source", "target", F.col("target").alias("node"),
-                                                    F.lit(1).cast("long").alias("paths"), F.lit(True).alias("main"))
+                                                    F.lit(1).cast(COUNT).alias("paths"), F.lit(True).alias("main"))
     hops, step = [], 0
     while True:
         step += 1
@@ -110,10 +111,10 @@ def routes(edges: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, Da
         if hops[-1].isEmpty():
             break
         walk = hops[-1].filter("pred <> source").groupBy("source", "target", F.col("pred").alias("node")).agg(
-            F.sum("paths").alias("paths"), F.bool_or("main").alias("main"))
+            F.try_sum("paths").cast(COUNT).alias("paths"), F.bool_or("main").alias("main"))
     walked = reduce(DataFrame.unionByName, hops)
     path = walked.filter("main").select("source", "target", "step", "node")
-    return metric, path, walked.groupBy("source", "target", "node", "pred").agg(F.sum("paths").alias("paths"))
+    return metric, path, walked.groupBy("source", "target", "node", "pred").agg(F.try_sum("paths").cast(COUNT).alias("paths"))
 
 
 def graph_from_links(sightings: DataFrame, order: list[str]) -> DataFrame:
@@ -171,13 +172,14 @@ def hop_table(path: DataFrame, exits: DataFrame, ends: DataFrame) -> DataFrame:
     """Per hop of each route: (source, target, hop, switch, in_port, out_port).
 
     path: as from `routes`; exits: (src, dst, port); ends: (source, target, first_port, last_port), the
-    ports of the two hosts. The windows are per route, whose length the network's diameter bounds.
+    ports of the two hosts. A route within one switch is one hop. The windows are per route, whose length the network's diameter bounds.
     """
     longest = path.groupBy("source", "target").agg(F.max("step").alias("_n"))
     origin = longest.select("source", "target", F.lit(0).cast("long").alias("hop"), F.col("source").alias("switch"))
+    within = ends.filter("source = target").select("source", "target", F.lit(0).cast("long").alias("hop"), F.col("source").alias("switch")).distinct()
     along = path.join(longest, ["source", "target"]).select("source", "target", (F.col("_n") - F.col("step") + 1).alias("hop"), F.col("node").alias("switch"))
     w = Window.partitionBy("source", "target").orderBy("hop")
-    rows = origin.unionByName(along).withColumns({"_prev": F.lag("switch").over(w), "_next": F.lead("switch").over(w)})
+    rows = origin.unionByName(within).unionByName(along).withColumns({"_prev": F.lag("switch").over(w), "_next": F.lead("switch").over(w)})
     out = exits.select(F.col("src").alias("switch"), F.col("dst").alias("_next"), F.col("port").alias("_out"))
     back = exits.select(F.col("src").alias("switch"), F.col("dst").alias("_prev"), F.col("port").alias("_in"))
     joined = rows.join(out, ["switch", "_next"], "left").join(back, ["switch", "_prev"], "left").join(ends, ["source", "target"])

@@ -66,22 +66,22 @@ def audit_summary(log: DataFrame, ttylog: DataFrame, filelog: DataFrame, execlog
     return out.fillna(0, counts).select("log_id", "user", "start_time", "end_time", "is_finished", took.alias("duration"), *counts)
 
 
-# The full-screen switch, the shell and database prompts, the kept length.
+# The full-screen switch, the shell and database prompts.
 SCREEN_SWITCH = "\x1b\\[\\?1049"
 SHELL_PROMPT = r"(?s)^.*@[^\n]*[$#]\s"
 DATABASE_PROMPT = r"(?s)^.*mysql>\s"
-COMMAND_LENGTH = 200
 
 
-def typed_command(text: Column) -> Column:
-    """What follows the last prompt, trimmed, at most 200 characters."""
+def typed_command(text: Column, longest: int | None = None) -> Column:
+    """What follows the last prompt, trimmed; the first `longest` characters where given."""
     prompt = F.when(text.rlike(SHELL_PROMPT), F.regexp_replace(text, SHELL_PROMPT, ""))
     rest = prompt.otherwise(F.regexp_replace(text, DATABASE_PROMPT, ""))
-    return F.substring(F.regexp_replace(rest, r"^\s+|\s+$", ""), 1, COMMAND_LENGTH)
+    whole = F.regexp_replace(rest, r"^\s+|\s+$", "")
+    return F.substring(whole, 1, longest) if longest else whole
 
 
 def extract_commands(chunks: DataFrame, session: list[str], order: list[str], output: str, typed: str,
-                     rows_per_task: int | None = None) -> DataFrame:
+                     rows_per_task: int | None = None, longest: int | None = None) -> DataFrame:
     """Commands typed outside a full-screen editor.
 
     A row with exactly two switches leaves the editor, one or three and more toggle it, and none leaves
@@ -95,4 +95,4 @@ def extract_commands(chunks: DataFrame, session: list[str], order: list[str], ou
     line = line.scan(known={"_base": F.when(F.col("_marks") == 2, F.col("_toggles"))}).frame
     editing = (F.col("_toggles") - F.coalesce(F.col("_base"), F.lit(0))) % 2 == 1
     kept = line.filter((F.col("_marks") == 0) & ~editing)
-    return kept.select(*session, *order, typed_command(F.col(typed)).alias("cmd"))
+    return kept.select(*session, *order, typed_command(F.col(typed), longest).alias("cmd"))

@@ -1,8 +1,8 @@
 """Order-dependent work that does not put a whole key into one task.
 
-A plain window over (key order by ts) gives all rows of a key to one task. `Timeline` cuts the rows
-of a *hot* key into consecutive chunks, runs the window per (key, chunk) and carries a one-row
-summary from chunk to chunk. Cold keys form a single chunk and pay nothing for it.
+A plain window over (key order by ts) gives all rows of a key to one task. `Timeline` deals rows by
+ranges of (keys, order), so a large key lies in several partitions, its chunks. It runs the window per
+(key, chunk) and carries a one-row summary from chunk to chunk for the keys that cross a border.
 
 `number_rows` gives consecutive numbers in a total order without a global window.
 """
@@ -13,29 +13,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from opsframe.plans.session import cut
 
-# Rows of one key that one task takes; the session setting overrides it.
-ROWS_PER_TASK = 4_000_000
+# Rows of one key that one task takes, where the session sets it.
 ROWS_PER_TASK_SETTING = "opsframe.rowsPerTask"
 _CHUNK = "_chunk"
-_FINE = 1_000_000
-
-
-def position(df: DataFrame, name: str) -> Column:
-    """A number that grows with the column: microseconds, days, or the value itself."""
-    kind, c = df.schema[name].dataType, F.col(name)
-    if isinstance(kind, T.TimestampNTZType):
-        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c).cast("double")
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(c).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(kind, T.NumericType):
-        return c.cast("double")
-    raise TypeError(f"{name}: the first order column must be a number, date or timestamp")
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -45,53 +28,35 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str)
     return left.join(right, on, how).drop(*[f"_k_{k}" for k in keys])
 
 
-def _cut_points(df: DataFrame, keys: list[str], pos: Column, limit: int) -> DataFrame:
-    """Groups of more than `limit` rows with their span and number of parts.
+def with_chunks(df: DataFrame, keys: list[str], order: list[str], rows_per_task: int | None) -> DataFrame:
+    """Add `_chunk`: 0 for a key that lies in one range partition, else the number (from 1) of the row's partition.
 
-    At most total_rows / limit groups qualify, which bounds the broadcast below: with 10^12 rows and
-    the default limit that is 250,000 short rows.
+    Rows are dealt by ranges of the keys and all order columns, so a key of any size or shape is cut where the rows
+    are, ties in some of the order columns included. The dealt rows are checkpointed: chunk and rows stay the same
+    when tasks are retried. At most one key per border lies in two partitions, which bounds the broadcast by the
+    number of partitions. That number is spark.sql.shuffle.partitions, or enough for about rows_per_task / 2 rows each.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(pos).alias("_lo"), F.max(pos).alias("_hi"))
-    parts = F.least(F.ceil(F.col("_n") * 2 / F.lit(limit)), F.lit(_FINE - 2))
-    return sizes.filter(F.col("_n") > limit).select(*keys, "_lo", "_hi", parts.alias("_parts"))
-
-
-def _slot(pos: Column) -> Column:
-    """1-based part of the span a row lies in; 0 for rows of groups that need no cut."""
-    share = (pos - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    inside = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * F.col("_parts")), F.col("_parts") - 1) + 1
-    return F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.coalesce(inside, F.lit(1))).cast("long")
-
-
-def with_chunks(df: DataFrame, keys: list[str], order: list[str], rows_per_task: int) -> tuple[DataFrame, bool]:
-    """Add `_chunk`, which is 0 for cold keys and grows with the order within a hot key; and whether any key is hot.
-
-    One aggregate over the key and time columns finds the hot keys. Without any, the rows are left as
-    they are. Otherwise: equal-width parts first, and parts that are still too large (bursts) once more
-    by their own span. The chunk depends on row values only, so a retried task computes the same one.
-    """
-    pos = position(df, order[0])
-    hot = cut(_cut_points(df, keys, pos, rows_per_task))
-    if hot.isEmpty():
-        return df.withColumn(_CHUNK, F.lit(0).cast("long")), False
-    coarse = join_null_safe(df, F.broadcast(hot), keys, "left").withColumn("_c1", _slot(pos))
-    coarse = coarse.drop("_lo", "_hi", "_parts")
-    burst = cut(_cut_points(coarse.filter("_c1 > 0"), [*keys, "_c1"], pos, rows_per_task))
-    fine = join_null_safe(coarse, F.broadcast(burst), [*keys, "_c1"], "left").withColumn("_c2", _slot(pos))
-    return fine.withColumn(_CHUNK, F.col("_c1") * _FINE + F.col("_c2")).drop("_c1", "_c2", "_lo", "_hi", "_parts"), True
+    by = [*keys, *order]
+    parts = [max(1, -(-2 * df.count() // rows_per_task))] if rows_per_task else []
+    rows = cut(df.repartitionByRange(*parts, *by).withColumn(_CHUNK, F.spark_partition_id().cast("long") + 1))
+    key = F.struct(*keys)
+    ends = rows.groupBy(_CHUNK).agg(F.array_distinct(F.array(F.min(key), F.max(key))).alias("_ends"))
+    across = ends.select(F.explode("_ends").alias("_key")).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    across = cut(across.filter("_n > 1").select("_key.*", F.lit(True).alias("_across")))
+    marked = join_null_safe(rows, F.broadcast(across), keys, "left")
+    return marked.withColumn(_CHUNK, F.when(F.col("_across"), F.col(_CHUNK)).otherwise(0)).drop("_across")
 
 
 class Timeline:
-    """Rows of each key in order. `order` must be total within a key; its first column a number or time.
+    """Rows of each key in order. `order` must be total within a key.
 
-    Making one runs a job that looks for hot keys. The rows are read again by every later action, so
-    `cut` or write them first where they are expensive to compute.
+    Making one deals and checkpoints the rows once; later actions read the checkpoint.
     """
 
     def __init__(self, df: DataFrame, keys: list[str], order: list[str], rows_per_task: int | None = None):
         self.keys, self.order = list(keys), list(order)
-        limit = rows_per_task or int(df.sparkSession.conf.get(ROWS_PER_TASK_SETTING, str(ROWS_PER_TASK)))
-        self._rows, self._hot = with_chunks(df, self.keys, self.order, limit)
+        limit = rows_per_task or int(df.sparkSession.conf.get(ROWS_PER_TASK_SETTING, "0"))
+        self._rows = with_chunks(df, self.keys, self.order, limit)
 
     @property
     def frame(self) -> DataFrame:
@@ -100,7 +65,7 @@ class Timeline:
     def map(self, fn) -> Timeline:
         """Apply a narrow DataFrame -> DataFrame function that keeps keys, order columns and chunks."""
         other = object.__new__(Timeline)
-        other.keys, other.order, other._rows, other._hot = self.keys, self.order, fn(self._rows), self._hot
+        other.keys, other.order, other._rows = self.keys, self.order, fn(self._rows)
         return other
 
     def scan(self, previous: dict[str, Column] | None = None, running: dict[str, Column] | None = None,
@@ -112,8 +77,6 @@ class Timeline:
         known:    last non-null value up to and including this row
         """
         previous, running, known = previous or {}, running or {}, known or {}
-        if not self._hot:
-            return self._scan_whole(previous, running, known)
         here = Window.partitionBy(*self.keys, _CHUNK).orderBy(*self.order)
         upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         at = F.struct(*self.order)
@@ -151,16 +114,6 @@ class Timeline:
         return self.map(lambda _: result)
 
 
-    def _scan_whole(self, previous: dict, running: dict, known: dict) -> Timeline:
-        """The same columns by plain windows, when no key is hot."""
-        here = Window.partitionBy(*self.keys).orderBy(*self.order)
-        upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = {n: F.lag(c).over(here) for n, c in previous.items()}
-        out |= {n: F.sum(c).over(upto) for n, c in running.items()}
-        out |= {n: F.last(c, ignorenulls=True).over(upto) for n, c in known.items()}
-        return self.map(lambda df: df.withColumns(out))
-
-
 def number_rows(df: DataFrame, order: list, name: str = "row_no", start: int | Column = 0) -> DataFrame:
     """Consecutive numbers from `start` in the given total order.
 

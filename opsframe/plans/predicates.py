@@ -187,8 +187,9 @@ def typed_filter(column: Column, operation: str, value, today: dt.date | None =
         return F.lower(F.substring(column, 1, len(value))) == value.lower()
     if operation == CONTAINS:
         return column.ilike(f"%{value}%")
-    if operation == YEAR:
-        return F.year(column) == int(value)
+    if operation == YEAR:  # a range reaches the scan; years beyond the calendar's have no rows to skip
+        year = int(value)
+        return (column >= F.lit(dt.date(year, 1, 1))) & (column < F.lit(dt.date(year + 1, 1, 1))) if 0 < year < 9999 else F.year(column) == year
     if operation == MONTH:
         return F.month(column) == int(value)
     if operation in (WITHIN, OLDER):

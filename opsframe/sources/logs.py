@@ -98,12 +98,15 @@ def topic_rows(messages: DataFrame, topic: str, body: str = "msg", key: str | No
                            F.col(body).cast("string").alias("value"))
 
 
-def forward(messages: DataFrame, topic: str, sink: str = "kafka", body: str = "msg", key: str | None = None, **options):
-    """Send message bodies to a topic; returns the started query for a stream. The Kafka sink needs its connector."""
+def forward(messages: DataFrame, topic: str, sink: str = "kafka", body: str = "msg", key: str | None = None, trigger: dict | None = None, **options):
+    """Send message bodies to a topic; returns the started query for a stream. The Kafka sink needs its connector.
+
+    A stream runs until it has caught up unless `trigger` says otherwise; its checkpoint is an option as for any sink.
+    """
     rows = topic_rows(messages, topic, body, key)
     if not messages.isStreaming:
         return rows.write.format(sink).options(**options).mode("append").save()
-    return rows.writeStream.format(sink).options(**options).outputMode("append").trigger(availableNow=True).start()
+    return rows.writeStream.format(sink).options(**options).outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
 
 
 def write_routes(routed: DataFrame, path: str, line: str = "line") -> None:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from opsframe.plans.model import Model
 from opsframe.plans.ordered import number_rows
-from opsframe.plans.session import scratch
+from opsframe.plans.session import cut, scratch
 
 
 def rows_of(spark: SparkSession, values: list, schema: T.StructType, without: tuple = ("id",)) -> DataFrame:
@@ -109,16 +109,30 @@ def _referrers(models: list[Model], target: Model):
     return [(m, link) for m in models for link in m.links.values() if link.model is target]
 
 
-def dependants(models: list[Model], root: Model, keys: DataFrame, _path: tuple = ()) -> list[tuple[Model, DataFrame]]:
-    """Rows that reference the given keys through required links, level by level: (model, keys)."""
-    found = []
-    for model, link in _referrers(models, root):
-        if link.nullable or (model.name, link.relation) in _path:
-            continue
-        hit = model.frame.join(keys.select(F.col(keys.columns[0]).alias("_gone")), F.col(link.column) == F.col("_gone"), "left_semi")
-        below = hit.select(model.key).distinct()
-        found.append((model, below))
-        found += dependants(models, model, below, (*_path, (model.name, link.relation)))
+def dependants(models: list[Model], root: Model, keys: DataFrame) -> list[tuple[Model, DataFrame]]:
+    """Rows that reference the given keys through required links, directly or through others: (model, keys) by level.
+
+    Each level's new keys are materialised once and lead to the next; it ends when no level finds new keys, so a
+    table that references itself is followed as deep as its rows go. The given keys themselves are not listed.
+    """
+    start = keys.select(F.col(keys.columns[0]).alias("_gone")).distinct()
+    known, frontier, found = {root.name: start}, [(root, start)], []
+    while frontier:
+        following = []
+        for target, ids in frontier:
+            for model, link in _referrers(models, target):
+                if link.nullable:
+                    continue
+                hit = model.frame.join(ids, F.col(link.column) == F.col("_gone"), "left_semi").select(F.col(model.key).alias("_gone")).distinct()
+                if model.name in known:
+                    hit = hit.join(known[model.name], "_gone", "left_anti")
+                new = cut(hit)
+                if new.isEmpty():
+                    continue
+                known[model.name] = known[model.name].unionByName(new) if model.name in known else new
+                found.append((model, new.withColumnRenamed("_gone", model.key)))
+                following.append((model, new))
+        frontier = following
     return found
 
 

@@ -75,4 +75,4 @@ def test_prompts(spark):
     cases = {"[u@h ~]$ ls": "ls", "root@h:~# id": "id", "mysql> show tables": "show tables", "plain": "plain",
              "[u@h ~]$ old\n[u@h ~]$ new ": "new", "[u@h ~]$ " + "x" * 250: "x" * 200}
     df = spark.createDataFrame([(c,) for c in cases], "t string")
-    assert dict(df.select("t", S.typed_command(F.col("t"))).collect()) == cases
+    assert dict(df.select("t", S.typed_command(F.col("t"), 200)).collect()) == cases

@@ -23,12 +23,23 @@ def test_chunked_scan_equals_plain_window(spark, tables):
         assert rows(got.select(*want.columns)) == rows(want)
 
 
-def test_burst_is_cut_again(spark):
-    # 900 of 1,000 rows lie in one thousandth of the span
-    df = spark.range(1000).select(F.lit(1).alias("k"), F.when(F.col("id") < 900, F.col("id")).otherwise(
-        F.col("id") * 1_000_000).alias("t"))
-    sizes = Timeline(df, ["k"], ["t"], rows_per_task=50)._rows.groupBy("_chunk").count()
-    assert sizes.agg(F.max("count")).first()[0] <= 50
+def largest(df, order):
+    return Timeline(df, ["k"], order, rows_per_task=50)._rows.groupBy("_chunk").count().agg(F.max("count")).first()[0]
+
+
+def test_any_shape_of_a_large_key_is_cut(spark):
+    ids = spark.range(1000).withColumn("k", F.lit(None).cast("int"))
+    burst = F.when(F.col("id") < 900, F.col("id")).otherwise(F.col("id") * 1_000_000)
+    nested = F.when(F.col("id") < 990, F.col("id")).when(F.col("id") < 999, F.col("id") * 1_000).otherwise(10**15)
+    for t in (burst, nested, F.lit(7)):
+        assert largest(ids.withColumn("t", t), ["t", "id"]) <= 50
+
+
+def test_scan_over_equal_times(spark):
+    df = spark.range(200).select(F.lit("a").alias("k"), F.lit(0).alias("t"), "id")
+    got = Timeline(df, ["k"], ["t", "id"], rows_per_task=9).scan(previous={"p": F.col("id")}, running={"r": F.lit(1)}).frame
+    assert sorted((r.id, r.p, r.r) for r in got.collect()) == [(i, i - 1 if i else None, i + 1) for i in range(200)]
+    assert Timeline(df.limit(0), ["k"], ["t", "id"]).scan(running={"r": F.lit(1)}).frame.count() == 0
 
 
 def test_number_rows(spark):
