@@ -10,7 +10,7 @@ from opsframe.catalog.storage import ROUTE_SQL, ROUTES, TAGGED, TAILS, message_l
 from opsframe.plans.session import scratch
 from opsframe.sources import writes
 from opsframe.streaming import operators as T
-from opsframe.streaming.carried import run_to_end
+from opsframe.streaming.carried import run_to_end, updates_to_end
 from opsframe.streaming.logs import ship
 
 
@@ -42,29 +42,48 @@ def streaming_rates(spark, sf):
 
 
 def link_rows(events):
-    """Every event probes a link between its user's switch and another; two types of event also answer it.
+    """Every event probes a link between its user's switch and another; errors also answer it.
 
     Nine event minutes count as one second, so that the events' gaps fit the time limits of links.
     """
-    e, u = F.col("event_id"), F.col("user_id")
+    u = F.col("user_id")
     start = F.lit("2024-01-01").cast("timestamp_ntz")
-    ts = start + F.make_dt_interval(secs=F.timestamp_diff("MICROSECOND", start, F.col("ts")) / 540 / 1000000)
+    ts = start + F.make_dt_interval(secs=F.floor(F.timestamp_diff("MICROSECOND", start, F.col("ts")) / 540) / 1000000)
     ends = [(u % 8).alias("src"), ((u + 1 + u.bitwiseAND(F.lit(1)) * 6) % 8).alias("dst")]
-    rows = events.select(*ends, ts.alias("ts"), "event_type", F.lit(1).cast("long").alias("n"), e.alias("event_id"))
-    kinds = F.when(F.col("event_type").isin("click", "error"), F.array(F.lit("probe"), F.lit("seen"))).otherwise(F.array(F.lit("probe")))
-    rows = rows.select("*", F.posexplode(kinds).alias("_p", "kind")).filter((F.col("kind") == "probe") | (F.col("event_id") % 64 < 20))
+    rows = events.select(*ends, ts.alias("ts"), "event_type", F.lit(1).cast("long").alias("n"), "event_id")
+    kinds = F.when(F.col("event_type") == "error", F.array(F.lit("probe"), F.lit("seen"))).otherwise(F.array(F.lit("probe")))
+    rows = rows.select("*", F.posexplode(kinds).alias("_p", "kind"))
     return rows.select("src", "dst", "ts", (F.col("event_id") * 2 + F.col("_p")).alias("seq"), "kind", "n")
 
 
-@query("t3_liveness_stream")
+PROBES_SQL = """p AS (SELECT user_id % 8 AS src, (user_id + 1 + (user_id & 1) * 6) % 8 AS dst, event_id, event_type,
+      TIMESTAMP '2024-01-01' + to_microseconds(CAST(floor(date_diff('microsecond', TIMESTAMP '2024-01-01', ts) / 540.0) AS BIGINT)) AS ts FROM events)"""
+
+
+# One row of each pair after the other; a row's own link is `my`, its reverse `back`.
+@query("t3_liveness_stream", f"""WITH RECURSIVE {PROBES_SQL},
+    k AS (SELECT src, dst, ts, event_id * 2 AS seq, false AS seen FROM p UNION ALL SELECT src, dst, ts, event_id * 2 + 1, true FROM p WHERE event_type = 'error'),
+    m AS MATERIALIZED (SELECT *, least(src, dst) AS lo, src > dst AS up, row_number() OVER (PARTITION BY least(src, dst), greatest(src, dst) ORDER BY ts, seq) AS i FROM k),
+    r AS (SELECT DISTINCT lo, CAST(0 AS BIGINT) AS i, CAST(NULL AS TIMESTAMP) AS seen0, CAST(NULL AS TIMESTAMP) AS seen1, CAST(0 AS BIGINT) AS sent0, CAST(0 AS BIGINT) AS sent1,
+        false AS aged0, false AS aged1, CAST(NULL AS VARCHAR) AS event FROM m
+      UNION ALL SELECT lo, i,
+        CASE WHEN up THEN seen0 WHEN seen THEN ts WHEN NOT gone THEN seen0 END, CASE WHEN NOT up THEN seen1 WHEN seen THEN ts WHEN NOT gone THEN seen1 END,
+        CASE WHEN up THEN sent0 WHEN seen THEN 0 ELSE sent0 + 1 END, CASE WHEN NOT up THEN sent1 WHEN seen THEN 0 ELSE sent1 + 1 END,
+        CASE WHEN up THEN aged0 OR (gone AND seen0 IS NOT NULL) ELSE aged0 AND NOT seen AND NOT gone END,
+        CASE WHEN NOT up THEN aged1 OR (gone AND seen1 IS NOT NULL) ELSE aged1 AND NOT seen AND NOT gone END,
+        CASE WHEN gone THEN 'delete' WHEN seen AND my IS NULL THEN 'add' END
+      FROM (SELECT *, NOT seen AND my IS NOT NULL AND sent > 5 AND (ts > my + INTERVAL 10 SECOND OR aged) AS gone
+        FROM (SELECT m.lo, m.i, m.up, m.seen, m.ts, seen0, seen1, sent0, sent1, aged0, aged1, CASE WHEN m.up THEN seen1 ELSE seen0 END AS my,
+            CASE WHEN m.up THEN sent1 ELSE sent0 END + 1 AS sent, CASE WHEN m.up THEN aged1 ELSE aged0 END AS aged
+          FROM r JOIN m ON m.lo = r.lo AND m.i = r.i + 1)))
+    SELECT src, dst, ts, seq, event FROM r JOIN m USING (lo, i) WHERE event IS NOT NULL""")
 def liveness_stream(spark, sf):
     stream = link_rows(stream_of(spark, sf, "events"))
     return run_to_end(stream, T.liveness_step())
 
 
-LINK_SQL = """p AS (SELECT user_id % 8 AS src, (user_id + 1 + (user_id & 1) * 6) % 8 AS dst, event_id, event_type,
-      TIMESTAMP '2024-01-01' + to_microseconds(CAST(floor(date_diff('microsecond', TIMESTAMP '2024-01-01', ts) / 540.0) AS BIGINT)) AS ts FROM events),
-    s AS (SELECT src, dst, max(event_id * 2 + 1) AS seq, max(ts) AS last_seen FROM p WHERE event_type IN ('click', 'error') AND event_id % 64 < 20 GROUP BY 1, 2),
+LINK_SQL = PROBES_SQL + """,
+    s AS (SELECT src, dst, max(event_id * 2 + 1) AS seq, max(ts) AS last_seen FROM p WHERE event_type = 'error' GROUP BY 1, 2),
     u AS (SELECT s.src, s.dst, last_seen, count(p.event_id) AS unanswered FROM s LEFT JOIN p ON p.src = s.src AND p.dst = s.dst AND p.event_id * 2 > s.seq GROUP BY 1, 2, 3),
     g AS (SELECT *, last_seen + INTERVAL 10 SECOND < TIMESTAMP '2024-01-01 01:20:05' AND unanswered > 5 AS gone FROM u)"""
 
@@ -111,7 +130,7 @@ def port_events(events):
 @query("t5_live_ports", f"WITH {PORTS} SELECT switch, port, kind FROM last WHERE kind <> 'delete'")
 def live_ports(spark, sf):
     stream = port_events(stream_of(spark, sf, "events"))
-    final = run_to_end(stream, T.ports_step(["switch", "port"], ["ts", "event_id"]))
+    final = updates_to_end(T.port_states(stream, ["switch", "port"], ["ts", "event_id"]), ["switch", "port"])
     return T.live_ports(final, ["switch", "port"], ["ts", "event_id"]).select("switch", "port", "kind")
 
 
@@ -128,6 +147,6 @@ def dead_links(spark, sf):
 @query("t6_sessions", """SELECT user_id, CAST(ts AS DATE) AS day, min(ts) AS start_time, max(CASE WHEN event_type = 'purchase' THEN ts END) AS end_time,
     bool_or(event_type = 'purchase') AS is_finished FROM events GROUP BY 1, 2""")
 def session_records(spark, sf):
-    stream = stream_of(spark, sf, "events").withColumn("day", F.col("ts").cast("date"))
-    step = T.sessions_step(["user_id", "day"], "ts", F.col("event_type") == "purchase")
-    return run_to_end(stream, step)
+    changed = T.session_updates(stream_of(spark, sf, "events"), ["user_id"], "ts", F.col("event_type") == "purchase", "1 day", "1 day")
+    found = updates_to_end(changed, ["user_id", "span"])
+    return found.select("user_id", F.col("start_time").cast("date").alias("day"), "start_time", "end_time", "is_finished")

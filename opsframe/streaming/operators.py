@@ -185,18 +185,23 @@ def expired_now(rows: DataFrame, now: Column, timeout: float = LINK_TIMEOUT, los
     return both.select(*LINK, F.col("_seen.ts").alias("last_seen"), "unanswered", action.alias("action"))
 
 
-def liveness_step(timeout: float = LINK_TIMEOUT, losses: int = LOST_PROBES, rows_per_task: int = 500_000):
+def liveness_step(timeout: float = LINK_TIMEOUT, losses: int = LOST_PROBES, rows_per_task: int = 500_000, keep: str = "1 DAY"):
     """Streaming form of `link_events`.
 
     The state has one row per live link: when it was last seen, the probes it has not answered since,
     and whether it is aged. It is replayed as a sighting and a probe row in front of the batch.
+    A removed link leaves a row that is not live, so that late sightings do not revive it; that row
+    goes once it is older than `keep`, an interval, before the newest row of a batch.
     """
     columns = [*LINK, *AT, "kind", "n"]
 
     def step(batch: DataFrame, prior: DataFrame | None):
         rows, before = batch.select(*columns), None
+        removed = None
         if prior is not None:
             rows = drop_late(rows, prior, LINK, AT)
+            removed = prior.filter("NOT live").select(*LINK, F.struct("ts", F.col("seq").cast("double").alias("seq")).alias("_gone"))
+            prior = prior.filter("live")
             sighting = prior.select(*LINK, *AT, F.lit("seen").alias("kind"), F.lit(0).cast("long").alias("n"))
             probes = prior.select(*LINK, "ts", "seq", F.lit("probe").alias("kind"), "n")
             past = sighting.unionByName(probes).withColumn("replay", F.lit(True))
@@ -223,7 +228,13 @@ def liveness_step(timeout: float = LINK_TIMEOUT, losses: int = LOST_PROBES, rows
             kept = prior.select(*LINK, F.struct("ts", F.col("seq").cast("double").alias("seq")).alias("_was"), F.col("aged").alias("_still"))
             state = state.join(kept, LINK, "left")
             aged = aged | F.coalesce(F.col("_still") & (F.col("_was") == F.col("_seen")), F.lit(False))
-        state = state.select(*LINK, "_seen.ts", F.col("_seen.seq").cast("long").alias("seq"), "n", aged.alias("aged"))
+        at = [F.col("_at.ts").alias("ts"), F.col("_at.seq").cast("long").alias("seq")]
+        state = state.withColumn("_at", F.col("_seen")).select(*LINK, *at, "n", aged.alias("aged"), F.lit(True).alias("live"))
+        dead = (gone if removed is None else gone.unionByName(removed)).groupBy(*LINK).agg(F.max("_gone").alias("_at"))
+        newest = F.lit(rows.agg(F.max("ts").cast("string")).first()[0]).cast(rows.schema["ts"].dataType)
+        dead = dead.join(live, LINK, "left_anti").filter(F.coalesce(F.col("_at.ts") >= newest - F.expr(f"INTERVAL {keep}"), F.lit(True)))
+        dead = dead.select(*LINK, *at, F.lit(0).cast("long").alias("n"), F.lit(False).alias("aged"), F.lit(False).alias("live"))
+        state = state.unionByName(dead)
         return events.withColumn("seq", F.col("seq").cast("long")), state
     return step
 
@@ -246,35 +257,26 @@ def links_of_dead_ports(links: DataFrame, events: DataFrame, port: list[str], or
     return ends[0].unionByName(ends[1]).distinct().withColumn("event", F.lit("delete"))
 
 
-def ports_step(keys: list[str], order: list[str], kind: str = "kind"):
-    """Emit a port's final change in the batch (add, modify, delete); the state is the last event per port."""
-    def step(batch: DataFrame, prior: DataFrame | None):
-        rows = drop_late(batch, prior, keys, order)
-        last = latest(rows, keys, order)
-        state = last if prior is None else latest(prior.select(*batch.columns).unionByName(last), keys, order)
-        return last, state
-    return step
+def port_states(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Last event per port (add, modify, delete). On a stream, `run_updates` emits the ports that a batch touches."""
+    return latest(events, keys, order)
 
 
-def sessions(events: DataFrame, session: list[str], time: str, closed: Column) -> DataFrame:
+def sessions(events: DataFrame, session: list, time: str, closed: Column) -> DataFrame:
     """Opened, closed and finished per session; a session without a logout is open."""
     return events.groupBy(*session).agg(F.min(time).alias("start_time"), F.max(F.when(closed, F.col(time))).alias("end_time"),
                                         F.bool_or(closed).alias("is_finished"))
 
 
-def sessions_step(session: list[str], time: str, closed: Column):
-    """Emit a session's record whenever a batch opens or completes it; the state holds open sessions."""
-    columns = ["start_time", "end_time", "is_finished"]
+def session_updates(stream: DataFrame, session: list[str], time: str, closed: Column, span: str, late: str) -> DataFrame:
+    """`sessions` within spans of time (column `span`, a start in UTC) on a stream, for `run_updates`.
 
-    def step(batch: DataFrame, prior: DataFrame | None):
-        now = sessions(batch, session, time, closed)
-        if prior is not None:
-            both = prior.select(*session, *columns).unionByName(now.select(*session, *columns))
-            now = both.groupBy(*session).agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"),
-                                             F.bool_or("is_finished").alias("is_finished"))
-            touched = batch.select(*session).distinct()
-            record = now.join(touched, session, "left_semi")
-        else:
-            record = now
-        return record, now.filter("NOT is_finished")
-    return step
+    Gives a session's record whenever a batch changes it. Spark keeps a session, finished or not, until the watermark
+    (`late` behind the newest row) passes its span, and drops rows that come after that.
+    """
+    at = F.col(time)
+    if stream.schema[time].dataType.typeName() == "timestamp_ntz":  # watermarks take instants only
+        at = F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), at))
+    rows = stream.withColumn("_event_time", at).withWatermark("_event_time", late)
+    found = sessions(rows, [*session, F.window("_event_time", span).alias("_span")], time, closed)
+    return found.select(*session, F.col("_span.start").alias("span"), "start_time", "end_time", "is_finished")

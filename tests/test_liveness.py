@@ -68,6 +68,21 @@ def test_stream_in_several_batches_equals_the_model(spark, tmp_path):
     assert found(read_output(spark, out)) == model(rows)
 
 
+def test_late_sightings_do_not_revive_a_removed_link(spark):
+    at = [T0 + dt.timedelta(seconds=i) for i in range(40)]
+    first = [(1, 2, at[0], 0, "seen", 1)] + [(1, 2, at[i], i, "probe", 1) for i in range(1, 20)]
+    late = [(1, 2, at[5], 30, "seen", 1), (3, 4, at[39], 31, "probe", 1)]
+    step = T.liveness_step(keep="1 HOUR")
+    events, state = step(spark.createDataFrame(first, SCHEMA), None)
+    assert [e[3] for e in found(events)] == ["add", "delete"]
+    events, state = step(spark.createDataFrame(late, SCHEMA), state)
+    assert found(events) == [] and [tuple(r) for r in state.select("src", "live").collect()] == [(1, False)]
+    events, state = T.liveness_step(keep="10 SECONDS")(spark.createDataFrame([(3, 4, at[39], 32, "probe", 1)], SCHEMA), state)
+    assert found(events) == [] and state.count() == 0
+    events, _ = step(spark.createDataFrame([(1, 2, at[39], 33, "seen", 1)], SCHEMA), state)
+    assert [e[3] for e in found(events)] == ["add"]
+
+
 def test_snapshot(spark):
     rows = [(1, 2, T0, 0, "seen", 1), (2, 1, T0, 1, "seen", 1)] + [
         (1, 2, T0 + dt.timedelta(seconds=i), 1 + i, "probe", 1) for i in range(1, 8)]
