@@ -195,8 +195,9 @@ def _between(groups: DataFrame, bag: DataFrame) -> DataFrame:
 
     The documents outside a group's largest component meet all of the group, in blocks of SIDE by SIDE documents.
     """
-    sizes = groups.groupBy("coarse", "root").agg(F.count("*").alias("n")).groupBy("coarse").agg(
-        F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("largest"), F.count("*").alias("roots")).where("roots > 1")
+    # a table, so that Spark can split the join where a group is hot
+    sizes = saved(groups.groupBy("coarse", "root").agg(F.count("*").alias("n")).groupBy("coarse").agg(
+        F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("largest"), F.count("*").alias("roots")).where("roots > 1"), "sizes")
     held = groups.join(sizes.select("coarse", "n", F.col("largest.root").alias("main"),
                                     (F.col("n") - F.col("largest.n")).alias("out")), "coarse")
     place = F.xxhash64("node")
@@ -272,8 +273,8 @@ def classes(documents: DataFrame) -> DataFrame:
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class), class_size, representative."""
-    found = classes(documents)
-    sizes = found.groupBy("root").agg(F.count("*").alias("class_size"))
+    found = saved(classes(documents), "classes")
+    sizes = saved(found.groupBy("root").agg(F.count("*").alias("class_size")), "sizes")  # as in _between
     return found.join(sizes, "root").select("doc_id", F.col("root._id").alias("class_id"), "class_size",
                                             (_node() == F.col("root")).alias("representative"))
 
