@@ -3,6 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from opsframe.plans.session import cut
 from opsframe.streaming import operators as T
 from opsframe.streaming.carried import read_output, run_carried
 
@@ -75,11 +76,11 @@ def test_late_sightings_do_not_revive_a_removed_link(spark):
     step = T.liveness_step(keep="1 HOUR")
     events, state = step(spark.createDataFrame(first, SCHEMA), None)
     assert [e[3] for e in found(events)] == ["add", "delete"]
-    events, state = step(spark.createDataFrame(late, SCHEMA), state)
+    events, state = step(spark.createDataFrame(late, SCHEMA), cut(state))
     assert found(events) == [] and [tuple(r) for r in state.select("src", "live").collect()] == [(1, False)]
-    events, state = T.liveness_step(keep="10 SECONDS")(spark.createDataFrame([(3, 4, at[39], 32, "probe", 1)], SCHEMA), state)
+    events, state = T.liveness_step(keep="10 SECONDS")(spark.createDataFrame([(3, 4, at[39], 32, "probe", 1)], SCHEMA), cut(state))
     assert found(events) == [] and state.count() == 0
-    events, _ = step(spark.createDataFrame([(1, 2, at[39], 33, "seen", 1)], SCHEMA), state)
+    events, _ = step(spark.createDataFrame([(1, 2, at[39], 33, "seen", 1)], SCHEMA), cut(state))
     assert [e[3] for e in found(events)] == ["add"]
 
 
