@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsframe.llm.store import KEY, keyed, saved, wrapped
+from opsframe.llm.store import KEY, KEY_TYPE, keyed, saved, wrapped
 from opsframe.llm.text import LETTERS, U64, Hashes, blocks, documents_of, lists, mix, of_bytes, ragged, signed, winnow, words
 
 SPAN, GRAM = 10, 5
 SIDE = SPAN - GRAM
 BITS = 25  # of a place in the bitmap: 4 MB, whatever the benchmark's size
-FOUND = "_id long, _key long, n_words long, fp long, pos int, length int, around array<long>"
+FOUND = f"{KEY_TYPE}, n_words long, fp long, pos int, length int, around array<long>"
 
 
 def _fingerprints(values: np.ndarray, first: np.ndarray, short: list[int], whole_only: bool):
@@ -69,13 +69,13 @@ def _scan(docs: DataFrame, short: list[int], whole_only: bool, shared=None) -> D
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), rows.column(1), pa.array(np.diff(first).astype(np.int64)), pa.nulls(n, pa.int64()),
                      pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int64()))],
-                    ["_id", "_key", "n_words", "fp", "pos", "length", "around"])
+                    [*KEY, "n_words", "fp", "pos", "length", "around"])
                 if len(pos):
                     yield pa.RecordBatch.from_arrays(
                         [rows.column(0).take(pa.array(doc)), rows.column(1).take(pa.array(doc)), pa.nulls(len(pos), pa.int64()),
                          pa.array(signed(fp)), pa.array((pos - first[doc]).astype(np.int32)), pa.array(length.astype(np.int32)),
                          lists(around, np.full(len(pos), SPAN + SIDE))],
-                        ["_id", "_key", "n_words", "fp", "pos", "length", "around"])
+                        [*KEY, "n_words", "fp", "pos", "length", "around"])
 
     return docs.select(*KEY, "text").mapInArrow(run, FOUND)
 

@@ -89,7 +89,7 @@ def frequent_lines(docs: DataFrame, least: int, batches: int, fanout: int) -> Da
 
 
 def dropped_lines(docs: DataFrame, least: int, batches: int, fanout: int) -> DataFrame:
-    """(_id, _key, dropped): the sorted positions of each document's frequent lines."""
+    """(_key, _more, dropped): the sorted positions of each document's frequent lines."""
     frequent = frequent_lines(docs, least, batches, fanout)
     hashes = let(F.split("text", "\n", -1), lambda lines: F.transform(lines, lambda x: let(line_key(x), lambda k: F.when(
         F.length(k) > 0, _hashes(k)))))
@@ -105,7 +105,7 @@ def kept_lines(lines, dropped):
 
 
 def line_dedup(documents: DataFrame, least: int = 10, batches: int = 4, fanout: int = 2) -> DataFrame:
-    """(doc_id, _id, _key, n_lines, n_dropped, kept): every text without the lines that `least` documents or more share."""
+    """(doc_id, _key, _more, n_lines, n_dropped, kept): every text without the lines that `least` documents or more share."""
     docs = keyed(documents)
     found = docs.join(dropped_lines(docs, least, batches, fanout), KEY, "left")
     none = F.array().cast("array<int>")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from opsframe.llm.components import components
 from opsframe.llm.contamination import bitmap, inside_bitmap
-from opsframe.llm.store import KEY, keyed, saved, wrapped
+from opsframe.llm.store import KEY, KEY_TYPE, keyed, saved, wrapped
 from opsframe.llm.text import LETTERS, U64, Hashes, blocks, documents_of, lists, mix, of_bytes, signed, words
 
 SHINGLE = 5
@@ -34,8 +34,11 @@ REGISTERS = BAND_ROWS * BANDS
 SIDE = 256  # documents on each side of a block
 
 
+NODE = ["_id", *KEY]
+
+
 def _node():
-    return F.struct(*KEY)
+    return F.struct(*NODE)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray):
@@ -95,7 +98,7 @@ def bands(signature: np.ndarray) -> np.ndarray:
 
 
 def signed_documents(docs: DataFrame) -> DataFrame:
-    """(_id, _key, h1, h2, bands): h1 and h2 are equal for copies; bands are empty without words."""
+    """(_id, _key, _more, h1, h2, bands): h1 and h2 are equal for copies; bands are empty without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,14 +113,14 @@ def signed_documents(docs: DataFrame) -> DataFrame:
                 h1, h2 = np.where(n > 0, sequence, text), np.where(n > 0, total, mix(text) ^ U64(1))
                 some = n > 0
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(1), pa.array(signed(h1)), pa.array(signed(h2)),
-                     lists(signed(found[some].ravel()), np.where(some, BANDS, 0))], [*KEY, "h1", "h2", "bands"])
+                    [*rows.columns[:3], pa.array(signed(h1)), pa.array(signed(h2)),
+                     lists(signed(found[some].ravel()), np.where(some, BANDS, 0))], [*NODE, "h1", "h2", "bands"])
 
-    return docs.select(*KEY, "text").mapInArrow(run, "_id long, _key long, h1 long, h2 long, bands array<long>")
+    return docs.select(*NODE, "text").mapInArrow(run, f"_id long, {KEY_TYPE}, h1 long, h2 long, bands array<long>")
 
 
 def bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(_id, _key, bag) of the wanted documents: the sorted 64-bit hashes of their shingles, with repetitions, as bytes.
+    """(_id, _key, _more, bag) of the wanted documents: the sorted 64-bit hashes of their shingles, with repetitions, as bytes.
 
     A bitmap of fixed size picks documents in the scan, so texts aren't shuffled; a few others pass and do no harm.
     """
@@ -126,13 +129,13 @@ def bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(inside_bitmap(shared.value, batch.column(3).to_numpy().view(np.uint64))))
+            batch = batch.filter(pa.array(inside_bitmap(shared.value, batch.column(4).to_numpy().view(np.uint64))))
             for rows, data, offsets in blocks(batch):
                 values, begin, _, _ = shingles(data, offsets)
                 bag = [np.sort(values[a:b]).tobytes() for a, b in zip(begin[:-1], begin[1:])]
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(bag, pa.binary())], [*KEY, "bag"])
+                yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(bag, pa.binary())], [*NODE, "bag"])
 
-    return docs.select(*KEY, "text", place).mapInArrow(run, "_id long, _key long, bag binary").dropDuplicates(KEY)
+    return docs.select(*NODE, "text", place).mapInArrow(run, f"_id long, {KEY_TYPE}, bag binary").dropDuplicates(KEY)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -243,7 +246,7 @@ def _between(groups: DataFrame, bag: DataFrame) -> DataFrame:
 
 
 def classes(documents: DataFrame) -> DataFrame:
-    """(doc_id, _id, _key, root): root is the least (_id, _key) of the document's class."""
+    """(doc_id, _id, _key, _more, root): root is the least (_id, _key, _more) of the document's class."""
     docs = keyed(documents)
     every = saved(signed_documents(docs), "signatures")
     first = saved(every.groupBy("h1", "h2").agg(F.min(_node()).alias("node")), "copies")
@@ -266,9 +269,9 @@ def classes(documents: DataFrame) -> DataFrame:
         "node", "coarse", F.coalesce("root", "node").alias("root")), "groups")
     more = saved(_between(groups, bag), "links")
     roots = components(links.unionByName(more)) if not more.isEmpty() else fine
-    of = every.select(*KEY, "h1", "h2").join(first, ["h1", "h2"]).join(roots, "node", "left")
-    of = of.select(*KEY, F.coalesce("root", "node").alias("root")).distinct()
-    return docs.select("doc_id", *KEY).join(of, KEY)
+    of = every.select(*NODE, "h1", "h2").join(first, ["h1", "h2"]).join(roots, "node", "left")
+    of = of.select(*NODE, F.coalesce("root", "node").alias("root")).distinct()
+    return docs.select("doc_id", *KEY).join(of, KEY).select("doc_id", *NODE, "root")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:

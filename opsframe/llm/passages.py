@@ -50,7 +50,7 @@ def confirmed(variants: list[np.ndarray], fp: np.ndarray, length: int) -> list[l
 
 
 def recurring(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(_id, _key, start, n, fp, variant, spans): confirmed passages in words from each run's start."""
+    """(_key, _more, start, n, fp, variant, spans): confirmed passages in words from each run's start."""
     found = winnowing.repeating(docs, gram, length, NOT_SPACE)
     every, cold, hot = winnowing.contested(found)
 
@@ -93,7 +93,7 @@ def occurrences(automaton, text: str, width: int, n: int) -> np.ndarray:
 def strip_shard(rows: pa.Table, places: pa.Table) -> pa.Table:
     """Remove the occurrences of the shard's passages from all of its documents.
 
-    rows: _id, _key, doc_id, text; places: _id, _key, start, spans, one for each passage that the documents may hold.
+    rows: _key, _more, doc_id, text; places: _key, _more, start, spans, one for each passage that the documents may hold.
     """
     import ahocorasick
 
@@ -109,11 +109,11 @@ def strip_shard(rows: pa.Table, places: pa.Table) -> pa.Table:
         width += 1
     text = characters(number, width)
     where = {}
-    for i, key in enumerate(zip(rows["_id"].to_pylist(), rows["_key"].to_pylist())):
+    for i, key in enumerate(zip(*(rows[k].to_pylist() for k in KEY))):
         where.setdefault(key, i)
     automaton = ahocorasick.Automaton()
     for r in places.to_pylist():
-        base = int(first[where[(r["_id"], r["_key"])]]) + r["start"]
+        base = int(first[where[tuple(r[k] for k in KEY)]]) + r["start"]
         for s in r["spans"]:
             a, b = base + s["from"], base + s["to"]
             automaton.add_word(text[a * width:b * width], b - a)

@@ -160,7 +160,7 @@ def span_lists(spans: list[list[tuple[int, int]]]) -> pa.Array:
 
 
 def repeated_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(_id, _key, start, spans): what repeats in each run, in bytes from the run's start."""
+    """(_key, _more, start, spans): what repeats in each run, in bytes from the run's start."""
     found = winnowing.repeating(docs, gram, length)
     every, cold, hot = winnowing.contested(found)
 

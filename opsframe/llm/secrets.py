@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsframe.llm.store import KEY, keyed, saved
+from opsframe.llm.store import KEY, KEY_TYPE, keyed, saved
 
 SCOPE = 400
 KINDS = ["assign", "access", "hex", "identifier", "secret", "endpoint"]
@@ -74,12 +74,12 @@ def _scan(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(base, kind), pa.array(rest, kind)],
                                              ["doc_id", *KEY, "base", "parts"])
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _id long, _key long, base {_SPAN}, parts {_SPAN}"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {KEY_TYPE}, base {_SPAN}, parts {_SPAN}"
     return docs.select("doc_id", *KEY, "text").mapInArrow(run, schema)
 
 
 def linked(parts: DataFrame) -> DataFrame:
-    """Of (_id, _key, start, end, kind), the weak secrets with complementary parts in their scope, and those parts.
+    """Of (_key, _more, start, end, kind), the weak secrets with complementary parts in their scope, and those parts.
 
     An interval join: each part is filed under the stretch of the text where it begins and a secret looks into its own
     and the two beside it, so a long document is spread by stretch.

@@ -7,31 +7,31 @@ from pyspark.sql import functions as F
 
 from opsframe.plans.session import scratch
 
-KEY = ["_id", "_key"]
-KEY_BITS = 27
+KEY = ["_key", "_more"]
+KEY_TYPE = "_key long, _more long"
 
 
-def _key(*columns):
-    return F.shiftrightunsigned(F.xxhash64(*columns), 64 - KEY_BITS).alias("_key")
+def _key(doc_id, text):
+    """Two hashes of 64 bits: ids may be null or repeat over much of a table, so they tell nothing apart."""
+    return F.xxhash64(doc_id, text).alias("_key"), F.xxhash64(F.lit("more"), doc_id, text).alias("_more")
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, _id, _key), a null text as the empty text.
+    """(doc_id, text, _id, _key, _more), a null text as the empty text.
 
-    _id and _key are never null and identify a document by its id and its text: rows that repeat an id with
-    another text are documents of their own, rows that repeat both share one result. _key has KEY_BITS bits.
+    _key and _more are never null and identify a document by its id and its text: rows that repeat an id with
+    another text are documents of their own, rows that repeat both share one result. _id, 0 for null, only orders them.
     """
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     found = docs.select(docs[id_col].alias("doc_id"), text.alias("text"))
     return found.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"),
-                        _key("doc_id", "text"))
+                        *_key(F.col("doc_id"), F.col("text")))
 
 
 def wrapped(docs: DataFrame) -> DataFrame:
-    """(_row, _id, _key): whole rows beside their identity, so no column of theirs can clash with a helper's name."""
+    """(_row, _key, _more): whole rows beside their identity, so no column of theirs can clash with a helper's name."""
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    return docs.select(F.struct("*").alias("_row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("_id"),
-                       _key(docs["doc_id"], text))
+    return docs.select(F.struct("*").alias("_row"), *_key(docs["doc_id"], text))
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:

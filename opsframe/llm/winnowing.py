@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsframe.llm.contamination import bitmap, inside_bitmap
-from opsframe.llm.store import KEY, KEY_BITS, saved
+from opsframe.llm.store import KEY, KEY_TYPE, saved
 from opsframe.llm.text import Hashes, blocks, documents_of, lists, mix, of_bytes, ragged, signed, winnow, words
 
 N_BITS = 9  # of a run's number of windows
-START_BITS = 63 - KEY_BITS - N_BITS  # of its first window: documents have fewer than 2**27 units
+START_BITS = 31  # of its first window: places in a document are ints
 HOT = 20_000  # variants of one fingerprint that are compared in one task at most
 SHARD_BYTES = 2 << 20
 
@@ -49,9 +49,9 @@ def runs_of(values: np.ndarray, first: np.ndarray, k: int, length: int):
 
 
 def runs(docs: DataFrame, k: int, length: int, inside: np.ndarray | None = None, bits=None) -> DataFrame:
-    """(fp, variant, _id, at) of all runs, or of those whose fingerprint passes the bitmap; `docs` from `store.keyed`.
+    """(fp, variant, _key, _more, at) of all runs, or of those whose fingerprint passes the bitmap; `docs` from `store.keyed`.
 
-    `at` packs the document's _key, the first window and the number of windows.
+    `at` packs the first window and the number of windows; the document's key has columns of its own, whole.
     """
     assert length - k + 1 < 1 << N_BITS
 
@@ -66,18 +66,16 @@ def runs(docs: DataFrame, k: int, length: int, inside: np.ndarray | None = None,
                     continue
                 if start.max() >> START_BITS:
                     raise ValueError(f"a document has more than 2**{START_BITS} units")
-                key = rows.column(1).to_numpy()[doc]
-                at = key << (START_BITS + N_BITS) | start << N_BITS | n
-                yield pa.RecordBatch.from_arrays([pa.array(signed(fp)), pa.array(signed(variant)), rows.column(0).take(pa.array(doc)),
-                                                  pa.array(at)], ["fp", "variant", "_id", "at"])
+                at = start << N_BITS | n
+                yield pa.RecordBatch.from_arrays([pa.array(signed(fp)), pa.array(signed(variant)), *(
+                    rows.column(i).take(pa.array(doc)) for i in range(len(KEY))), pa.array(at)], ["fp", "variant", *KEY, "at"])
 
-    return docs.select(*KEY, "text").mapInArrow(find, "fp long, variant long, _id long, at long")
+    return docs.select(*KEY, "text").mapInArrow(find, f"fp long, variant long, {KEY_TYPE}, at long")
 
 
 def unpacked(df: DataFrame) -> DataFrame:
-    """`at` as _key, start and n."""
-    return df.withColumns({"_key": F.shiftright("at", START_BITS + N_BITS),
-                           "start": F.shiftright("at", N_BITS).bitwiseAND((1 << START_BITS) - 1).cast("int"),
+    """`at` as start and n."""
+    return df.withColumns({"start": F.shiftright("at", N_BITS).cast("int"),
                            "n": F.col("at").bitwiseAND((1 << N_BITS) - 1).cast("int")}).drop("at")
 
 
@@ -117,9 +115,9 @@ def places_of(rows: pa.RecordBatch, first: np.ndarray):
 
 
 def contested(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One place of each variant of contested fingerprints, (fp, variant, copies, _id, at): all, the ordinary and the hot ones."""
+    """One place of each variant of contested fingerprints, (fp, variant, copies, _key, _more, at): all, the ordinary and the hot ones."""
     one = saved(found.where("contested").groupBy("fp", "variant").agg(
-        F.count("*").alias("copies"), F.min(F.struct("_id", "at")).alias("p")).select("fp", "variant", "copies", "p.*"), "variants")
+        F.count("*").alias("copies"), F.min(F.struct(*KEY, "at")).alias("p")).select("fp", "variant", "copies", "p.*"), "variants")
     hot = saved(one.groupBy("fp").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("fp"), "hot")
     return one, one.join(hot, "fp", "left_anti"), one.join(hot, "fp", "left_semi")
 
@@ -128,7 +126,7 @@ SPANS = "array<struct<from:int,to:int>>"
 
 
 def repeated_parts(found: DataFrame, parts: DataFrame, every: DataFrame, length: int) -> DataFrame:
-    """(_id, _key, start, n, fp, variant, spans) of the runs that repeat, the spans in units from the run's start.
+    """(_key, _more, start, n, fp, variant, spans) of the runs that repeat, the spans in units from the run's start.
 
     found: from `repeating`; every: all variants from `contested`; parts: what repeats in single ones.
     """
