@@ -3,7 +3,7 @@
 One pass finds the base spans and the parts of multipart credentials: access identifiers, weak secrets (long mixed
 strings that no base pattern names) and endpoints. Parts are joined by interval within their scope: a weak secret is
 reported only if an identifier and an endpoint, or an identifier alone of the strong form, lie within `SCOPE` code points
-of it in the same document; the identifier and endpoint that support it are reported too.
+of it in the same document; all identifiers and endpoints that support it are reported too.
 
 Null and empty texts have no spans. Rows that repeat a document get the same spans each. Offsets are code points.
 """
@@ -90,12 +90,15 @@ def linked(parts: DataFrame) -> DataFrame:
     # a part supports every secret near it, so one row per part and secret is the size of the answer
     others = parts.where(F.col("kind") != KINDS.index("secret")).select(*KEY, "start", "end", "kind", stretch.alias("stretch"))
     near = secrets.join(others, [*KEY, "stretch"]).where(F.abs(F.col("start") - F.col("s")) <= SCOPE)
-    got = near.groupBy(*KEY, "s", "e").agg(
-        F.min(F.when(F.col("kind").isin(KINDS.index("identifier"), KINDS.index("access")), F.struct("start", "end", "kind"))).alias("who"),
-        F.min(F.when(F.col("kind") == KINDS.index("endpoint"), F.struct("start", "end", "kind"))).alias("where")).where(
-        f"who is not null and (where is not null or who.kind = {KINDS.index('access')})")
+    # the parts of one secret begin within 2 * SCOPE + 1 code points, so their set is small
+    got = near.groupBy(*KEY, "s", "e").agg(F.collect_set(F.struct("start", "end", "kind")).alias("others"))
+
+    def some(kind):
+        return F.exists("others", lambda x: x["kind"] == KINDS.index(kind))
+
+    got = got.where(some("access") | some("identifier") & some("endpoint"))
     whole = F.struct(F.col("s").alias("start"), F.col("e").alias("end"), F.lit(KINDS.index("secret")).alias("kind"))
-    return got.select(*KEY, F.explode(F.array(whole, "who", "where")).alias("x")).where("x is not null").select(*KEY, "x.*")
+    return got.select(*KEY, F.explode(F.concat(F.array(whole), "others")).alias("x")).select(*KEY, "x.*").distinct()
 
 
 def secrets(documents: DataFrame) -> DataFrame:
