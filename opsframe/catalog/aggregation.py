@@ -179,6 +179,11 @@ def _trim(p):
     round(stddev_pop(us) FILTER (rn <= floor(n * {p} / 100)), 3) AS std{p}"""
 
 
+RESPONSE_SQL = f"""q AS (SELECT CAST(ts AS DATE) AS day, event_type, CAST(floor(value * 1000) AS BIGINT) AS us FROM events),
+    r AS (SELECT *, row_number() OVER (PARTITION BY day, event_type ORDER BY us) AS rn, count(*) OVER (PARTITION BY day, event_type) AS n FROM q),
+    rt AS (SELECT day, event_type, avg(us) AS avg, {_trim(95)}, {_trim(99)} FROM r GROUP BY 1, 2)"""
+
+
 @query("a12_response_times", f"""WITH e AS (SELECT CAST(ts AS DATE) AS day, event_type, CAST(floor(value * 1000) AS BIGINT) AS us FROM events),
     r AS (SELECT *, row_number() OVER (PARTITION BY day, event_type ORDER BY us) AS rn, count(*) OVER (PARTITION BY day, event_type) AS n FROM e)
     SELECT day, event_type, count(*) AS count, max(us) AS max, min(us) AS min, round(avg(us), 3) AS avg, median(us) AS med,

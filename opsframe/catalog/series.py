@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from opsframe.catalog.aggregation import RESPONSE_SQL
 from opsframe.catalog.base import query, table
+from opsframe.operators import aggregates as A
 from opsframe.operators import metrics as M
 from opsframe.operators import sessions as S
 from opsframe.plans.ordered import Timeline
@@ -43,6 +45,25 @@ def counter_rates(spark, sf):
     return rates.select("host", "event_id", *[f"{c}_rate" for c in names])
 
 
+# all sampled counters; the summands read the same in Spark and in the oracle
+ALL_COUNTERS = {c: f"CASE WHEN event_type = '{k}' THEN CAST(floor(value) AS BIGINT) ELSE 0 END" for k, c in KINDS.items()} | {
+    BUFFER[0]: "event_id % 1000", BUFFER[1]: "event_id % 10",
+    "Innodb_rows_inserted": "event_id % 11", "Innodb_rows_updated": "event_id % 13", "Innodb_rows_deleted": "event_id % 17",
+    "Innodb_rows_read": "event_id % 101", "Innodb_buffer_pool_pages_flushed": "event_id % 19",
+    "Innodb_data_reads": "event_id % 23", "Innodb_data_writes": "event_id % 29",
+    "Innodb_data_read": "200000 * (event_id % 97)", "Innodb_data_written": "150000 * (event_id % 89)",
+    "Innodb_os_log_fsyncs": "event_id % 5", "Innodb_os_log_written": "40000 * (event_id % 47)",
+    "Threads_created": "event_id % 3", "Bytes_received": "event_id % 1009"}
+
+
+@query("w1_all_counter_rates", "WITH s AS (SELECT user_id AS host, ts, event_id, " + ", ".join(
+    f"{by_host(x)} AS {c}" for c, x in ALL_COUNTERS.items()) + " FROM events) SELECT host, event_id, " + ", ".join(
+    f"{rate(c, '10.0')} AS {c}_rate" for c in ALL_COUNTERS) + " FROM s WINDOW w AS (PARTITION BY host ORDER BY ts, event_id)")
+def all_counter_rates(spark, sf):
+    rates = M.counter_rates(system_samples(spark, sf, ALL_COUNTERS), M.RATE_COUNTERS, 10).frame
+    return rates.select("host", "event_id", *[f"{c}_rate" for c in M.RATE_COUNTERS])
+
+
 @query("w2_statement_rates", f"""WITH {SAMPLES}, r AS (SELECT host, event_id, {rate('Com_insert', '1.0')} AS ins, {rate('Com_update', '1.0')} AS upd,
     {rate('Com_delete', '1.0')} AS del, {rate('Com_select', '1.0')} AS sel FROM s WINDOW w AS (PARTITION BY host ORDER BY ts, event_id))
     SELECT *, ins + upd + del AS iud FROM r""")
@@ -71,7 +92,7 @@ NET = {"recv": "1000 * (event_id % 97)", "send": "10 * (event_id % 89)", "pswpin
 def system_samples(spark, sf, *sets):
     """Cumulative system counters per user; the expressions read the same in Spark and in the oracle."""
     sums = {n: F.expr(x).cast("long") for group in sets for n, x in group.items()}
-    events = table(spark, sf, "events").select(F.col("user_id").alias("host"), "ts", "event_id", "value")
+    events = table(spark, sf, "events").select(F.col("user_id").alias("host"), "ts", "event_id", "event_type", "value")
     return Timeline(events, ["host"], ["ts", "event_id"]).scan(running=sums)
 
 
@@ -152,6 +173,37 @@ def alert_rows(spark, sf):
     return M.alerts(line.frame, ["host", "event_id"], "ts", rules)
 
 
+# busier hosts, so that each rule is met by some sample
+BUSY = [TICKS | {"iowait": "event_id % 60"},
+        DISK | {"rd_sectors": "80 * (event_id % 50)", "wr_sectors": "160 * (event_id % 30)", "ticks": "event_id % 900"},
+        NET | {"send": "100 * (event_id % 89)"}]
+GAUGES = {"load1": "event_id % 9", "load5": "event_id % 7", "load15": "event_id % 6", "ncpu": "4"}
+STATUS = {c: ALL_COUNTERS[c] for c in (*BUFFER, "Innodb_data_read", "Innodb_data_written", "Innodb_os_log_written")}
+ALL_LIMITS = [("load1", ">", "ncpu"), ("load5", ">", "ncpu"), ("load15", ">", "ncpu"), *ALERT_LIMITS,
+              ("hit", "<=", "99"), ("Innodb_data_read_rate", ">", "9437184"), ("Innodb_data_written_rate", ">", "9437184"),
+              ("Innodb_os_log_written_rate", ">", "1048576"), ("avg", ">", "10000"), ("avg95", ">", "10000"), ("avg99", ">", "10000")]
+
+
+@query("w8_all_alerts", f"""WITH {increments(*BUSY, STATUS)}, {CPU_SQL}, {DISK_SQL}, {RESPONSE_SQL},
+    y AS (SELECT x.*, {percent_sql('usr')}, {percent_sql('sys')}, {percent_sql('iow')},
+    """ + ", ".join(f"CASE WHEN first_sample THEN 0 ELSE d_{c} END AS {c}_rate" for c in (*NET, *STATUS)) + ", " + ", ".join(
+    f"{e.replace('event_id', 'x.event_id')} AS {g}" for g, e in GAUGES.items()) + f""", rt.avg, rt.avg95, rt.avg99
+      FROM x JOIN events e ON e.event_id = x.event_id JOIN rt ON rt.day IS NOT DISTINCT FROM CAST(e.ts AS DATE) AND rt.event_type IS NOT DISTINCT FROM e.event_type),
+    z AS (SELECT *, CASE WHEN {BUFFER[0]}_rate > 0 THEN ({BUFFER[0]}_rate - {BUFFER[1]}_rate) / {BUFFER[0]}_rate * 100.0::DOUBLE ELSE 100.0 END AS hit FROM y)
+    """ + " UNION ALL ".join(f"SELECT host, event_id, '{m}' AS metric, '{m} {o} ' || {lim} AS msg, ts AS time, CAST(0 AS BIGINT) AS is_finished FROM z WHERE {m} {o} {lim}"
+                             for m, o, lim in ALL_LIMITS))
+def all_alert_rows(spark, sf):
+    line = M.cpu_percent(system_samples(spark, sf, *BUSY, STATUS))
+    line = M.traffic_rates(M.disk_rates(line, M.elapsed_ms(4)), ["recv", "send"], ["pswpin", "pswpout"])
+    samples = M.counter_rates(line, list(STATUS)).frame.withColumns({g: F.expr(x) for g, x in GAUGES.items()} | {
+        "hit": M.hit_percent(*[F.col(f"{c}_rate") for c in BUFFER]), "day": F.col("ts").cast("date")})
+    keys = ["day", "event_type"]
+    times = A.response_times(samples.select(*keys, F.floor(F.col("value") * 1000).alias("us")), keys, "us")
+    times = times.select(*[F.col(k).alias(f"_{k}") for k in keys], "avg", "avg95", "avg99")
+    both = samples.join(times, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return M.alerts(both, ["host", "event_id"], "ts")
+
+
 # --- sessions ------------------------------------------------------------------------------------
 
 @query("w9_event_gaps", """WITH e AS (SELECT *, CAST(ts AS DATE) AS day FROM events), g AS (SELECT event_id, user_id, day, octet_length(CAST(props AS BLOB)) AS bytes,

@@ -219,6 +219,33 @@ def host_facts(spark, sf):
         "product_uuid", "hostname", "distribution", "processor_cores", "ipv4", "domain", "last_update")
 
 
+# every stored fact: what `setup` reports for it, and the text that is stored
+HARDWARE = {n: f"'{n}-' || (c_custkey % {i + 3})" for i, n in enumerate(inventory.FACTS)} | {
+    n: f"CAST(c_custkey % {i} AS INTEGER)" for i, n in enumerate(inventory.NUMBERS, 5)} | {
+    n: f"""'{{"address":"' || (c_custkey % 250) || '"}}'""" for n in ("ipv4", "ipv6", "eth0", "eth1")} | {
+    "product_uuid": "md5(CAST(c_custkey // 2 AS VARCHAR))", "mounts": """'[{"mount":"/data' || (c_custkey % 3) || '"}]'"""}
+
+
+@query("s16_all_host_facts", "SELECT " + ", ".join(
+    f"{x if n == 'product_uuid' else f'min_by({x}, c_custkey)'} AS {n}" for n, x in HARDWARE.items()) + """,
+    TIMESTAMP '2024-02-01' AS last_update FROM customer GROUP BY c_custkey // 2""")
+def all_host_facts(spark, sf):
+    key = F.col("c_custkey")
+    found = {n: F.concat(F.lit(f"{n}-"), key % (i + 3)) for i, n in enumerate(inventory.FACTS)}
+    found |= {n: key % i for i, n in enumerate(inventory.NUMBERS, 5)}
+    found |= {n: F.struct((key % 250).cast("string").alias("address")) for n in ("ipv4", "ipv6", "eth0", "eth1")}
+    found |= {"product_uuid": F.md5(F.floor(key / 2).cast("string")),
+              "mounts": F.array(F.struct(F.concat(F.lit("/data"), key % 3).alias("mount")))}
+    facts = F.struct(*[x.alias(f"ansible_{inventory.FACT_KEYS.get(n, n)}") for n, x in found.items()])
+    text = F.concat(F.col("c_name"), F.lit(" | success => "), F.to_json(F.struct(facts.alias("ansible_facts"))))
+    lines = table(spark, sf, "customer").select("c_custkey", text.alias("text"))
+    rows = inventory.read_facts(lines, "text", F.lit("2024-02-01").cast("timestamp_ntz"))
+    path = scratch(spark, "facts")
+    rows.limit(0).drop("c_custkey", "text").write.parquet(path)
+    writes.insert_or_ignore(rows.drop("text"), path, ["product_uuid"], ["c_custkey"])
+    return spark.read.schema(rows.drop("c_custkey", "text").schema).parquet(path).select(*inventory.FACTS, "last_update")
+
+
 # --- shards --------------------------------------------------------------------------------------
 
 TEN = ShardMap((("node_a", 0, 3), ("node_b", 4, 6), ("node_c", 7, 9)))
