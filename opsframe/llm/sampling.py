@@ -15,8 +15,8 @@ def labelled(documents: DataFrame, labels: DataFrame, name: str, per_class: tupl
     """Texts and labels of at most `per_class` documents of label 0 and 1 that aren't held out, and the share of label 1.
 
     The choice depends on doc_ids alone, so each run fits the same model. Texts of more than `longest` characters aren't
-    used to fit (they are scored whole), so the sample is bounded by sum(per_class) * longest characters. A label of null
-    counts as none; an id with several labels has the largest.
+    used to fit (they are scored whole), and of an id with several texts one is taken, so the sample is bounded by
+    sum(per_class) * longest characters. A label of null counts as none; an id with several labels has the largest.
     """
     one = labels.where(labels["doc_id"].isNotNull() & labels[name].isNotNull()).groupBy(labels["doc_id"].alias("doc_id")).agg(
         F.max(labels[name]).cast("int").alias("label")).where(~held_out(F.col("doc_id")))
@@ -28,7 +28,7 @@ def labelled(documents: DataFrame, labels: DataFrame, name: str, per_class: tupl
     rows = []
     for label in (0, 1):
         chosen = known.where(F.col("label") == label).orderBy(order, "doc_id").limit(per_class[label])
-        rows += texts.where(F.length("text") <= longest).join(F.broadcast(chosen), "doc_id").select(
-            "doc_id", "text", "label").orderBy("doc_id", "text").collect()
+        rows += texts.where(F.length("text") <= longest).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(
+            F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text")).orderBy("doc_id", "text").collect()
     n = sum(total.values())
     return [r.text for r in rows], [r.label for r in rows], total.get(1, 0) / n if n else 0.5
