@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from opsframe.llm import winnowing
 from opsframe.llm.repeats import span_lists
-from opsframe.llm.store import KEY, keyed
+from opsframe.llm.store import KEY, KEY_TYPE, keyed, saved
 from opsframe.llm.text import NOT_SPACE, Hashes, of_bytes, parts, ragged, words
 
 LENGTH, GRAM = 35, 8
@@ -93,7 +93,7 @@ def occurrences(automaton, text: str, width: int, n: int) -> np.ndarray:
 def strip_shard(rows: pa.Table, places: pa.Table) -> pa.Table:
     """Remove the occurrences of the shard's passages from all of its documents.
 
-    rows: _key, _more, doc_id, text; places: _key, _more, start, spans, one for each passage that the documents may hold.
+    rows: _key, _more, text, each document once; places: _key, _more, start, spans, one for each passage that the documents may hold.
     """
     import ahocorasick
 
@@ -130,7 +130,7 @@ def strip_shard(rows: pa.Table, places: pa.Table) -> pa.Table:
         n_words.append(b - a)
         n_removed.append(int(gone.sum()))
         digest.append(hashlib.sha256(out.tobytes()).hexdigest())
-    return pa.table({"doc_id": rows["doc_id"], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
+    return pa.table({**{k: rows[k] for k in KEY}, "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
                      "kept_sha256": pa.array(digest, pa.string())})
 
 
@@ -138,12 +138,16 @@ def without_passages(documents: DataFrame, length: int = LENGTH, gram: int = GRA
     """doc_id, n_words, n_removed, kept_sha256."""
     docs = keyed(documents)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # rows that repeat a document share its result, so one of them goes to a shard
+    twice = saved(docs.groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1").select(*KEY), "repeated-rows")
+    one = docs.select(*KEY, "text")
+    one = one.join(twice, KEY, "left_anti").unionByName(one.join(twice, KEY, "left_semi").dropDuplicates(KEY))
     shard = F.pmod(F.xxhash64(*KEY, F.lit("shard")), F.lit(max(1, -(-int(total) // SHARD_BYTES)))).cast("int").alias("shard")
     places = recurring(docs, length, gram).withColumn("shard", shard)
     # a passage that several documents of a shard hold is taken from the first of them
     once = places.groupBy("shard", "fp", "variant").agg(F.min(F.struct(*KEY, "start", "spans")).alias("p")).select("shard", "p.*")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    left = docs.select(shard, *KEY, "doc_id", "text").toDF("shard", *KEY, "doc_id", "text")
+    left = one.select(shard, *KEY, "text").toDF("shard", *KEY, "text")
     right = once.toDF("shard", *KEY, "start", "spans")
-    return left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(
-        lambda a, b: strip_shard(a.drop_columns(["shard"]), b), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+    stripped = saved(left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(
+        lambda a, b: strip_shard(a.drop_columns(["shard"]), b), f"{KEY_TYPE}, n_words long, n_removed long, kept_sha256 string"), "stripped")
+    return docs.select("doc_id", *KEY).join(stripped, KEY).select("doc_id", "n_words", "n_removed", "kept_sha256")
