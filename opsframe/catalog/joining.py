@@ -159,3 +159,16 @@ def diff(spark, sf):
     def count(where):
         return events.filter(where).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     return joins.snapshot_diff(count("ts < timestamp_ntz'2024-01-16'"), count("ts >= timestamp_ntz'2024-01-16'"), key, ["n"])
+
+
+@query("j11_states_diff", """WITH a AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1, 2),
+    b AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE ts < TIMESTAMP '9999-01-01' GROUP BY 1, 2)
+    SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.event_type, b.event_type) AS event_type, a.n AS old_n, b.n AS new_n,
+    CASE WHEN a.n IS NULL THEN 'add' WHEN b.n IS NULL THEN 'delete' ELSE 'move' END AS change
+    FROM a FULL JOIN b ON a.user_id IS NOT DISTINCT FROM b.user_id AND a.event_type IS NOT DISTINCT FROM b.event_type WHERE a.n IS DISTINCT FROM b.n""")
+def states_diff(spark, sf):
+    """The state of all events up to one moment against that up to another, behind the last event."""
+    events, key = table(spark, sf, "events"), ["user_id", "event_type"]
+    def state(until):
+        return events.filter(f"ts < timestamp_ntz'{until}'").groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    return joins.snapshot_diff(state("2024-01-16"), state("9999-01-01"), key, ["n"])
