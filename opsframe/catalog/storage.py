@@ -9,7 +9,7 @@ from opsframe.operators.aggregates import hosts_by_path
 from opsframe.plans.model import Model
 from opsframe.plans.session import scratch
 from opsframe.sources import inventory, logs, writes
-from opsframe.sources.shards import ShardMap, delete_shard_rows, read_shard, update_shard_rows, write_sharded
+from opsframe.sources.shards import ShardMap, delete_shard_rows, read_shard, replace_shard, update_shard_rows, write_sharded
 from opsframe.sources.tables import scan
 
 
@@ -287,3 +287,20 @@ def shard_update(spark, sf):
     write_sharded(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), TEN, "o_custkey", path)
     rows = update_shard_rows(spark, TEN, "o_custkey", 77, path, F.col("o_totalprice") > 100000, {"o_orderstatus": F.lit("X")})
     return rows.select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+@query("h3_shard_delete_table", "SELECT * FROM orders WHERE NOT (o_custkey = 77 AND o_orderstatus = 'F')")
+def shard_delete_table(spark, sf):
+    path, orders = scratch(spark, "sharded"), table(spark, sf, "orders")
+    write_sharded(orders, TEN, "o_custkey", path)
+    replace_shard(delete_shard_rows(spark, TEN, "o_custkey", 77, path, F.col("o_orderstatus") == "F"), TEN, 77, path)
+    return spark.read.parquet(path).select(*orders.columns)
+
+
+@query("h3_shard_update_table", """SELECT o_orderkey, o_custkey, CASE WHEN o_custkey = 77 AND o_totalprice > 100000 THEN 'X' ELSE o_orderstatus END AS o_orderstatus
+    FROM orders""")
+def shard_update_table(spark, sf):
+    path = scratch(spark, "sharded")
+    write_sharded(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), TEN, "o_custkey", path)
+    replace_shard(update_shard_rows(spark, TEN, "o_custkey", 77, path, F.col("o_totalprice") > 100000, {"o_orderstatus": F.lit("X")}), TEN, 77, path)
+    return spark.read.parquet(path).select("o_orderkey", "o_custkey", "o_orderstatus")

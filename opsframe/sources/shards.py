@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opsframe.plans.session import scratch
 from opsframe.sources.writes import update_where
 
 SHARD = "_shard"
@@ -65,3 +66,18 @@ def update_shard_rows(spark: SparkSession, shards: ShardMap, column: str, value:
     """Rows of the value's shard with columns set where the value and the condition match; only that shard is read."""
     rows = spark.read.parquet(path).filter(F.col(SHARD) == value % shards.modulus)
     return update_where(rows, (F.col(column) == value) & condition, values)
+
+
+def replace_shard(rows: DataFrame, shards: ShardMap, value: int, path: str) -> None:
+    """Write the value's shard anew from `rows` of `delete_shard_rows` or `update_shard_rows`; other folders stay untouched.
+
+    The rows come from the folder that they replace, so they are written elsewhere first.
+    """
+    spark, held = rows.sparkSession, scratch(rows.sparkSession, "shard")
+    rows.write.parquet(held)
+    new = spark.read.schema(rows.schema).parquet(held)
+    if new.isEmpty():  # a dynamic overwrite without rows leaves the folder as it is
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{SHARD}={value % shards.modulus}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    else:
+        new.hint("rebalance", SHARD).write.partitionBy(SHARD).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
