@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsframe.llm import contamination, lines, near, packing, passages, quality, repeats, rules, secrets, toxicity
+from opsframe.llm import (
+    contamination,
+    lines,
+    near,
+    packing,
+    passages,
+    quality,
+    repeats,
+    rules,
+    secrets,
+    spelling,
+    tokens,
+    toxicity,
+    whitening,
+)
 from opsframe.plans.session import ship_package
 
 QUERIES: dict = {}
@@ -80,3 +94,19 @@ def line_dedup(spark, folder):
 @query("op10_repeated_phrases")
 def repeated_phrases(spark, folder):
     return passages.without_passages(table(spark, folder, "documents"))
+
+
+@query("op11_embedding_whitening")
+def embedding_whitening(spark, folder):
+    """A deviation that leaves a long, which only a table of very many vectors can give, is null here."""
+    return whitening.whitened(table(spark, folder, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
+@query("op12_spelling_variants")
+def spelling_variants(spark, folder):
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+@query("op13_token_counts")
+def token_counts(spark, folder):
+    return tokens.token_counts(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
