@@ -7,6 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opsframe.plans.session import ship_package
+from opsframe.sources.tail import TailLines
+
 # Syslog severities and facilities in numeric order (RFC 5424).
 SEVERITIES = ["emerg", "alert", "crit", "error", "warning", "notice", "info", "debug"]
 SEVERITY_ALIASES = {"panic": "emerg", "err": "error", "warn": "warning"}
@@ -48,7 +51,10 @@ def read_lines(spark: SparkSession, path: str, rules: list[TailRule]) -> DataFra
 
 
 def tail_lines(spark: SparkSession, path: str, rules: list[TailRule], max_files: int | None = None) -> DataFrame:
-    """Stream of new lines. The stream's checkpoint remembers what was read; `max_files` bounds a batch."""
+    """Stream of the lines of new files, each of which is read once and must be whole (see `follow_lines`).
+
+    The stream's checkpoint remembers what was read; `max_files` bounds a batch.
+    """
     reader = spark.readStream.format("text").option("recursiveFileLookup", "true")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
@@ -56,6 +62,18 @@ def tail_lines(spark: SparkSession, path: str, rules: list[TailRule], max_files:
     return tag_lines(lines, rules)
 
 
+def follow_lines(spark: SparkSession, path: str, rules: list[TailRule], **options) -> DataFrame:
+    """Stream of the lines appended to files below `path`, tagged: files grow, are rotated, cut and removed meanwhile.
+
+    Columns msg, file, at (the line's first byte) and the tags; options as for `TailLines`. `tail_lines` reads each file
+    once instead, from any store that Spark's own readers reach.
+    """
+    ship_package(spark)
+    spark.dataSource.register(TailLines)
+    lines = spark.readStream.format("tail_lines").options(path=path, **options).load()
+    return tag_lines(lines.withColumnRenamed("value", "msg"), rules)
+
+
 def selector(text: str, facility: Column, severity: Column) -> Column:
     """`fac.sev;fac.none;...`: that severity or worse, `*` for any, `.none` to leave a facility out."""
     hit, out = F.lit(False), F.lit(False)
