@@ -8,10 +8,10 @@ from opsframe.catalog.base import query, table
 from opsframe.catalog.series import BUFFER, KINDS, SAMPLES, counters, rate
 from opsframe.catalog.storage import ROUTE_SQL, ROUTES, TAGGED, TAILS, message_lines
 from opsframe.plans.session import scratch
-from opsframe.sources import writes
+from opsframe.streaming import keyed as K
 from opsframe.streaming import operators as T
-from opsframe.streaming.carried import run_to_end, updates_to_end
 from opsframe.streaming.logs import ship
+from opsframe.streaming.updates import newest_updates, updates_to_end
 
 
 def stream_of(spark, sf, name):
@@ -20,6 +20,21 @@ def stream_of(spark, sf, name):
     return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
+def in_two_runs(spark, rows, time, build):
+    """All output of build(stream) over the earlier and the later half of `rows`' time, each half a run of one query.
+
+    The second run starts from the checkpoint of the first, with its state and watermark.
+    """
+    path, out, check = scratch(spark, "halves"), scratch(spark, "stream-out"), scratch(spark, "stream")
+    ends = rows.agg(F.min(time).alias("a"), F.max(time).alias("b")).first()
+    later = F.lit(False) if ends.a is None else F.col(time) > F.lit(ends.a + (ends.b - ends.a) / 2)
+    for part, half in enumerate((~later, later)):
+        rows.where(half).write.parquet(f"{path}/part={part}")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{path}/part=*")
+        K.run_batches(build(stream), out, check).awaitTermination()
+    return out
+
+
 @query("t1_tail_tag_route", f"WITH {TAGGED} " + " UNION ALL ".join(
     f"SELECT '{r}' AS route, 'web01 ' || tag || ' ' || msg AS line FROM tagged WHERE {w}" for r, w in ROUTE_SQL.items()))
 def tail_tag_route(spark, sf):
@@ -35,10 +50,8 @@ RATED = [*KINDS.values(), *BUFFER]
     f"{rate(c, '5.0')} AS {c}_rate" for c in RATED) + " FROM s WINDOW w AS (PARTITION BY host ORDER BY ts, event_id)")
 def streaming_rates(spark, sf):
     samples = counters(spark, sf).frame.select("host", "ts", "event_id", *RATED)
-    path = writes.publish(samples, "samples")
-    stream = spark.readStream.schema(samples.schema).parquet(path)
-    rates = run_to_end(stream, T.rates_step(["host"], ["ts", "event_id"], RATED, 5))
-    return rates.select("host", "event_id", *[f"{c}_rate" for c in RATED])
+    out = in_two_runs(spark, samples, "ts", lambda s: K.streaming_rates(s, ["host"], ["ts", "event_id"], RATED, 5, keep=365 * K.DAY))
+    return K.read_batches(spark, out).select("host", "event_id", *[f"{c}_rate" for c in RATED])
 
 
 def link_rows(events):
@@ -78,8 +91,48 @@ PROBES_SQL = """p AS (SELECT user_id % 8 AS src, (user_id + 1 + (user_id & 1) *
           FROM r JOIN m ON m.lo = r.lo AND m.i = r.i + 1)))
     SELECT src, dst, ts, seq, event FROM r JOIN m USING (lo, i) WHERE event IS NOT NULL""")
 def liveness_stream(spark, sf):
-    stream = link_rows(stream_of(spark, sf, "events"))
-    return run_to_end(stream, T.liveness_step())
+    events = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type")
+    out = in_two_runs(spark, events, "ts", lambda s: K.streaming_liveness(link_rows(s)))
+    return K.read_batches(spark, out).where("NOT late").select("src", "dst", "ts", "seq", "event")
+
+
+SILENCE = (K.LOST_PROBES + 1) * K.PROBE_PERIOD
+# Before each row, and at the last watermark, the links whose time is over go: the one that is due first (`p`), then perhaps
+# its reverse, which has aged. Side 0 is the link from lo to hi.
+@query("t3_silent_links", f"""WITH RECURSIVE {PROBES_SQL},
+    k AS (SELECT src, dst, epoch_us(ts) AS t, event_id * 2 AS seq, 0 AS kind FROM p UNION ALL SELECT src, dst, epoch_us(ts), event_id * 2 + 1, 1 FROM p WHERE event_type = 'error'),
+    g AS (SELECT src, dst, t, seq, kind FROM k UNION ALL
+      SELECT least(src, dst), greatest(src, dst), (SELECT max(t) // 1000 * 1000 - 60000000 FROM k), NULL, 2 FROM k GROUP BY 1, 2),
+    m AS MATERIALIZED (SELECT *, least(src, dst) AS lo, greatest(src, dst) AS hi, src > dst AS up,
+        row_number() OVER (PARTITION BY least(src, dst), greatest(src, dst) ORDER BY kind = 2, t, seq) AS i FROM g),
+    r AS (SELECT DISTINCT lo, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS s0, CAST(NULL AS BIGINT) AS s1, CAST(0 AS BIGINT) AS n0, CAST(0 AS BIGINT) AS n1,
+        CAST(NULL AS BIGINT) AS a0, CAST(NULL AS BIGINT) AS a1, CAST(NULL AS BIGINT) AS f0, CAST(NULL AS BIGINT) AS f1, CAST(NULL AS VARCHAR) AS event FROM m
+      UNION ALL SELECT lo, i,
+        CASE WHEN kind = 2 OR up THEN s0 WHEN kind = 1 THEN t WHEN NOT gone THEN s0 END, CASE WHEN kind = 2 OR NOT up THEN s1 WHEN kind = 1 THEN t WHEN NOT gone THEN s1 END,
+        CASE WHEN kind = 2 OR up THEN n0 WHEN kind = 1 THEN 0 ELSE n0 + 1 END, CASE WHEN kind = 2 OR NOT up THEN n1 WHEN kind = 1 THEN 0 ELSE n1 + 1 END,
+        CASE WHEN kind = 2 THEN a0 WHEN up THEN CASE WHEN gone AND s0 IS NOT NULL THEN t ELSE a0 END WHEN kind = 0 AND NOT gone THEN a0 END,
+        CASE WHEN kind = 2 THEN a1 WHEN NOT up THEN CASE WHEN gone AND s1 IS NOT NULL THEN t ELSE a1 END WHEN kind = 0 AND NOT gone THEN a1 END,
+        f0, f1, CASE WHEN gone THEN 'delete' WHEN kind = 1 AND my IS NULL THEN 'add' END
+      FROM (SELECT *, kind = 0 AND my IS NOT NULL AND sent > {K.LOST_PROBES} AND (t > my + 10000000 OR aged) AS gone
+        FROM (SELECT *, CASE WHEN up THEN s1 ELSE s0 END AS my, CASE WHEN up THEN n1 ELSE n0 END + 1 AS sent, CASE WHEN up THEN a1 ELSE a0 END IS NOT NULL AS aged
+          FROM (SELECT lo, i, up, kind, t, n0, n1, f0, f1, CASE WHEN f0 IS NULL THEN s0 END AS s0, CASE WHEN f1 IS NULL THEN s1 END AS s1,
+                CASE WHEN f0 IS NULL AND f1 IS NOT NULL AND s0 IS NOT NULL THEN f1 WHEN f0 IS NULL THEN a0 END AS a0,
+                CASE WHEN f1 IS NULL AND f0 IS NOT NULL AND s1 IS NOT NULL THEN f0 WHEN f1 IS NULL THEN a1 END AS a1
+            FROM (SELECT *, CASE WHEN p = 0 THEN fd WHEN second < t THEN second END AS f0, CASE WHEN p = 1 THEN fd WHEN second < t THEN second END AS f1
+              FROM (SELECT *, CASE WHEN p = 0 THEN greatest(fd, s1 + {round(SILENCE * 1e6)}) WHEN p = 1 THEN greatest(fd, s0 + {round(SILENCE * 1e6)}) END AS raw,
+                  CASE WHEN (p = 0 AND s1 IS NOT NULL) OR (p = 1 AND s0 IS NOT NULL) THEN raw END AS second
+                FROM (SELECT *, CASE WHEN least(d0, d1) < t THEN least(d0, d1) END AS fd, CASE WHEN fd IS NULL THEN NULL WHEN d0 IS NOT NULL AND (d1 IS NULL OR d0 <= d1) THEN 0 ELSE 1 END AS p
+                  FROM (SELECT m.lo, m.i, m.up, m.kind, m.t, s0, s1, n0, n1, a0, a1,
+                      CASE WHEN s0 IS NULL THEN NULL WHEN a0 IS NULL THEN s0 + 10000000 ELSE greatest(a0, s0 + {round(SILENCE * 1e6)}) END AS d0,
+                      CASE WHEN s1 IS NULL THEN NULL WHEN a1 IS NULL THEN s1 + 10000000 ELSE greatest(a1, s1 + {round(SILENCE * 1e6)}) END AS d1
+                    FROM r JOIN m ON m.lo = r.lo AND m.i = r.i + 1))))))))
+    SELECT src, dst, make_timestamp(t) AS ts, seq, event FROM r JOIN m USING (lo, i) WHERE event IS NOT NULL
+    UNION ALL SELECT lo, hi, make_timestamp(f0), NULL, 'delete' FROM r JOIN m USING (lo, i) WHERE f0 IS NOT NULL
+    UNION ALL SELECT hi, lo, make_timestamp(f1), NULL, 'delete' FROM r JOIN m USING (lo, i) WHERE f1 IS NOT NULL""")
+def silent_links(spark, sf):
+    events = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type")
+    out = in_two_runs(spark, events, "ts", lambda s: K.streaming_liveness(link_rows(s), silence=SILENCE, late_by="1 minute"))
+    return K.read_batches(spark, out).where("NOT late").select("src", "dst", "ts", "seq", "event")
 
 
 LINK_SQL = PROBES_SQL + """,
@@ -108,9 +161,9 @@ def locations(events):
     FROM l WINDOW w AS (PARTITION BY mac ORDER BY ts, event_id)) SELECT event_id, mac, port, switch, old_port, old_switch FROM p
     WHERE rn = 1 OR port <> old_port OR switch <> old_switch""")
 def location_changes(spark, sf):
-    stream = locations(stream_of(spark, sf, "events"))
-    moved = run_to_end(stream, T.location_step(["mac"], ["ts", "event_id"], ["port", "switch"]))
-    return moved.select("event_id", "mac", "port", "switch", "old_port", "old_switch")
+    out = in_two_runs(spark, locations(table(spark, sf, "events")), "ts", lambda s: K.streaming_locations(
+        s, ["mac"], ["ts", "event_id"], ["port", "switch"], keep=365 * K.DAY))
+    return K.read_batches(spark, out).where("NOT late").select("event_id", "mac", "port", "switch", "old_port", "old_switch")
 
 
 @query("t4_current_locations", f"WITH {LOCATIONS} SELECT mac, arg_max(port, event_id) AS port, arg_max(switch, event_id) AS switch FROM l GROUP BY 1")
@@ -150,3 +203,33 @@ def session_records(spark, sf):
     changed = T.session_updates(stream_of(spark, sf, "events"), ["user_id"], "ts", F.col("event_type") == "purchase", "1 day", "1 day")
     found = updates_to_end(changed, ["user_id", "span"])
     return found.select("user_id", F.col("start_time").cast("date").alias("day"), "start_time", "end_time", "is_finished")
+
+
+# A session ends with a purchase, or falls silent for a day.
+@query("t6_login_sessions", """WITH l AS (SELECT user_id, ts, event_id, event_type = 'purchase' AS closed, lag(ts) OVER w AS before, lag(event_type) OVER w AS what FROM events
+      WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT *, count(*) FILTER (WHERE before IS NULL OR what = 'purchase' OR epoch_us(ts) - epoch_us(before) > 86400000000) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM l)
+    SELECT user_id, min(ts) AS start_time, max(ts) AS last_time, max(CASE WHEN closed THEN ts END) AS end_time, bool_or(closed) AS is_finished, count(*) AS n FROM s GROUP BY user_id, no""")
+def login_sessions(spark, sf):
+    events = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type")
+    out = in_two_runs(spark, events, "ts", lambda s: K.login_sessions(s, ["user_id"], ["ts", "event_id"], F.col("event_type") == "purchase"))
+    return newest_updates(spark, out, ["user_id", "start_time"]).select("user_id", "start_time", "last_time", "end_time", "is_finished", "n")
+
+
+PORT_EVENTS = "p AS (SELECT ts, user_id % 8 AS switch, event_id % 16 AS port, event_type FROM events)"
+
+
+# The last watermark lies ten minutes behind the newest event; a delete that an add could still cancel isn't told yet.
+@query("t5_link_takedowns", f"""WITH {PORT_EVENTS}, w AS (SELECT max(ts) - INTERVAL 10 MINUTE AS at FROM events),
+    dead AS (SELECT switch, port, ts FROM p d, w WHERE event_type = 'error' AND ts + INTERVAL 10 MINUTE < w.at
+      AND NOT EXISTS (SELECT 1 FROM p a WHERE a.event_type = 'signup' AND a.switch = d.switch AND a.port = d.port AND a.ts > d.ts AND a.ts <= d.ts + INTERVAL 10 MINUTE)),
+    l AS (SELECT ts AS seen, user_id % 8 AS src_switch, event_id % 16 AS src_port, (user_id + 1) % 8 AS dst_switch, (event_id + 5) % 16 AS dst_port FROM events)
+    SELECT DISTINCT src_switch, src_port, dst_switch, dst_port, dead.ts, 'delete' AS event FROM dead JOIN l
+      ON ((switch = src_switch AND port = src_port) OR (switch = dst_switch AND port = dst_port)) AND seen <= dead.ts AND seen >= dead.ts - INTERVAL 1 HOUR""")
+def link_takedowns(spark, sf):
+    events = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type")
+    e, u = F.col("event_id"), F.col("user_id")
+    ends = [(u % 8).alias("src_switch"), (e % 16).alias("src_port"), ((u + 1) % 8).alias("dst_switch"), ((e + 5) % 16).alias("dst_port")]
+    out = in_two_runs(spark, events, "ts", lambda s: T.link_takedowns(
+        s.select("ts", *ends), port_events(s), ["switch", "port"], "ts", "1 hour", "10 minutes", "10 minutes"))
+    return K.read_batches(spark, out)

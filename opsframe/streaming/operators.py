@@ -1,19 +1,17 @@
-"""Stateful steps for `run_carried`, and their batch twins.
-
-State rows are samples kept from earlier batches. A step puts them in front of the new rows of their
-key on one timeline and drops them from the output.
-"""
+"""Batch twins of the keyed streams, ports and their links, and sessions within spans."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsframe.operators.metrics import counter_rates
-from opsframe.plans.ordered import Timeline, join_null_safe
+from opsframe.plans.ordered import Timeline
 from opsframe.plans.session import cut
+from opsframe.streaming.keyed import LINK_TIMEOUT, LOST_PROBES, event_instant
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -22,31 +20,6 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*[F.col(k).alias(f"_g_{k}") for k in keys]).agg(row).select("_row.*")
 
 
-def drop_late(batch: DataFrame, prior: DataFrame | None, keys: list[str], order: list[str]) -> DataFrame:
-    """Rows not older than the state of their key."""
-    if prior is None:
-        return batch
-    edge = prior.select(*keys, F.struct(*order).alias("_edge"))
-    joined = join_null_safe(batch, edge, keys, "left")
-    return joined.filter(F.col("_edge").isNull() | (F.struct(*order) > F.col("_edge"))).drop("_edge")
-
-
-def with_prior(batch: DataFrame, prior: DataFrame | None) -> DataFrame:
-    new = batch.withColumn("_old", F.lit(False))
-    return new if prior is None else prior.select(*batch.columns).withColumn("_old", F.lit(True)).unionByName(new)
-
-
-# --- counter rates -------------------------------------------------------------------------------
-
-def rates_step(keys: list[str], order: list[str], counters: list[str], interval: float = 1.0, rows_per_task: int | None = None):
-    """Streaming counter rates; the state is the last sample per host."""
-    def step(batch: DataFrame, prior: DataFrame | None):
-        rows = with_prior(drop_late(batch, prior, keys, order), prior)
-        rates = counter_rates(Timeline(rows, keys, order, rows_per_task), counters, interval).frame
-        return rates.filter("NOT _old").drop("_old"), latest(rows.drop("_old"), keys, order)
-    return step
-
-
 # --- latest location -----------------------------------------------------------------------------
 
 def changes(line: Timeline, values: list[str]) -> DataFrame:
@@ -58,21 +31,8 @@ def changes(line: Timeline, values: list[str]) -> DataFrame:
     return seen.filter(~same).drop("_has")
 
 
-def location_step(keys: list[str], order: list[str], values: list[str], rows_per_task: int | None = None):
-    """Emit an address only when it is new or has moved; the state is its latest location."""
-    def step(batch: DataFrame, prior: DataFrame | None):
-        rows = with_prior(drop_late(batch, prior, keys, order), prior)
-        moved = changes(Timeline(rows, keys, order, rows_per_task), values)
-        return moved.filter("NOT _old").drop("_old"), latest(rows.drop("_old"), keys, order)
-    return step
-
-
 # --- liveness ------------------------------------------------------------------------------------
 
-# Seconds without an answer, and unanswered probes, after which a link may be dropped.
-LINK_TIMEOUT = 10.0
-LOST_PROBES = 5
-
 LINK = ["src", "dst"]
 AT = ["ts", "seq"]
 
@@ -123,9 +83,9 @@ def _chunk_ends(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _chunk_starts(chunks: pd.DataFrame) -> pd.DataFrame:
-    """Thread a pair's first state through its chunks; one row per chunk."""
+    """Thread a pair's state, at first no link, through its chunks; one row per chunk."""
     chunks = chunks.sort_values("_chunk")
-    state, starts = int(chunks["state"].iloc[0]), []
+    state, starts = 0, []
     for ends in chunks["ends"]:
         starts.append(state)
         state = int(ends[state])
@@ -142,31 +102,21 @@ def _chunk_events(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.loc[rows["event"] != "", [*LINK, *AT, "event"]]
 
 
-def link_events(rows: DataFrame, timeout: float = LINK_TIMEOUT, losses: int = LOST_PROBES, rows_per_task: int = 500_000,
-                before: DataFrame | None = None) -> DataFrame:
+def link_events(rows: DataFrame, timeout: float = LINK_TIMEOUT, losses: int = LOST_PROBES, rows_per_task: int = 500_000) -> DataFrame:
     """(src, dst, ts, seq, event): `add` when a link is seen first or again, `delete` when it is removed.
 
     A link goes at a probe that finds too many losses and either the time limit passed or the link
     aged; a removed link ages its live reverse. So the links of a pair form a machine of nine states.
     A hot pair is cut into chunks: each is run from all nine states, the small results are threaded
     to give every chunk its true first state, and the chunks then run on their own.
-
-    `before` gives the first state of pairs: (lo, hi, state). Rows with `replay` set only count as past.
     """
     flags = _link_flags(rows, timeout, losses, rows_per_task)
-    if "replay" in rows.columns:
-        flags = flags.filter("NOT replay").drop("replay")
     flags = cut(flags.select("lo", "hi", *LINK, *AT, "code"))
     kept = Timeline(flags, ["lo", "hi"], AT, rows_per_task)._rows
-    spark = rows.sparkSession
-    if before is None:
-        before = spark.createDataFrame([], kept.select("lo", "hi").schema).withColumn("state", F.lit(0))
     key = "lo {0}, hi {0}".format(kept.schema["lo"].dataType.simpleString())
     hot = kept.filter("_chunk > 0").groupBy("lo", "hi", "_chunk").applyInPandas(_chunk_ends, f"{key}, _chunk bigint, ends array<int>")
-    first = hot.join(before, ["lo", "hi"], "left").fillna(0, ["state"])
-    starts = first.groupBy("lo", "hi").applyInPandas(_chunk_starts, f"{key}, _chunk bigint, start int")
-    ready = kept.join(starts, ["lo", "hi", "_chunk"], "left").join(before, ["lo", "hi"], "left")
-    ready = ready.withColumn("start", F.coalesce("start", "state", F.lit(0))).drop("state")
+    starts = hot.groupBy("lo", "hi").applyInPandas(_chunk_starts, f"{key}, _chunk bigint, start int")
+    ready = kept.join(starts, ["lo", "hi", "_chunk"], "left").fillna(0, ["start"])
     out = ready.select(*LINK, *AT).schema.add("event", "string")
     return ready.groupBy("lo", "hi", "_chunk").applyInPandas(_chunk_events, out)
 
@@ -185,60 +135,6 @@ def expired_now(rows: DataFrame, now: Column, timeout: float = LINK_TIMEOUT, los
     return both.select(*LINK, F.col("_seen.ts").alias("last_seen"), "unanswered", action.alias("action"))
 
 
-def liveness_step(timeout: float = LINK_TIMEOUT, losses: int = LOST_PROBES, rows_per_task: int = 500_000, keep: str = "1 DAY"):
-    """Streaming form of `link_events`.
-
-    The state has one row per live link: when it was last seen, the probes it has not answered since,
-    and whether it is aged. It is replayed as a sighting and a probe row in front of the batch.
-    A removed link leaves a row that is not live, so that late sightings do not revive it; that row
-    goes once it is older than `keep`, an interval, before the newest row of a batch.
-    """
-    columns = [*LINK, *AT, "kind", "n"]
-
-    def step(batch: DataFrame, prior: DataFrame | None):
-        rows, before = batch.select(*columns), None
-        removed = None
-        if prior is not None:
-            rows = drop_late(rows, prior, LINK, AT)
-            removed = prior.filter("NOT live").select(*LINK, F.struct("ts", F.col("seq").cast("double").alias("seq")).alias("_gone"))
-            prior = prior.filter("live")
-            sighting = prior.select(*LINK, *AT, F.lit("seen").alias("kind"), F.lit(0).cast("long").alias("n"))
-            probes = prior.select(*LINK, "ts", "seq", F.lit("probe").alias("kind"), "n")
-            past = sighting.unionByName(probes).withColumn("replay", F.lit(True))
-            # the replayed probe counts right after the sighting
-            past = past.withColumn("seq", F.col("seq") + F.when(F.col("kind") == "probe", 0.5).otherwise(0.0))
-            rows = rows.withColumns({"seq": F.col("seq").cast("double"), "replay": F.lit(False)}).unionByName(past)
-            level = F.when(F.col("aged"), 2).otherwise(1)
-            place = F.when(F.col("src") > F.col("dst"), level).otherwise(3 * level)
-            before = prior.groupBy(F.least(*LINK).alias("lo"), F.greatest(*LINK).alias("hi")).agg(F.sum(place).cast("int").alias("state"))
-        else:
-            rows = rows.withColumns({"seq": F.col("seq").cast("double"), "replay": F.lit(False)})
-        rows = cut(rows)
-        events = cut(link_events(rows, timeout, losses, rows_per_task, before))
-
-        here = F.struct(*AT)
-        last = rows.filter("kind = 'seen'").groupBy(*LINK).agg(F.max(here).alias("_seen"))
-        gone = events.filter("event = 'delete'").groupBy(*LINK).agg(F.max(here).alias("_gone"))
-        reverse = gone.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("_gone").alias("_aged"))
-        live = last.join(gone, LINK, "left").filter(F.col("_gone").isNull() | (F.col("_gone") < F.col("_seen"))).drop("_gone")
-        after = rows.filter("kind = 'probe'").join(live, LINK).filter(here > F.col("_seen")).groupBy(*LINK).agg(F.sum("n").alias("n"))
-        state = live.join(after, LINK, "left").join(reverse, LINK, "left").fillna(0, ["n"])
-        aged = F.coalesce(F.col("_aged") > F.col("_seen"), F.lit(False))
-        if prior is not None:
-            kept = prior.select(*LINK, F.struct("ts", F.col("seq").cast("double").alias("seq")).alias("_was"), F.col("aged").alias("_still"))
-            state = state.join(kept, LINK, "left")
-            aged = aged | F.coalesce(F.col("_still") & (F.col("_was") == F.col("_seen")), F.lit(False))
-        at = [F.col("_at.ts").alias("ts"), F.col("_at.seq").cast("long").alias("seq")]
-        state = state.withColumn("_at", F.col("_seen")).select(*LINK, *at, "n", aged.alias("aged"), F.lit(True).alias("live"))
-        dead = (gone if removed is None else gone.unionByName(removed)).groupBy(*LINK).agg(F.max("_gone").alias("_at"))
-        newest = F.lit(rows.agg(F.max("ts").cast("string")).first()[0]).cast(rows.schema["ts"].dataType)
-        dead = dead.join(live, LINK, "left_anti").filter(F.coalesce(F.col("_at.ts") >= newest - F.expr(f"INTERVAL {keep}"), F.lit(True)))
-        dead = dead.select(*LINK, *at, F.lit(0).cast("long").alias("n"), F.lit(False).alias("aged"), F.lit(False).alias("live"))
-        state = state.unionByName(dead)
-        return events.withColumn("seq", F.col("seq").cast("long")), state
-    return step
-
-
 # --- ports and sessions --------------------------------------------------------------------------
 
 def live_ports(events: DataFrame, keys: list[str], order: list[str], kind: str = "kind") -> DataFrame:
@@ -257,6 +153,41 @@ def links_of_dead_ports(links: DataFrame, events: DataFrame, port: list[str], or
     return ends[0].unionByName(ends[1]).distinct().withColumn("event", F.lit("delete"))
 
 
+def link_takedowns(links: DataFrame, events: DataFrame, port: list[str], time: str, horizon: str, grace: str, late_by: str,
+                   kind: str = "kind") -> DataFrame:
+    """(src_<port>, dst_<port>, time, event): on streams, a `delete` of each link that a deleted port takes down.
+
+    A link is a row of `links` (src_<port columns>, dst_<port columns>, time) seen at most `horizon` before the delete on
+    one of its ends. An `add` of the port within `grace` after the delete cancels it, so it is told once the watermark
+    (`late_by` behind the newest row) has passed that time. Three joins on port and a range of time: Spark drops deletes,
+    adds and sightings from its state as the watermark passes their ranges, and each link is told once per delete.
+    """
+    def side(rows: DataFrame, prefix: str) -> DataFrame:
+        return rows.withColumn(f"_{prefix}_time", event_instant(rows, time)).withWatermark(f"_{prefix}_time", late_by)
+
+    def as_(prefix: str) -> list[Column]:
+        return [F.col(p).alias(f"_{prefix}_{p}") for p in port]
+
+    def same(left: str, right: str) -> Column:
+        return reduce(lambda a, b: a & b, [F.col(f"_{left}_{p}") == F.col(f"_{right}_{p}") for p in port])
+
+    def only(prefix: str, what: str) -> DataFrame:
+        """Events of one kind, under the watermark of all: with the time in it, Spark leaves the condition above the watermark."""
+        rows = side(events.select(*as_(prefix), time, F.col(kind).alias("_kind")), prefix)
+        return rows.filter(F.coalesce(F.when(F.col(f"_{prefix}_time").isNull(), ""), F.col("_kind")) == what).drop("_kind")
+
+    gone, back = only("gone", "delete"), only("back", "add").drop(time)
+    dead = gone.join(back, same("gone", "back") & (F.col("_back_time") > F.col("_gone_time"))
+                     & (F.col("_back_time") <= F.col("_gone_time") + F.expr(f"INTERVAL {grace}")), "left_outer")
+    dead = dead.filter("_back_time IS NULL").select(*[f"_gone_{p}" for p in port], time, "_gone_time")
+    link = [f"{end}_{p}" for end in ("src", "dst") for p in port]
+    each = F.array(*[F.struct(*[F.col(f"{end}_{p}").alias(f"_seen_{p}") for p in port]) for end in ("src", "dst")])
+    seen = side(links.select(*link, time, F.explode(each).alias("_end")), "seen").select(*link, "_seen_time", "_end.*")
+    down = dead.join(seen, same("gone", "seen") & (F.col("_seen_time") <= F.col("_gone_time"))
+                     & (F.col("_seen_time") >= F.col("_gone_time") - F.expr(f"INTERVAL {horizon}")))
+    return down.dropDuplicates([*link, "_gone_time"]).select(*link, time, F.lit("delete").alias("event"))
+
+
 def port_states(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Last event per port (add, modify, delete). On a stream, `run_updates` emits the ports that a batch touches."""
     return latest(events, keys, order)
@@ -274,9 +205,6 @@ def session_updates(stream: DataFrame, session: list[str], time: str, closed: Co
     Gives a session's record whenever a batch changes it. Spark keeps a session, finished or not, until the watermark
     (`late` behind the newest row) passes its span, and drops rows that come after that.
     """
-    at = F.col(time)
-    if stream.schema[time].dataType.typeName() == "timestamp_ntz":  # watermarks take instants only
-        at = F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), at))
-    rows = stream.withColumn("_event_time", at).withWatermark("_event_time", late)
+    rows = stream.withColumn("_event_time", event_instant(stream, time)).withWatermark("_event_time", late)
     found = sessions(rows, [*session, F.window("_event_time", span).alias("_span")], time, closed)
     return found.select(*session, F.col("_span.start").alias("span"), "start_time", "end_time", "is_finished")

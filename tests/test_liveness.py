@@ -3,9 +3,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from opsframe.plans.session import cut
+from opsframe.streaming import keyed as K
 from opsframe.streaming import operators as T
-from opsframe.streaming.carried import read_output, run_carried
+from streams import Runs
 
 T0 = dt.datetime(2024, 1, 1)
 SCHEMA = "src bigint, dst bigint, ts timestamp_ntz, seq bigint, kind string, n bigint"
@@ -61,27 +61,35 @@ def test_stream_in_several_batches_equals_the_model(spark, tmp_path):
     folder = tmp_path / "in"
     for i in range(4):
         spark.createDataFrame(rows[i * 100:(i + 1) * 100], SCHEMA).coalesce(1).write.parquet(str(folder / f"part={i}"))
-    out, state, check = (str(tmp_path / n) for n in ("out", "state", "check"))
-    step = T.liveness_step()
+    out, check = (str(tmp_path / n) for n in ("out", "check"))
     for i in range(4):  # one folder more each time: the query resumes from its checkpoint
         stream = spark.readStream.schema(SCHEMA).parquet(str(folder / f"part=[0-{i}]"))
-        run_carried(stream, step, out, state, check).awaitTermination()
-    assert found(read_output(spark, out)) == model(rows)
+        K.run_batches(K.streaming_liveness(stream), out, check).awaitTermination()
+    assert found(K.read_batches(spark, out)) == model(rows)
 
 
-def test_late_sightings_do_not_revive_a_removed_link(spark):
-    at = [T0 + dt.timedelta(seconds=i) for i in range(40)]
+def test_late_sightings_do_not_revive_a_removed_link(spark, tmp_path):
+    at = [T0 + dt.timedelta(seconds=i) for i in range(4000)]
+    run = Runs(spark, tmp_path, SCHEMA, lambda s: K.streaming_liveness(s, late_by="1 hour", keep=1800.0))
     first = [(1, 2, at[0], 0, "seen", 1)] + [(1, 2, at[i], i, "probe", 1) for i in range(1, 20)]
-    late = [(1, 2, at[5], 30, "seen", 1), (3, 4, at[39], 31, "probe", 1)]
-    step = T.liveness_step(keep="1 HOUR")
-    events, state = step(spark.createDataFrame(first, SCHEMA), None)
-    assert [e[3] for e in found(events)] == ["add", "delete"]
-    events, state = step(spark.createDataFrame(late, SCHEMA), cut(state))
-    assert found(events) == [] and [tuple(r) for r in state.select("src", "live").collect()] == [(1, False)]
-    events, state = T.liveness_step(keep="10 SECONDS")(spark.createDataFrame([(3, 4, at[39], 32, "probe", 1)], SCHEMA), cut(state))
-    assert found(events) == [] and state.count() == 0
-    events, _ = step(spark.createDataFrame([(1, 2, at[39], 33, "seen", 1)], SCHEMA), cut(state))
-    assert [e[3] for e in found(events)] == ["add"]
+    assert [r.event for r in sorted(run(first), key=lambda r: r.seq)] == ["add", "delete"]
+    assert [(r.src, r.event, r.late) for r in run([(1, 2, at[5], 30, "seen", 1), (3, 4, at[39], 31, "probe", 1)])] == [(1, "late", True)]
+    assert run([(5, 6, T0 + dt.timedelta(hours=3), 32, "probe", 1)]) == []
+    assert K.state_rows(run.query) == 1  # pairs without a live link go after `keep`
+    assert [(r.src, r.event) for r in run([(1, 2, T0 + dt.timedelta(hours=4), 33, "seen", 1)])] == [(1, "add")]
+    assert run([(1, 2, at[7], 34, "seen", 1)]) == [] and K.behind_watermark(run.query) == 1
+
+
+def test_a_silent_link_goes_without_a_row_and_ages_its_reverse(spark, tmp_path):
+    run = Runs(spark, tmp_path, SCHEMA, lambda s: K.streaming_liveness(s, silence=5.4, late_by="1 second"))
+    at = [T0 + dt.timedelta(seconds=i) for i in range(100)]
+    assert [r.event for r in run([(1, 2, at[0], 0, "seen", 1), (2, 1, at[3], 1, "seen", 1), (7, 8, at[4], 2, "seen", 1)])] == ["add"] * 3
+    assert run([(9, 9, at[9], 3, "probe", 1)]) == []  # the watermark stands at 8 s
+    gone = run([(9, 9, at[13], 4, "probe", 1)])
+    assert sorted((r.src, r.dst, r.ts, r.seq, r.event) for r in gone) == [(1, 2, at[10], None, "delete"), (2, 1, at[10], None, "delete")]
+    assert run([(7, 8, at[13], 5, "seen", 1)]) == []
+    later = run([(1, 2, at[20], 6, "seen", 1), (9, 9, at[60], 7, "probe", 1)])
+    assert sorted((r.src, r.event, r.ts) for r in later) == [(1, "add", at[20]), (1, "delete", at[30]), (7, "delete", at[23])]
 
 
 def test_snapshot(spark):

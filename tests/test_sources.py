@@ -3,11 +3,14 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from opsframe.operators.metrics import counter_rates
 from opsframe.plans import predicates as P
+from opsframe.plans.ordered import Timeline
 from opsframe.sources import logs, tables, writes
 from opsframe.sources.shards import ShardMap, read_shard, write_sharded
+from opsframe.streaming import keyed as K
 from opsframe.streaming import operators as T
-from opsframe.streaming.carried import newest_updates, read_output, run_carried, run_updates
+from opsframe.streaming.updates import newest_updates, run_updates
 
 
 def test_database_urls():
@@ -90,16 +93,18 @@ def test_streams_in_batches_equal_one_batch(spark, tmp_path):
     rows = [(i % 3, t0 + dt.timedelta(seconds=i), i, i * i, i // 5 % 2) for i in range(60)]
     schema = "host int, ts timestamp_ntz, seq int, counter long, port int"
     n = batches(spark, str(tmp_path / "in"), rows, schema, 20)
-    steps = {"rates": T.rates_step(["host"], ["ts", "seq"], ["counter"], 2), "moves": T.location_step(["host"], ["ts", "seq"], ["port"])}
     whole = spark.createDataFrame(rows, schema)
-    for name, step in steps.items():
-        out, state, check = (str(tmp_path / f"{name}-{x}") for x in ("out", "state", "check"))
+    twins = {"rates": (lambda s: K.streaming_rates(s, ["host"], ["ts", "seq"], ["counter"], 2),
+                       counter_rates(Timeline(whole, ["host"], ["ts", "seq"]), ["counter"], 2).frame),
+             "moves": (lambda s: K.streaming_locations(s, ["host"], ["ts", "seq"], ["port"]),
+                       T.changes(Timeline(whole, ["host"], ["ts", "seq"]), ["port"]))}
+    for name, (build, want) in twins.items():
+        out, check = (str(tmp_path / f"{name}-{x}") for x in ("out", "check"))
         for i in range(n):
             stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in" / f"part=[0-{i}]"))
-            run_carried(stream, step, out, state, check).awaitTermination()
-        got = read_output(spark, out)
-        want = step(whole, None)[0].select(*got.columns)
-        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), name
+            K.run_batches(build(stream), out, check).awaitTermination()
+        got = K.read_batches(spark, out).where("NOT late").drop("late")
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect())), name
 
 
 def test_streaming_aggregations_in_batches_equal_one_batch(spark, tmp_path):
@@ -124,9 +129,3 @@ def test_streaming_aggregations_in_batches_equal_one_batch(spark, tmp_path):
         want = fn(whole)
         got = newest_updates(spark, out, keys).select(*want.columns)
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), name
-
-
-def test_late_rows_are_dropped(spark):
-    prior = spark.createDataFrame([(1, 10)], "k int, t int")
-    batch = spark.createDataFrame([(1, 9), (1, 11), (2, 1)], "k int, t int")
-    assert sorted(map(tuple, T.drop_late(batch, prior, ["k"], ["t"]).collect())) == [(1, 11), (2, 1)]
