@@ -8,6 +8,7 @@ from opsframe.catalog.base import query, table
 from opsframe.catalog.series import BUFFER, KINDS, SAMPLES, counters, rate
 from opsframe.catalog.storage import ROUTE_SQL, ROUTES, TAGGED, TAILS, message_lines
 from opsframe.plans.session import scratch
+from opsframe.sources import writes
 from opsframe.streaming import keyed as K
 from opsframe.streaming import operators as T
 from opsframe.streaming.logs import ship
@@ -20,18 +21,16 @@ def stream_of(spark, sf, name):
     return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
-def in_two_runs(spark, rows, time, build):
-    """All output of build(stream) over the earlier and the later half of `rows`' time, each half a run of one query.
-
-    The second run starts from the checkpoint of the first, with its state and watermark.
-    """
-    path, out, check = scratch(spark, "halves"), scratch(spark, "stream-out"), scratch(spark, "stream")
+def in_two_batches(spark, rows, time, build):
+    """The folder with all output of build(stream) over `rows`, the earlier and the later half of their time as a batch each."""
+    path, out = scratch(spark, "halves"), scratch(spark, "stream-out")
     ends = rows.agg(F.min(time).alias("a"), F.max(time).alias("b")).first()
     later = F.lit(False) if ends.a is None else F.col(time) > F.lit(ends.a + (ends.b - ends.a) / 2)
-    for part, half in enumerate((~later, later)):
-        rows.where(half).write.parquet(f"{path}/part={part}")
-        stream = spark.readStream.schema(rows.schema).parquet(f"{path}/part=*")
-        K.run_batches(build(stream), out, check).awaitTermination()
+    rows.where(~later).write.parquet(f"{path}/part=0")
+    files = max(1, len(spark.read.schema(rows.schema).parquet(f"{path}/part=0").inputFiles()))
+    rows.where(later).coalesce(files).write.parquet(f"{path}/part=1")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/part=*")  # oldest files first
+    K.run_batches(build(stream), out).awaitTermination()
     return out
 
 
@@ -50,7 +49,8 @@ RATED = [*KINDS.values(), *BUFFER]
     f"{rate(c, '5.0')} AS {c}_rate" for c in RATED) + " FROM s WINDOW w AS (PARTITION BY host ORDER BY ts, event_id)")
 def streaming_rates(spark, sf):
     samples = counters(spark, sf).frame.select("host", "ts", "event_id", *RATED)
-    out = in_two_runs(spark, samples, "ts", lambda s: K.streaming_rates(s, ["host"], ["ts", "event_id"], RATED, 5, keep=365 * K.DAY))
+    samples = spark.read.parquet(writes.publish(samples, "samples"))
+    out = in_two_batches(spark, samples, "ts", lambda s: K.streaming_rates(s, ["host"], ["ts", "event_id"], RATED, 5, keep=365 * K.DAY))
     return K.read_batches(spark, out).select("host", "event_id", *[f"{c}_rate" for c in RATED])
 
 
@@ -92,7 +92,7 @@ PROBES_SQL = """p AS (SELECT user_id % 8 AS src, (user_id + 1 + (user_id & 1) *
     SELECT src, dst, ts, seq, event FROM r JOIN m USING (lo, i) WHERE event IS NOT NULL""")
 def liveness_stream(spark, sf):
     events = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type")
-    out = in_two_runs(spark, events, "ts", lambda s: K.streaming_liveness(link_rows(s)))
+    out = in_two_batches(spark, events, "ts", lambda s: K.streaming_liveness(link_rows(s)))
     return K.read_batches(spark, out).where("NOT late").select("src", "dst", "ts", "seq", "event")
 
 
@@ -131,7 +131,7 @@ SILENCE = (K.LOST_PROBES + 1) * K.PROBE_PERIOD
     UNION ALL SELECT hi, lo, make_timestamp(f1), NULL, 'delete' FROM r JOIN m USING (lo, i) WHERE f1 IS NOT NULL""")
 def silent_links(spark, sf):
     events = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type")
-    out = in_two_runs(spark, events, "ts", lambda s: K.streaming_liveness(link_rows(s), silence=SILENCE, late_by="1 minute"))
+    out = in_two_batches(spark, events, "ts", lambda s: K.streaming_liveness(link_rows(s), silence=SILENCE, late_by="1 minute"))
     return K.read_batches(spark, out).where("NOT late").select("src", "dst", "ts", "seq", "event")
 
 
@@ -161,7 +161,7 @@ def locations(events):
     FROM l WINDOW w AS (PARTITION BY mac ORDER BY ts, event_id)) SELECT event_id, mac, port, switch, old_port, old_switch FROM p
     WHERE rn = 1 OR port <> old_port OR switch <> old_switch""")
 def location_changes(spark, sf):
-    out = in_two_runs(spark, locations(table(spark, sf, "events")), "ts", lambda s: K.streaming_locations(
+    out = in_two_batches(spark, locations(table(spark, sf, "events")), "ts", lambda s: K.streaming_locations(
         s, ["mac"], ["ts", "event_id"], ["port", "switch"], keep=365 * K.DAY))
     return K.read_batches(spark, out).where("NOT late").select("event_id", "mac", "port", "switch", "old_port", "old_switch")
 
@@ -212,7 +212,7 @@ def session_records(spark, sf):
     SELECT user_id, min(ts) AS start_time, max(ts) AS last_time, max(CASE WHEN closed THEN ts END) AS end_time, bool_or(closed) AS is_finished, count(*) AS n FROM s GROUP BY user_id, no""")
 def login_sessions(spark, sf):
     events = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type")
-    out = in_two_runs(spark, events, "ts", lambda s: K.login_sessions(s, ["user_id"], ["ts", "event_id"], F.col("event_type") == "purchase"))
+    out = in_two_batches(spark, events, "ts", lambda s: K.login_sessions(s, ["user_id"], ["ts", "event_id"], F.col("event_type") == "purchase"))
     return newest_updates(spark, out, ["user_id", "start_time"]).select("user_id", "start_time", "last_time", "end_time", "is_finished", "n")
 
 
@@ -230,6 +230,6 @@ def link_takedowns(spark, sf):
     events = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type")
     e, u = F.col("event_id"), F.col("user_id")
     ends = [(u % 8).alias("src_switch"), (e % 16).alias("src_port"), ((u + 1) % 8).alias("dst_switch"), ((e + 5) % 16).alias("dst_port")]
-    out = in_two_runs(spark, events, "ts", lambda s: T.link_takedowns(
+    out = in_two_batches(spark, events, "ts", lambda s: T.link_takedowns(
         s.select("ts", *ends), port_events(s), ["switch", "port"], "ts", "1 hour", "10 minutes", "10 minutes"))
     return K.read_batches(spark, out)

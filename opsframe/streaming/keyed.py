@@ -1,13 +1,16 @@
 """Streams whose state Spark keeps per key: counter rates, latest locations, link liveness and sessions.
 
-Each operator is a stateful processor on `transformWithState`, keyed by host, address, pair of links or session holder, with
-RocksDB state and event-time timers. A key's state is one row. It goes when event time has moved `keep` seconds past the
+Each operator is a stateful processor on `transformWithStateInPandas`, keyed by host, address, pair of links or session
+holder, with RocksDB state and event-time timers. A key's state is one row. It goes when event time has moved `keep` seconds past the
 key's last row (for links and sessions also by rules of their own), so state is bounded by the keys of that time.
 
 Rows of a key that come after newer ones were handled are late. They aren't used, and none vanish without a word: those
 that Spark still hands over come out with `late` set, and those behind the watermark, `late_by` behind the newest row of
-the trigger before, are in `behind_watermark`. The rows that one trigger brings for a key are held in one task; bound a
-trigger by the source's own option (`maxFilesPerTrigger`, `maxBytes`) where keys are hot.
+the trigger before, are in `behind_watermark`. The rows that one trigger brings for a key are held in one task, as columns;
+bound a trigger by the source's own option (`maxFilesPerTrigger`, `maxBytes`) where keys are hot.
+
+A row's other columns pass through the workers as one JSON text and come back in their types, so null stays null and long
+numbers stay exact. The order columns mustn't be null.
 
 Output goes to a folder per batch (`run_batches`), which a repeated batch overwrites with equal rows.
 """
@@ -16,7 +19,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Row
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -41,72 +46,96 @@ def back_to(micros: Column, like: DataFrame, time: str) -> Column:
     return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=micros.cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)"))
 
 
-def keyed(stream: DataFrame, keys: list, time: str, late_by: str, processor: StatefulProcessor, out: str) -> DataFrame:
-    """`processor` over the rows per key, with their time in microseconds as `_at`."""
+TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}
+
+
+def packed(columns: list[str]) -> Column:
+    """Columns as one JSON text."""
+    return F.to_json(F.struct(*columns), TIMES)
+
+
+def unpacked(text: str, like: DataFrame, columns: list[str]) -> Column:
+    return F.from_json(F.col(text), like.select(*columns).schema, TIMES)
+
+
+def keyed(stream: DataFrame, keys: list[str], order: list[str], late_by: str, processor: InOrder, more: dict[str, Column]) -> DataFrame:
+    """`processor` over the rows per key: their time in microseconds as x_at, the other order columns as x_t0, ..., and `more`.
+
+    The workers get names of our own, as Spark renames columns that can't be names in Python.
+    """
     ship_package(stream.sparkSession)
-    rows = stream.withColumn("_event_time", event_instant(stream, time)).withColumn("_at", F.unix_micros("_event_time"))
-    return rows.withWatermark("_event_time", late_by).groupBy(*keys).transformWithState(processor, out, "append", "EventTime")
+    own = {f"x_key{i}": F.col(k) for i, k in enumerate(keys)} | {f"x_t{i}": F.col(c) for i, c in enumerate(order[1:])} | more
+    rows = stream.select(event_instant(stream, order[0]).alias("x_time"), *[c.alias(n) for n, c in own.items()])
+    rows = rows.withColumn("x_at", F.unix_micros("x_time")).withWatermark("x_time", late_by)
+    return rows.groupBy(*[f"x_key{i}" for i in range(len(keys))]).transformWithStateInPandas(processor, processor.out, "append", "EventTime")
 
 
 def fields(df: DataFrame, columns: list[str]) -> list[str]:
     return [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns]
 
 
+def types(df: DataFrame, columns: list[str]) -> list[str]:
+    return [df.schema[c].dataType.simpleString() for c in columns]
+
+
+def plain(value):
+    """A state value in Python's own type."""
+    return None if value is None else value.item() if isinstance(value, np.generic) else value
+
+
 class InOrder(StatefulProcessor):
     """The rows of a key in order; the state holds the last place and what a subclass keeps from row to row.
 
-    `ties` are the order columns after the time, which are kept with it. A row is late unless its place is behind the last.
+    `ties` are the types of the order columns after the time, kept with it. A row is late unless its place is behind the last.
     """
 
-    kept: list[str] = []  # columns of the state besides the place
-
-    def __init__(self, ties: list[str], kept_types: list[str], tie_types: list[str], keep: float, out: list[str]):
-        self.ties, self.keep_ms, self.out = ties, int(keep * 1000), out
-        self.state = ", ".join(["_at long", *tie_types, *kept_types])
+    def __init__(self, ties: list[str], kept_types: list[str], keep: float, out: str):
+        self.place, self.keep_ms, self.out = ["x_at", *[f"x_t{i}" for i in range(len(ties))]], int(keep * 1000), out
+        self.state = ", ".join(["x_at long", *[f"x_t{i} {t}" for i, t in enumerate(ties)], *kept_types])
 
     def init(self, handle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", self.state)
 
-    def place(self, row) -> tuple:
-        return (row["_at"], *((row[t] is not None, row[t]) for t in self.ties))
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         before = self.last.get()
-        edge = None if before is None else (before[0], *((t is not None, t) for t in before[1:1 + len(self.ties)]))
-        kept = None if before is None else before[1 + len(self.ties):]
-        for row in sorted(rows, key=self.place):
-            at = self.place(row)
-            if edge is not None and at <= edge:
-                yield self.made(row, late=True)
-                continue
-            kept, found = yield from self.step(row, kept)
-            edge = at
-        if edge is not None:
-            yield from self.end(key, kept)
-            if before is None:
-                self.handle.registerTimer(self.expiry(edge[0], kept))
-            self.last.update((edge[0], *(t for _, t in edge[1:]), *kept))
-
-    def made(self, row: Row, late: bool = False, **more) -> Row:
-        return Row(**{c: more[c] if c in more else late if c == "late" else row[c] if c in row else None for c in self.out})
-
-    def step(self, row: Row, kept: tuple | None):
-        """Handle one row: yields output rows, returns (what to keep, None)."""
+        rows = pd.concat(list(rows), ignore_index=True)
+        place = self.place
+        rows = rows.sort_values(place, kind="stable") if len(rows) > 1 else rows
+        if before is not None and rows["x_at"].iloc[0] <= before[0]:
+            late = (rows["x_at"] < before[0]).to_numpy()
+            for i in np.flatnonzero((rows["x_at"] == before[0]).to_numpy()):
+                late[i] = tuple(rows[place].iloc[i]) <= tuple(before[:len(place)])
+            yield self.told_late(key, rows[late])
+            rows = rows[~late]
+        if len(rows):
+            found, kept = self.step(key, rows, None if before is None else before[len(place):])
+            if len(found):
+                yield found
+            at = tuple(plain(v) for v in rows[place].iloc[-1])
+            if before is None or self.renews(before[len(place):], kept):
+                self.handle.registerTimer(self.expiry(at[0], kept))
+            self.last.update((*at, *kept))
+
+    def step(self, key, rows: pd.DataFrame, kept: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        """(output rows, what to keep) for a key's new rows in order."""
         raise NotImplementedError
 
-    def end(self, key, kept: tuple) -> Iterator[Row]:
-        """Output after a batch's rows of a key."""
-        return iter(())
+    def told_late(self, key, rows: pd.DataFrame) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def renews(self, before: tuple, kept: tuple) -> bool:
+        """Whether a change of state needs a timer besides the one that it has."""
+        return False
 
     def expiry(self, at: int, kept: tuple) -> int:
         return at // 1000 + 1 + self.keep_ms
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Drop the state unless newer rows came, in which case look again when they are old enough."""
         before = self.last.get()
         if before is not None:
-            due = self.expiry(before[0], before[1 + len(self.ties):])
+            due = self.expiry(before[0], before[len(self.place):])
             if due <= timerValues.getCurrentWatermarkInMs():
                 self.last.clear()
             else:
@@ -120,48 +149,69 @@ class InOrder(StatefulProcessor):
 # --- counter rates -------------------------------------------------------------------------------
 
 class Rates(InOrder):
-    def __init__(self, counters: list[str], interval: float, *rest):
+    """kept: the last value of each counter, then whether each was null."""
+
+    def __init__(self, n: int, interval: float, *rest):
         super().__init__(*rest)
-        self.counters, self.interval = counters, interval
+        self.n, self.interval = n, interval
+
+    def step(self, key, rows: pd.DataFrame, kept: tuple | None):
+        out, last, missing = {"x_row": rows["x_row"]}, [], []
+        for i in range(self.n):
+            value, null = rows[f"x_v{i}"].to_numpy(), rows[f"x_z{i}"].to_numpy()
+            first = (value[0], null[0]) if kept is None else (kept[i], kept[self.n + i])
+            change = value - np.concatenate([np.array([first[0]], value.dtype), value[:-1]])
+            none = null | np.concatenate([[first[1]], null[:-1]])
+            out[f"x_r{i}"] = pd.Series(np.where(none, np.nan, change / self.interval), rows.index).astype(object).where(~none, None)
+            last.append(plain(value[-1]))
+            missing.append(bool(null[-1]))
+        return pd.DataFrame(out).assign(late=False), (*last, *missing)
 
-    def step(self, row: Row, kept: tuple | None):
-        now = tuple(row[c] for c in self.counters)
-        rates = {f"{c}_rate": None if b is None or a is None else float(a - b) / self.interval
-                 for c, a, b in zip(self.counters, now, now if kept is None else kept)}
-        yield self.made(row, **rates)
-        return now, None
+    def told_late(self, key, rows: pd.DataFrame) -> pd.DataFrame:
+        return rows[["x_row"]].assign(**{f"x_r{i}": None for i in range(self.n)}, late=True)
 
 
 def streaming_rates(samples: DataFrame, keys: list[str], order: list[str], counters: list[str], interval: float = 1.0,
                     late_by: str = "1 hour", keep: float = DAY) -> DataFrame:
-    """The samples with <counter>_rate, (current - previous) / interval, 0 for a host's first sample, and `late`."""
-    out = [*samples.columns, *[f"{c}_rate" for c in counters], "late"]
-    types = [*fields(samples, samples.columns), *[f"`{c}_rate` double" for c in counters], "late boolean"]
-    processor = Rates(counters, interval, order[1:], fields(samples, counters), fields(samples, order[1:]), keep, out)
-    return keyed(samples, keys, order[0], late_by, processor, ", ".join(types))
+    """The samples with <counter>_rate, (current - previous) / interval, 0 for a host's first sample, and `late`.
+
+    Whole numbers are subtracted as such, other numbers as doubles. A null counter has no rate, nor has the one after it.
+    """
+    whole = ("tinyint", "smallint", "int", "bigint")
+    kinds = ["long" if samples.schema[c].dataType.simpleString() in whole else "double" for c in counters]
+    more = {"x_row": packed(samples.columns)}
+    for i, (c, kind) in enumerate(zip(counters, kinds)):
+        more |= {f"x_v{i}": F.coalesce(F.col(c).cast(kind), F.lit(0).cast(kind)), f"x_z{i}": F.col(c).isNull()}
+    kept = [*[f"x_v{i} {k}" for i, k in enumerate(kinds)], *[f"x_z{i} boolean" for i in range(len(counters))]]
+    out = ", ".join(["x_row string", *[f"x_r{i} double" for i in range(len(counters))], "late boolean"])
+    processor = Rates(len(counters), float(interval), types(samples, order[1:]), kept, keep, out)
+    found = keyed(samples, keys, order, late_by, processor, more).withColumn("x_row", unpacked("x_row", samples, samples.columns))
+    return found.select("x_row.*", *[F.col(f"x_r{i}").alias(f"{c}_rate") for i, c in enumerate(counters)], "late")
 
 
 # --- latest location -----------------------------------------------------------------------------
 
 class Locations(InOrder):
-    def __init__(self, values: list[str], *rest):
-        super().__init__(*rest)
-        self.values = values
+    """kept: the last place, as text."""
 
-    def step(self, row: Row, kept: tuple | None):
-        now = tuple(row[v] for v in self.values)
-        if now != kept:
-            yield self.made(row, **{f"old_{v}": None if kept is None else old for v, old in zip(self.values, kept or now)})
-        return now, None
+    def step(self, key, rows: pd.DataFrame, kept: tuple | None):
+        here = rows["x_here"].to_numpy()
+        old = np.concatenate([np.array([None if kept is None else kept[0]], object), here[:-1]])
+        moved = here != old
+        return pd.DataFrame({"x_row": rows["x_row"][moved], "x_old": old[moved], "late": False}), (here[-1],)
+
+    def told_late(self, key, rows: pd.DataFrame) -> pd.DataFrame:
+        return rows[["x_row"]].assign(x_old=None, late=True)
 
 
 def streaming_locations(sightings: DataFrame, keys: list[str], order: list[str], values: list[str],
                         late_by: str = "1 hour", keep: float = 30 * DAY) -> DataFrame:
     """The sightings at which an address is new or has moved, with its place before as old_*, and late ones."""
-    out = [*sightings.columns, *[f"old_{v}" for v in values], "late"]
-    types = [*fields(sightings, sightings.columns), *[f"`old_{v}` {sightings.schema[v].dataType.simpleString()}" for v in values], "late boolean"]
-    processor = Locations(values, order[1:], fields(sightings, values), fields(sightings, order[1:]), keep, out)
-    return keyed(sightings, keys, order[0], late_by, processor, ", ".join(types))
+    more = {"x_row": packed(sightings.columns), "x_here": packed(values)}
+    processor = Locations(types(sightings, order[1:]), ["x_here string"], keep, "x_row string, x_old string, late boolean")
+    found = keyed(sightings, keys, order, late_by, processor, more)
+    found = found.withColumns({"x_row": unpacked("x_row", sightings, sightings.columns), "x_old": unpacked("x_old", sightings, values)})
+    return found.select("x_row.*", *[F.col("x_old")[v].alias(f"old_{v}") for v in values], "late")
 
 
 # --- link liveness -------------------------------------------------------------------------------
@@ -200,28 +250,33 @@ class Links(InOrder):
             self.remove(pair, side, at)
             yield side, at
 
-    def told(self, key, side: int, at: int, seq, event: str) -> Row:
-        ends = (key[0], key[1]) if side == 0 else (key[1], key[0])
-        return Row(**dict(zip(self.out, (*ends, at, seq, event, False))))
-
-    def step(self, row: Row, kept: tuple | None):
-        pair, at = list(kept or (None, None, 0, 0, None, None)), row["_at"]
-        key, side = (row["lo"], row["hi"]), int(row["src"] > row["dst"])
-        for other, due in self.gone(pair, at):
-            yield self.told(key, other, due, None, "delete")
-        if row["kind"] == "seen":
-            if pair[side] is None:
-                yield self.told(key, side, at, row["seq"], "add")
-            pair[side], pair[2 + side], pair[4 + side] = at, 0, None
-        elif row["kind"] == "probe":
-            pair[2 + side] += row["n"]
-            if pair[side] is not None and pair[2 + side] > self.losses and (at - pair[side] > self.timeout or pair[4 + side] is not None):
-                self.remove(pair, side, at)
-                yield self.told(key, side, at, row["seq"], "delete")
-        return tuple(pair), None
-
-    def made(self, row: Row, late: bool = False, **more) -> Row:
-        return Row(**dict(zip(self.out, (row["src"], row["dst"], row["_at"], row["seq"], "late", True))))
+    def told(self, key, events: list[tuple]) -> pd.DataFrame:
+        """events: (side, time, seq, event)."""
+        ends = [key if side == 0 else (key[1], key[0]) for side, *_ in events]
+        side, at, seq, event = zip(*events) if events else ((), (), (), ())
+        return pd.DataFrame({"src": [e[0] for e in ends], "dst": [e[1] for e in ends], "_us": at, "seq": pd.Series(seq, dtype=object),
+                             "event": event, "late": [e == "late" for e in event]})
+
+    def step(self, key, rows: pd.DataFrame, kept: tuple | None):
+        pair, events = list(kept or (None, None, 0, 0, None, None)), []
+        for at, seq, side, kind, n in zip(*(rows[c].tolist() for c in ("x_at", "x_t0", "x_side", "x_kind", "x_n"))):
+            events += [(other, due, None, "delete") for other, due in self.gone(pair, at)]
+            if kind == "seen":
+                if pair[side] is None:
+                    events.append((side, at, seq, "add"))
+                pair[side], pair[2 + side], pair[4 + side] = at, 0, None
+            elif kind == "probe":
+                pair[2 + side] += n
+                if pair[side] is not None and pair[2 + side] > self.losses and (at - pair[side] > self.timeout or pair[4 + side] is not None):
+                    self.remove(pair, side, at)
+                    events.append((side, at, seq, "delete"))
+        return self.told(key, events), tuple(pair)
+
+    def told_late(self, key, rows: pd.DataFrame) -> pd.DataFrame:
+        return self.told(key, [(side, at, seq, "late") for side, at, seq in zip(*(rows[c].tolist() for c in ("x_side", "x_at", "x_t0")))])
+
+    def renews(self, before: tuple, kept: tuple) -> bool:
+        return self.silence is not None and before != kept
 
     def due(self, kept: tuple, at: int) -> int:
         """The millisecond at which the pair has to be looked at again."""
@@ -233,21 +288,14 @@ class Links(InOrder):
     def expiry(self, at: int, kept: tuple) -> int:
         return self.due(kept, at)
 
-    def end(self, key, kept: tuple) -> Iterator[Row]:
-        """A pair whose links change gets a timer for its next deadline; timers of before only look again."""
-        if self.silence is not None and self.last.exists():
-            before = self.last.get()
-            if before[2:] != kept:
-                self.handle.registerTimer(self.due(kept, before[0]))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         before = self.last.get()
         if before is None:
             return
         pair, now = list(before[2:]), timerValues.getCurrentWatermarkInMs()
-        for side, at in self.gone(pair, now * 1000):
-            yield self.told(key, side, at, None, "delete")
+        events = [(side, at, None, "delete") for side, at in self.gone(pair, now * 1000)]
+        if events:
+            yield self.told(key, events)
         due = self.due(tuple(pair), before[0])
         if due <= now and pair[0] is None and pair[1] is None:
             self.last.clear()
@@ -268,50 +316,47 @@ def streaming_liveness(rows: DataFrame, timeout: float = LINK_TIMEOUT, losses: i
     A pair without live links is forgotten `keep` seconds after its last row; until then no late sighting revives it.
     """
     pairs = rows.withColumns({"lo": F.least("src", "dst"), "hi": F.greatest("src", "dst")})
-    out = ["src", "dst", "_us", "seq", "event", "late"]
-    node = pairs.schema["lo"].dataType.simpleString()
-    types = f"src {node}, dst {node}, _us long, seq {rows.schema['seq'].dataType.simpleString()}, event string, late boolean"
+    node, seq = (rows.schema[c].dataType.simpleString() for c in ("src", "seq"))
+    out = f"src {node}, dst {node}, _us long, seq {seq}, event string, late boolean"
     kept = ["seen0 long", "seen1 long", "sent0 long", "sent1 long", "aged0 long", "aged1 long"]
-    processor = Links(timeout, losses, silence, ["seq"], kept, fields(rows, ["seq"]), keep, out)
-    found = keyed(pairs, ["lo", "hi"], "ts", late_by, processor, types)
+    processor = Links(timeout, losses, silence, types(rows, ["seq"]), kept, keep, out)
+    more = {"x_side": (F.col("src") > F.col("dst")).cast("int"), "x_kind": F.col("kind"), "x_n": F.coalesce(F.col("n"), F.lit(0))}
+    found = keyed(pairs, ["lo", "hi"], ["ts", "seq"], late_by, processor, more)
     return found.select("src", "dst", back_to(F.col("_us"), rows, "ts").alias("ts"), "seq", "event", "late")
 
 
 # --- sessions ------------------------------------------------------------------------------------
 
 class Sessions(InOrder):
-    """kept: start of the open session (null: none), its rows."""
+    """kept: start of the open session (null: none), its rows, and the time of the last row."""
 
     def __init__(self, gap: float, keys: list[str], *rest):
         super().__init__(*rest)
         self.gap, self.keys = int(gap * 1e6), keys
-        self.at = 0
 
-    def told(self, key, start: int, last: int, end: int | None, n: int) -> Row:
-        return Row(**dict(zip(self.out, (*key, start, last, end, end is not None, n, False))))
+    def told(self, key, records: list[tuple], late: bool = False) -> pd.DataFrame:
+        """records: (start, last, end, finished, rows)."""
+        start, last, end, finished, n = zip(*records) if records else ((),) * 5
+        return pd.DataFrame({**{k: pd.Series([v] * len(records), dtype=object) for k, v in zip(self.keys, key)}, "_start": start, "_last": last,
+                             "_end": pd.Series(end, dtype=object), "is_finished": finished, "n": n, "late": late})
 
-    def step(self, row: Row, kept: tuple | None):
+    def step(self, key, rows: pd.DataFrame, kept: tuple | None):
         start, n, last = kept or (None, 0, None)
-        key, at = [row[k] for k in self.keys], row["_at"]
-        if start is not None and at - last > self.gap:
-            yield self.told(key, start, last, None, n)
-            start, n = None, 0
-        start, n = (at, 1) if start is None else (start, n + 1)
-        if row["_closed"]:
-            yield self.told(key, start, at, at, n)
-            start, n = None, 0
-        return (start, n, at), None
-
-    def made(self, row: Row, late: bool = False, **more) -> Row:
-        return Row(**dict(zip(self.out, (*(row[k] for k in self.keys), row["_at"], row["_at"], None, False, 0, True))))
-
-    def end(self, key, kept: tuple) -> Iterator[Row]:
-        """The open session as it stands, so that its record is there from the login on."""
-        if kept[0] is not None:
-            yield self.told(key, kept[0], kept[2], None, kept[1])
-
-    def expiry(self, at: int, kept: tuple) -> int:
-        return at // 1000 + 1 + self.gap // 1000
+        records = []
+        for at, closed in zip(rows["x_at"].tolist(), rows["x_closed"].tolist()):
+            if start is not None and at - last > self.gap:
+                records.append((start, last, None, False, n))
+                start = None
+            start, n, last = (at, 1, at) if start is None else (start, n + 1, at)
+            if closed:
+                records.append((start, at, at, True, n))
+                start, n = None, 0
+        if start is not None:  # as it stands, so that the record is there from the login on
+            records.append((start, last, None, False, n))
+        return self.told(key, records), (start, n, last)
+
+    def told_late(self, key, rows: pd.DataFrame) -> pd.DataFrame:
+        return self.told(key, [(at, at, None, False, 0) for at in rows["x_at"].tolist()], late=True)
 
 
 def login_sessions(events: DataFrame, keys: list[str], order: list[str], closed: Column, gap: float = DAY,
@@ -322,13 +367,11 @@ def login_sessions(events: DataFrame, keys: list[str], order: list[str], closed:
     which `closed` holds. Its record comes whenever a batch changes it; the newest one per holder and start counts
     (`newest_updates`). One that only fell silent stays unfinished, and its state goes as event time passes the gap.
     """
-    out = [*keys, "_start", "_last", "_end", "is_finished", "n", "late"]
-    types = [*fields(events, keys), "_start long", "_last long", "_end long", "is_finished boolean", "n long", "late boolean"]
-    rows = events.select(*dict.fromkeys([*keys, *order]), F.coalesce(closed, F.lit(False)).alias("_closed"))
-    processor = Sessions(gap, keys, order[1:], ["start long", "n long", "last long"], fields(events, order[1:]), gap, out)
-    found = keyed(rows, keys, order[0], late_by, processor, ", ".join(types))
-    times = [back_to(F.col(c), events, order[0]).alias(n) for c, n in (("_start", "start_time"), ("_last", "last_time"), ("_end", "end_time"))]
-    return found.select(*keys, *times, "is_finished", "n", "late")
+    times = {"_start": "start_time", "_last": "last_time", "_end": "end_time"}
+    out = ", ".join([*fields(events, keys), *[f"{c} long" for c in times], "is_finished boolean", "n long", "late boolean"])
+    processor = Sessions(gap, keys, types(events, order[1:]), ["start long", "n long", "last long"], gap, out)
+    found = keyed(events, keys, order, late_by, processor, {"x_closed": F.coalesce(closed, F.lit(False))})
+    return found.select(*keys, *[back_to(F.col(c), events, order[0]).alias(n) for c, n in times.items()], "is_finished", "n", "late")
 
 
 # --- running -------------------------------------------------------------------------------------
