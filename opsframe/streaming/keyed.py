@@ -99,9 +99,10 @@ class InOrder(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         before = self.last.get()
-        rows = pd.concat(list(rows), ignore_index=True)
-        place = self.place
-        rows = rows.sort_values(place, kind="stable") if len(rows) > 1 else rows
+        parts, place = list(rows), self.place
+        rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        if not (np.diff(rows["x_at"].to_numpy()) > 0).all():
+            rows = rows.sort_values(place, kind="stable")
         if before is not None and rows["x_at"].iloc[0] <= before[0]:
             late = (rows["x_at"] < before[0]).to_numpy()
             for i in np.flatnonzero((rows["x_at"] == before[0]).to_numpy()):
@@ -156,16 +157,21 @@ class Rates(InOrder):
         self.n, self.interval = n, interval
 
     def step(self, key, rows: pd.DataFrame, kept: tuple | None):
-        out, last, missing = {"x_row": rows["x_row"]}, [], []
+        out, last, missing = {"x_row": rows["x_row"].to_numpy()}, [], []
         for i in range(self.n):
             value, null = rows[f"x_v{i}"].to_numpy(), rows[f"x_z{i}"].to_numpy()
-            first = (value[0], null[0]) if kept is None else (kept[i], kept[self.n + i])
-            change = value - np.concatenate([np.array([first[0]], value.dtype), value[:-1]])
-            none = null | np.concatenate([[first[1]], null[:-1]])
-            out[f"x_r{i}"] = pd.Series(np.where(none, np.nan, change / self.interval), rows.index).astype(object).where(~none, None)
+            before = np.empty_like(value)
+            before[0], before[1:] = value[0] if kept is None else kept[i], value[:-1]
+            rate = (value - before) / self.interval
+            if null.any() or kept is not None and kept[self.n + i]:
+                rate[null] = np.nan  # becomes null
+                rate[1:][null[:-1]] = np.nan
+                if kept is not None and kept[self.n + i]:
+                    rate[0] = np.nan
+            out[f"x_r{i}"] = rate
             last.append(plain(value[-1]))
             missing.append(bool(null[-1]))
-        return pd.DataFrame(out).assign(late=False), (*last, *missing)
+        return pd.DataFrame({**out, "late": False}), (*last, *missing)
 
     def told_late(self, key, rows: pd.DataFrame) -> pd.DataFrame:
         return rows[["x_row"]].assign(**{f"x_r{i}": None for i in range(self.n)}, late=True)
@@ -195,10 +201,11 @@ class Locations(InOrder):
     """kept: the last place, as text."""
 
     def step(self, key, rows: pd.DataFrame, kept: tuple | None):
-        here = rows["x_here"].to_numpy()
-        old = np.concatenate([np.array([None if kept is None else kept[0]], object), here[:-1]])
-        moved = here != old
-        return pd.DataFrame({"x_row": rows["x_row"][moved], "x_old": old[moved], "late": False}), (here[-1],)
+        here = rows["x_here"].tolist()
+        old = [None if kept is None else kept[0], *here[:-1]]
+        moved = [i for i, (a, b) in enumerate(zip(here, old)) if a != b]
+        row = rows["x_row"].to_numpy()
+        return pd.DataFrame({"x_row": row[moved], "x_old": [old[i] for i in moved], "late": False}), (here[-1],)
 
     def told_late(self, key, rows: pd.DataFrame) -> pd.DataFrame:
         return rows[["x_row"]].assign(x_old=None, late=True)
