@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from opsframe.llm import winnowing
 from opsframe.llm.repeats import span_lists
-from opsframe.llm.store import KEY, KEY_TYPE, keyed, saved
+from opsframe.llm.store import KEY, KEY_TYPE, keyed, one_row_each, saved
 from opsframe.llm.text import NOT_SPACE, Hashes, of_bytes, parts, ragged, words
 
 LENGTH, GRAM = 35, 8
@@ -49,9 +49,9 @@ def confirmed(variants: list[np.ndarray], fp: np.ndarray, length: int) -> list[l
     return out
 
 
-def recurring(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(_key, _more, start, n, fp, variant, spans): confirmed passages in words from each run's start."""
-    found = winnowing.repeating(docs, gram, length, NOT_SPACE)
+def recurring(one: DataFrame, again: DataFrame, length: int, gram: int) -> DataFrame:
+    """(_key, _more, start, n, fp, variant, spans): confirmed passages in words from each run's start; see `store.one_row_each`."""
+    found = winnowing.repeating(one.unionByName(again), gram, length, NOT_SPACE)
     every, cold, hot = winnowing.contested(found)
 
     def shard(table: pa.Table) -> pa.Table:
@@ -60,9 +60,9 @@ def recurring(docs: DataFrame, length: int, gram: int) -> DataFrame:
         spans = confirmed(variants, table["fp"].to_numpy(), length)
         return pa.table({"fp": table["fp"], "variant": table["variant"], "spans": span_lists(spans)})
 
-    texts = winnowing.shards(cold, docs, length, NOT_SPACE, 8)
+    texts = winnowing.shards(cold, one, length, NOT_SPACE, 8)
     own = texts.groupBy("shard").applyInArrow(shard, f"fp long, variant long, spans {winnowing.SPANS}")
-    shared = own.where(F.size("spans") > 0).unionByName(winnowing.hot_windows(docs, hot, length, NOT_SPACE))
+    shared = own.where(F.size("spans") > 0).unionByName(winnowing.hot_windows(one, hot, length, NOT_SPACE))
     return winnowing.repeated_parts(found, shared, every, length)
 
 
@@ -138,12 +138,9 @@ def without_passages(documents: DataFrame, length: int = LENGTH, gram: int = GRA
     """doc_id, n_words, n_removed, kept_sha256."""
     docs = keyed(documents)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # rows that repeat a document share its result, so one of them goes to a shard
-    twice = saved(docs.groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1").select(*KEY), "repeated-rows")
-    one = docs.select(*KEY, "text")
-    one = one.join(twice, KEY, "left_anti").unionByName(one.join(twice, KEY, "left_semi").dropDuplicates(KEY))
+    one, again = one_row_each(docs)  # rows that repeat a document share its result
     shard = F.pmod(F.xxhash64(*KEY, F.lit("shard")), F.lit(max(1, -(-int(total) // SHARD_BYTES)))).cast("int").alias("shard")
-    places = recurring(docs, length, gram).withColumn("shard", shard)
+    places = recurring(one, again, length, gram).withColumn("shard", shard)
     # a passage that several documents of a shard hold is taken from the first of them
     once = places.groupBy("shard", "fp", "variant").agg(F.min(F.struct(*KEY, "start", "spans")).alias("p")).select("shard", "p.*")
     left = one.select(shard, *KEY, "text").toDF("shard", *KEY, "text")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsframe.llm import winnowing
-from opsframe.llm.store import KEY, keyed
+from opsframe.llm.store import KEY, keyed, one_row_each
 from opsframe.llm.text import blocks
 
 LENGTH, GRAM = 400, 128
@@ -160,8 +160,12 @@ def span_lists(spans: list[list[tuple[int, int]]]) -> pa.Array:
 
 
 def repeated_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(_key, _more, start, spans): what repeats in each run, in bytes from the run's start."""
-    found = winnowing.repeating(docs, gram, length)
+    """(_key, _more, start, spans): what repeats in each run, in bytes from the run's start; `docs` from `store.keyed`.
+
+    Rows that repeat a document don't add to the work: at most two of them stand for all.
+    """
+    one, again = one_row_each(docs)
+    found = winnowing.repeating(one.unionByName(again), gram, length)
     every, cold, hot = winnowing.contested(found)
 
     def shard(table: pa.Table) -> pa.Table:
@@ -169,9 +173,9 @@ def repeated_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
         _, spans = repeats_of_shard(table["units"].to_pylist(), length)
         return pa.table({"fp": table["fp"], "variant": table["variant"], "spans": span_lists(spans)})
 
-    texts = winnowing.shards(cold, docs, length, None, 1)
+    texts = winnowing.shards(cold, one, length, None, 1)
     own = texts.groupBy("shard").applyInArrow(shard, f"fp long, variant long, spans {winnowing.SPANS}")
-    parts = own.where(F.size("spans") > 0).unionByName(winnowing.hot_windows(docs, hot, length))
+    parts = own.where(F.size("spans") > 0).unionByName(winnowing.hot_windows(one, hot, length))
     return winnowing.repeated_parts(found, parts, every, length)
 
 
