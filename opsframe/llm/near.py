@@ -116,7 +116,7 @@ def signed_documents(docs: DataFrame) -> DataFrame:
                     [*rows.columns[:3], pa.array(signed(h1)), pa.array(signed(h2)),
                      lists(signed(found[some].ravel()), np.where(some, BANDS, 0))], [*NODE, "h1", "h2", "bands"])
 
-    return docs.select(*NODE, "text").mapInArrow(run, f"_id long, {KEY_TYPE}, h1 long, h2 long, bands array<long>")
+    return docs.select(*NODE, "text").mapInArrow(run, f"_id {docs.schema['_id'].dataType.simpleString()}, {KEY_TYPE}, h1 long, h2 long, bands array<long>")
 
 
 def bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 bag = [np.sort(values[a:b]).tobytes() for a, b in zip(begin[:-1], begin[1:])]
                 yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(bag, pa.binary())], [*NODE, "bag"])
 
-    return docs.select(*NODE, "text", place).mapInArrow(run, f"_id long, {KEY_TYPE}, bag binary").dropDuplicates(KEY)
+    return docs.select(*NODE, "text", place).mapInArrow(run, f"_id {docs.schema['_id'].dataType.simpleString()}, {KEY_TYPE}, bag binary").dropDuplicates(KEY)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -275,11 +275,16 @@ def classes(documents: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class), class_size, representative."""
+    """doc_id, class_id (the least doc_id of its class), class_size, representative, class_key.
+
+    Where ids are null or repeat with other texts, classes may share a class_id; class_key, of the whole key of its first
+    document, is a class's own.
+    """
     found = saved(classes(documents), "classes")
     sizes = saved(found.groupBy("root").agg(F.count("*").alias("class_size")), "sizes")  # as in _between
     return found.join(sizes, "root").select("doc_id", F.col("root._id").alias("class_id"), "class_size",
-                                            (_node() == F.col("root")).alias("representative"))
+                                            (_node() == F.col("root")).alias("representative"),
+                                            F.concat_ws("-", F.hex("root._key"), F.hex("root._more")).alias("class_key"))
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:

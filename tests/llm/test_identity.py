@@ -39,3 +39,13 @@ def test_results_of_documents_of_one_id(shipped, alike, doc_id):
     kept = {r.kept for r in lines.line_dedup(docs).collect()}
     assert {one, two} <= kept
     assert sorted(r.n_removed for r in passages.without_passages(docs).collect()) == [0] * 12 + [40, 40]
+
+
+def test_classes_of_null_repeated_and_text_ids_stay_apart(shipped):
+    rows = [(None, "a"), (None, "b"), (0, "c"), (0, "d"), (5, "b"), (5, "b")]
+    found = near.near_duplicates(shipped.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r.class_key for r in found}) == 4 and sorted(r.class_size for r in found) == [1, 1, 1, 3, 3, 3]
+    docs = shipped.createDataFrame([("x1", "one two three"), ("x2", "One, two three!"), (None, "other"), ("x10", "alone")], "doc_id string, text string")
+    assert sorted((str(r.doc_id), r.class_id, r.class_size) for r in near.near_duplicates(docs).collect()) == [
+        ("None", "", 1), ("x1", "x1", 2), ("x10", "x10", 1), ("x2", "x1", 2)]
+    assert sorted(str(r.doc_id) for r in near.one_of_each(docs).collect()) == ["None", "x1", "x10"]
