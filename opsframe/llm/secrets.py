@@ -11,12 +11,14 @@ Null and empty texts have no spans. Rows that repeat a document get the same spa
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opsframe.llm.repeats import merged
 from opsframe.llm.store import KEY, KEY_TYPE, keyed, saved
 
 SCOPE = 400
@@ -42,8 +44,13 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def part_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Identifiers, weak secrets outside the base spans, and endpoints."""
-    secrets = [(m.start(), m.end(), "secret") for m in SECRET.finditer(text)
-               if not any(a < m.end() and m.start() < b for a, b, _ in base)]
+    taken = merged([(a, b) for a, b, _ in base])
+    ends = [b for _, b in taken]
+    secrets = []
+    for m in SECRET.finditer(text):
+        i = bisect_right(ends, m.start())  # the first base span that ends behind the secret's start
+        if i == len(taken) or taken[i][0] >= m.end():
+            secrets.append((m.start(), m.end(), "secret"))
     if not secrets:
         return []
     named = [(m.start(1), m.end(1), "identifier") for m in IDENTIFIER.finditer(text)]

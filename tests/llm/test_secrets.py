@@ -19,3 +19,20 @@ def test_every_supporting_part_counts(shipped):
     assert got[1] == sorted([(WEAK, "secret"), ("alice", "identifier"), ("carol", "identifier"), ("dave1", "identifier"),
                              ("host=db.example.org", "endpoint"), ("https://api.example.org/x", "endpoint")])
     assert got[2] == got[3] == [] and got[4] == [(WEAK, "secret")]
+
+
+def test_weak_secrets_of_a_long_text_lie_outside_its_base_spans():
+    import random
+    import time
+
+    r = random.Random(6)
+    pieces = [WEAK, STRONG, "deadbeefdeadbeef00", f'password = "{WEAK}"', f"token:{WEAK}/deadbeefdeadbeef01", "word", "login: bob"]
+    text = " ".join(r.choice(pieces) for _ in range(3000))
+    base = secrets.base_spans(text)
+    plain = [(m.start(), m.end()) for m in secrets.SECRET.finditer(text) if not any(a < m.end() and m.start() < b for a, b, _ in base)]
+    assert [(a, b) for a, b, k in secrets.part_spans(text, base) if k == "secret"] == plain and plain
+    long = " ".join(r.choice(pieces) for _ in range(150_000))
+    assert len(long) > 2 << 20
+    began = time.process_time()
+    secrets.part_spans(long, secrets.base_spans(long))
+    assert time.process_time() - began < 20  # in proportion to the text; all pairs took 8 s for a sixth of it
