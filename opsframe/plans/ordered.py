@@ -1,8 +1,8 @@
 """Order-dependent work that does not put a whole key into one task.
 
-A plain window over (key order by ts) gives all rows of a key to one task. `Timeline` deals rows by
-ranges of (keys, order), so a large key lies in several partitions, its chunks. It runs the window per
-(key, chunk) and carries a one-row summary from chunk to chunk for the keys that cross a border.
+A plain window over (key order by ts) gives all rows of a key to one task. `Timeline` finds the keys with more rows than a
+task should take, cuts each at quantiles of its order into chunks, and runs the window per (key, chunk): one shuffle, of
+which further scans of the chain make use. A one-row summary of each chunk is carried to the chunks behind it.
 
 `number_rows` gives consecutive numbers in a total order without a global window.
 """
@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 
 from opsframe.plans.session import cut
 
-# Rows of one key that one task takes, where the session sets it.
+# Rows of one key that one task takes, unless the session sets it.
+ROWS_PER_TASK = 1_000_000
 ROWS_PER_TASK_SETTING = "opsframe.rowsPerTask"
+CHUNK_BITS = 12  # a key is cut into 2 ** CHUNK_BITS chunks at most
+SAMPLE = 32  # rows per chunk from which the cut points are read
 _CHUNK = "_chunk"
 
 
@@ -28,35 +31,50 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str)
     return left.join(right, on, how).drop(*[f"_k_{k}" for k in keys])
 
 
-def with_chunks(df: DataFrame, keys: list[str], order: list[str], rows_per_task: int | None) -> DataFrame:
-    """Add `_chunk`: 0 for a key that lies in one range partition, else the number (from 1) of the row's partition.
+def cut_points(df: DataFrame, keys: list[str], order: list[str], limit: int) -> DataFrame | None:
+    """(keys, _cuts) for the keys with more than `limit` rows, from a table: the places, as structs of the order columns, at
+    which chunks of about limit / 2 rows begin. None where there is no such key.
 
-    Rows are dealt by ranges of the keys and all order columns, so a key of any size or shape is cut where the rows
-    are, ties in some of the order columns included. The dealt rows are checkpointed: chunk and rows stay the same
-    when tasks are retried. At most one key per border lies in two partitions, which bounds the broadcast by the
-    number of partitions. That number is spark.sql.shuffle.partitions, or enough for about rows_per_task / 2 rows each.
+    A first pass counts rows per key; it combines before its shuffle. A second, over these keys alone, samples rows by the
+    hash of their order columns, SAMPLE for each chunk, and takes quantiles of them. Both depend on the rows alone.
     """
-    by = [*keys, *order]
-    parts = [max(1, -(-2 * df.count() // rows_per_task))] if rows_per_task else []
-    rows = cut(df.repartitionByRange(*parts, *by).withColumn(_CHUNK, F.spark_partition_id().cast("long") + 1))
-    key = F.struct(*keys)
-    ends = rows.groupBy(_CHUNK).agg(F.array_distinct(F.array(F.min(key), F.max(key))).alias("_ends"))
-    across = ends.select(F.explode("_ends").alias("_key")).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
-    across = cut(across.filter("_n > 1").select("_key.*", F.lit(True).alias("_across")))
-    marked = join_null_safe(rows, F.broadcast(across), keys, "left")
-    return marked.withColumn(_CHUNK, F.when(F.col("_across"), F.col(_CHUNK)).otherwise(0)).drop("_across")
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+    hot = cut(sizes.withColumn("_parts", F.least(F.lit(1 << CHUNK_BITS), F.ceil(2 * F.col("_n") / limit)).cast("int")))
+    if hot.isEmpty():
+        return None
+    rows = join_null_safe(df.select(*dict.fromkeys([*keys, *order])), hot, keys, "inner")
+    some = rows.filter(F.pmod(F.xxhash64(*order), F.col("_n")) < SAMPLE * F.col("_parts"))
+    listed = some.groupBy(*keys).agg(F.first("_parts").alias("_parts"), F.sort_array(F.collect_list(F.struct(*order))).alias("_all"))
+    places = F.transform(F.sequence(F.lit(1), F.col("_parts") - 1), lambda i: F.floor(i * F.size("_all") / F.col("_parts")).cast("int"))
+    return cut(listed.select(*keys, F.transform(F.array_distinct(places), lambda i: F.get("_all", i)).alias("_cuts")))
+
+
+def with_chunks(df: DataFrame, keys: list[str], order: list[str], rows_per_task: int) -> tuple[DataFrame, bool]:
+    """Add `_chunk`: 0 for a key that isn't cut, else the number (from 1) of the row's chunk; and whether any key is cut.
+
+    The chunk is found by binary search among the key's cut points. There are as many of these as chunks, so few, and
+    only cut keys have any.
+    """
+    cuts = cut_points(df, keys, order, rows_per_task)
+    if cuts is None:
+        return df.withColumn(_CHUNK, F.lit(0).cast("long")), False
+    here = F.struct(*order)
+    found = F.aggregate(F.sequence(F.lit(CHUNK_BITS - 1), F.lit(0)), F.lit(0), lambda low, bit: F.when(
+        F.get("_cuts", low + F.call_function("shiftleft", F.lit(1), bit) - 1) <= here, low + F.call_function("shiftleft", F.lit(1), bit)).otherwise(low))
+    rows = join_null_safe(df, cuts, keys, "left")
+    return rows.withColumn(_CHUNK, F.when(F.col("_cuts").isNull(), 0).otherwise(found + 1).cast("long")).drop("_cuts"), True
 
 
 class Timeline:
     """Rows of each key in order. `order` must be total within a key.
 
-    Making one deals and checkpoints the rows once; later actions read the checkpoint.
+    Making one counts the rows of each key. The rows aren't written: each action computes them anew.
     """
 
     def __init__(self, df: DataFrame, keys: list[str], order: list[str], rows_per_task: int | None = None):
         self.keys, self.order = list(keys), list(order)
-        limit = rows_per_task or int(df.sparkSession.conf.get(ROWS_PER_TASK_SETTING, "0"))
-        self._rows = with_chunks(df, self.keys, self.order, limit)
+        limit = rows_per_task or int(df.sparkSession.conf.get(ROWS_PER_TASK_SETTING, str(ROWS_PER_TASK)))
+        self._rows, self._is_cut = with_chunks(df, self.keys, self.order, limit)
 
     @property
     def frame(self) -> DataFrame:
@@ -65,12 +83,14 @@ class Timeline:
     def map(self, fn) -> Timeline:
         """Apply a narrow DataFrame -> DataFrame function that keeps keys, order columns and chunks."""
         other = object.__new__(Timeline)
-        other.keys, other.order, other._rows = self.keys, self.order, fn(self._rows)
+        other.keys, other.order, other._rows, other._is_cut = self.keys, self.order, fn(self._rows), self._is_cut
         return other
 
     def scan(self, previous: dict[str, Column] | None = None, running: dict[str, Column] | None = None,
              known: dict[str, Column] | None = None) -> Timeline:
-        """Add columns computed along the order, all in one shuffle.
+        """Add columns computed along the order, all in one shuffle, which later scans share.
+
+        Where keys are cut, a first job makes the carries, a row for each chunk of these keys, and writes them.
 
         previous: value on the row before (null on the first row)
         running:  sum up to and including this row
@@ -85,6 +105,15 @@ class Timeline:
         rows = self._rows.withColumns(inputs)
         prior = F.struct(F.lit(True).alias("_is"), *[F.col(f"_v_{n}").alias(n) for n in previous])
 
+        local = {"_l_prior": F.lag(prior).over(here)} if previous else {}
+        local |= {f"_l_{n}": F.sum(f"_v_{n}").over(upto) for n in running}
+        local |= {f"_l_{n}": F.last(f"_v_{n}", ignorenulls=True).over(upto) for n in known}
+        joined = rows.withColumns(local)
+        if not self._is_cut:
+            out = {n: F.col(f"_l_prior.{n}") for n in previous} | {n: F.col(f"_l_{n}") for n in [*running, *known]}
+            kept = [c for c in joined.columns if c[:3] not in ("_v_", "_l_") and c not in out]
+            return self.map(lambda _: joined.select(*kept, *[c.alias(n) for n, c in out.items()]))
+
         tails = [F.max_by(prior, at).alias("_t_prior")] if previous else []
         tails += [F.sum(f"_v_{n}").alias(f"_t_{n}") for n in running]
         tails += [F.max_by(F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), at)).alias(f"_t_{n}") for n in known]
@@ -95,13 +124,8 @@ class Timeline:
         carried = [F.lag("_t_prior").over(chunks).alias("_c_prior")] if previous else []
         carried += [F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in running]
         carried += [F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in known]
-        carry = summary.select(*self.keys, _CHUNK, *carried)
-
-        local = {"_l_prior": F.lag(prior).over(here)} if previous else {}
-        local |= {f"_l_{n}": F.sum(f"_v_{n}").over(upto) for n in running}
-        local |= {f"_l_{n}": F.last(f"_v_{n}", ignorenulls=True).over(upto) for n in known}
-        joined = join_null_safe(rows.withColumns(local), carry, [*self.keys, _CHUNK], "left")
-
+        carry = cut(summary.select(*self.keys, _CHUNK, *carried))
+        joined = join_null_safe(joined, carry, [*self.keys, _CHUNK], "left")
         if previous:
             joined = joined.withColumn("_prior", F.coalesce("_l_prior", "_c_prior"))
         out = {n: F.col(f"_prior.{n}") for n in previous}
