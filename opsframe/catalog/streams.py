@@ -9,6 +9,7 @@ from opsframe.catalog.series import BUFFER, KINDS, SAMPLES, counters, rate
 from opsframe.catalog.storage import ROUTE_SQL, ROUTES, TAGGED, TAILS, message_lines
 from opsframe.plans.session import scratch
 from opsframe.sources import writes
+from opsframe.streaming import ingest as I
 from opsframe.streaming import keyed as K
 from opsframe.streaming import operators as T
 from opsframe.streaming.logs import ship
@@ -23,15 +24,20 @@ def stream_of(spark, sf, name):
 
 def in_two_batches(spark, rows, time, build):
     """The folder with all output of build(stream) over `rows`, the earlier and the later half of their time as a batch each."""
-    path, out = scratch(spark, "halves"), scratch(spark, "stream-out")
+    out = scratch(spark, "stream-out")
+    K.run_batches(build(in_halves(spark, rows, time)), out).awaitTermination()
+    return out
+
+
+def in_halves(spark, rows, time):
+    """`rows` as a stream of two batches, the earlier and the later half of their time."""
+    path = scratch(spark, "halves")
     ends = rows.agg(F.min(time).alias("a"), F.max(time).alias("b")).first()
     later = F.lit(False) if ends.a is None else F.col(time) > F.lit(ends.a + (ends.b - ends.a) / 2)
     rows.where(~later).write.parquet(f"{path}/part=0")
     files = max(1, len(spark.read.schema(rows.schema).parquet(f"{path}/part=0").inputFiles()))
     rows.where(later).coalesce(files).write.parquet(f"{path}/part=1")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/part=*")  # oldest files first
-    K.run_batches(build(stream), out).awaitTermination()
-    return out
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/part=*")  # oldest files first
 
 
 @query("t1_tail_tag_route", f"WITH {TAGGED} " + " UNION ALL ".join(
@@ -233,3 +239,21 @@ def link_takedowns(spark, sf):
     out = in_two_batches(spark, events, "ts", lambda s: T.link_takedowns(
         s.select("ts", *ends), port_events(s), ["switch", "port"], "ts", "1 hour", "10 minutes", "10 minutes"))
     return K.read_batches(spark, out)
+
+
+# Every fifth user is in the store before the stream starts. What a user wrote first is stored when an hour without a row of
+# this user has passed; the last watermark lies ten minutes behind the newest event.
+@query("s10_insert_stream", """WITH l AS (SELECT user_id, ts, event_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events WHERE user_id IS NOT NULL),
+    s AS (SELECT *, count(*) FILTER (WHERE before IS NULL OR epoch_us(ts) - epoch_us(before) >= 3600000000) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM l),
+    f AS (SELECT user_id, min_by(event_id, (ts, event_id)) AS event_id, min(ts) AS ts, max(ts) AS last FROM s WHERE no = 1 GROUP BY user_id)
+    SELECT user_id, event_id, ts FROM f WHERE user_id % 5 <> 0 AND last + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)
+    UNION ALL SELECT DISTINCT user_id, -1, TIMESTAMP '2023-01-01' FROM events WHERE user_id % 5 = 0""")
+def insert_stream(spark, sf):
+    events = table(spark, sf, "events").select("user_id", "event_id", "ts")
+    store = scratch(spark, "store")
+    old = events.where("user_id % 5 = 0").select("user_id").distinct()
+    old.select("user_id", F.lit(-1).cast("long").alias("event_id"), F.lit("2023-01-01").cast("timestamp_ntz").alias("ts")).write.parquet(f"{store}/batch=-1")
+    order = ["ts", "event_id"]
+    first = I.first_writers(in_halves(spark, events, "ts"), ["user_id"], order, "1 hour", "10 minutes")
+    I.ingest(first, store, ["user_id"], order).awaitTermination()
+    return I.read_store(spark, store, events.schema)
