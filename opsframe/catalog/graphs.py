@@ -21,7 +21,7 @@ def nation_edges(spark, sf):
 NATIONS = """e AS (SELECT * FROM (SELECT CAST(s_nationkey AS BIGINT) AS src, CAST(c_nationkey AS BIGINT) AS dst, 1 + count(*) % 9 AS weight FROM lineitem
       JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2) WHERE src <> dst),
     r(source, node, dist) AS (SELECT CAST(n_nationkey AS BIGINT), CAST(n_nationkey AS BIGINT), CAST(0 AS BIGINT) FROM nation
-      UNION SELECT r.source, e.dst, r.dist + e.weight FROM r JOIN e ON r.node = e.src WHERE r.dist + e.weight <= 30),
+      UNION SELECT r.source, e.dst, r.dist + e.weight FROM r JOIN e ON r.node = e.src WHERE r.dist + e.weight <= (SELECT 9 * count(*) FROM nation)),
     d AS (SELECT source, node, min(dist) AS dist FROM r GROUP BY 1, 2),
     p AS (SELECT a.source, e.dst AS node, e.src AS pred, a.dist AS pd FROM d a JOIN e ON a.node = e.src
           JOIN d b ON b.source = a.source AND b.node = e.dst AND b.dist = a.dist + e.weight)"""
@@ -58,8 +58,8 @@ def user_edges(spark, sf):
 
 @query("g1_user_graph", """WITH RECURSIVE x AS (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS dst,
       1 + event_id % 9 AS w FROM events), e AS (SELECT src, dst, min(w) AS weight FROM x WHERE dst IS NOT NULL AND src <> dst GROUP BY 1, 2),
-    r(node, dist) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION SELECT e.dst, r.dist + e.weight FROM r JOIN e ON r.node = e.src WHERE r.dist + e.weight <= 40)
-    SELECT CAST(0 AS BIGINT) AS source, node, min(dist) AS dist FROM r GROUP BY node""")
+    r(node, dist) AS (SELECT min(user_id), CAST(0 AS BIGINT) FROM events UNION SELECT e.dst, r.dist + e.weight FROM r JOIN e ON r.node = e.src WHERE r.dist + e.weight <= 40)
+    SELECT (SELECT min(user_id) FROM events) AS source, node, min(dist) AS dist FROM r GROUP BY node""")
 def user_graph(spark, sf):
     start = table(spark, sf, "events").agg(F.min("user_id").alias("source"))
     return G.distances(user_edges(spark, sf), start)
@@ -95,6 +95,20 @@ def hops(spark, sf):
     return nation_routes(spark, sf)[2].withColumn("paths", F.col("paths").cast("long"))
 
 
+# From each nation to the nation that has its region's number.
+ASKED = "SELECT CAST(n_nationkey AS BIGINT) AS source, CAST(n_regionkey AS BIGINT) AS target FROM nation"
+
+
+@query("g3_pair_routes", f"""WITH RECURSIVE {NATIONS}, best AS ({LAST}),
+    asked AS ({ASKED}), path(source, target, step, node) AS (SELECT source, target, CAST(1 AS BIGINT), target FROM asked WHERE source <> target
+      UNION ALL SELECT path.source, target, step + 1, best.pred FROM path JOIN best ON best.source = path.source AND best.node = path.node WHERE best.pred <> path.source)
+    SELECT path.source, target, dist, step, path.node FROM path JOIN d ON d.source = path.source AND d.node = target""")
+def pair_routes(spark, sf):
+    asked = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("source"), F.col("n_regionkey").cast("long").alias("target"))
+    metric, path, _ = G.pair_routes(nation_edges(spark, sf), asked)
+    return metric.join(path, ["source", "target"]).select("source", "target", "dist", "step", "node")
+
+
 def sightings(spark, sf):
     e, u = F.col("event_id"), F.col("user_id")
     return table(spark, sf, "events").select("ts", "event_id", (u % 8).alias("src_dpid"), (e % 16).alias("src_port"),

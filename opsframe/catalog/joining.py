@@ -63,6 +63,18 @@ def choices(spark, sf):
     return joins.related_choices(table(spark, sf, "customer"), "c_custkey", "c_name", True, "#00000", 2)
 
 
+CHOSEN = "SELECT c_custkey, c_name FROM customer WHERE c_name ILIKE '%#00000%'"
+
+
+@query("j6_choices_page", f"""WITH c AS ({CHOSEN}), n AS (SELECT 2 - 1 AS prev_page, CASE WHEN ceil(count(*) / 15.0) > 2 THEN 3 ELSE 0 END AS next_page FROM c)
+    SELECT r.*, CAST(prev_page AS BIGINT) AS prev_page, CAST(next_page AS BIGINT) AS next_page FROM n, (SELECT 0 AS rank, '__None' AS id, 'None' AS repr UNION ALL SELECT * FROM (
+    SELECT 1, CAST(c_custkey AS VARCHAR), c_name FROM c ORDER BY c_name, c_custkey LIMIT 15 OFFSET 15)) r""")
+def choices_page(spark, sf):
+    customer = table(spark, sf, "customer")
+    around = joins.choices_around(customer, "c_name", "#00000", 2)
+    return joins.related_choices(customer, "c_custkey", "c_name", True, "#00000", 2).join(F.broadcast(around))
+
+
 TOPOLOGY = """switch AS (SELECT 'sw' || n_nationkey AS dpid FROM nation),
     port AS (SELECT 'sw' || s_nationkey AS dpid, 'sw' || s_nationkey || '/' || s_suppkey AS port_id, s_suppkey AS number,
              'eth' || s_suppkey AS "desc" FROM supplier),

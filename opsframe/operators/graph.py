@@ -84,6 +84,74 @@ def with_unreachable(paths: DataFrame, nodes: DataFrame, source) -> DataFrame:
     return every.join(mine, "node", "left").fillna(UNREACHABLE, ["dist"]).withColumn("source", F.lit(source))
 
 
+PAIR = ["source", "target"]
+
+
+def meetings(links: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Search from both ends of each (source, target) pair until the two sides have met for good.
+
+    Gives best, (source, target, dist) of the pairs that are joined, and labels, (source, target, side, node, dist): how far
+    a node is from the source (side 0) or to the target (side 1), exact for all nodes of shortest paths in that side's half.
+
+    Each round moves both sides' improved labels one edge on. Once a pair has met at a distance, labels beyond half of it
+    aren't moved: of a shortest path, the last node within half the distance from the source and all nodes behind the next
+    one lie within it, so both sides reach that next node. So a pair costs two searches of half the distance.
+    """
+    ends = pairs.select(*PAIR).distinct()
+    step = links.select(F.lit(0).alias("side"), F.col("src").alias("node"), F.col("dst").alias("_to"), "weight").unionByName(
+        links.select(F.lit(1).alias("side"), F.col("dst").alias("node"), F.col("src").alias("_to"), "weight"))
+    step = cut(step)
+    frontier = cut(ends.select(*PAIR, F.lit(0).alias("side"), F.col("source").alias("node"), F.lit(0).cast("long").alias("dist")).unionByName(
+        ends.select(*PAIR, F.lit(1).alias("side"), F.col("target").alias("node"), F.lit(0).cast("long").alias("dist"))))
+    layers = [frontier]
+
+    def labels() -> DataFrame:
+        return reduce(DataFrame.unionByName, layers).groupBy(*PAIR, "side", "node").agg(F.min("dist").alias("dist"))
+
+    while True:
+        sides = labels().groupBy(*PAIR, "node").agg(*[F.min(F.when(F.col("side") == i, F.col("dist"))).alias(f"d{i}") for i in (0, 1)])
+        best = cut(sides.groupBy(*PAIR).agg(F.min(F.col("d0") + F.col("d1")).alias("_best")).filter("_best IS NOT NULL"))
+        within = frontier.join(best, PAIR, "left").filter(F.col("_best").isNull() | (2 * F.col("dist") <= F.col("_best")))
+        reach = within.drop("_best").join(step, ["side", "node"]).groupBy(*PAIR, "side", F.col("_to").alias("node")).agg(
+            F.min(F.col("dist") + F.col("weight")).alias("dist"))
+        known = labels().withColumnRenamed("dist", "_old")
+        better = reach.join(known, [*PAIR, "side", "node"], "left").filter(F.col("_old").isNull() | (F.col("dist") < F.col("_old")))
+        frontier = cut(better.select(*PAIR, "side", "node", "dist"))
+        if frontier.isEmpty():
+            return best.withColumnRenamed("_best", "dist"), cut(labels())
+        layers.append(frontier)
+        if len(layers) > LAYERS:
+            layers = [cut(labels())]
+
+
+def pair_routes(edges: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As `routes`, by a search from both ends of each pair: nodes that no shortest path comes near aren't visited."""
+    links = simple_edges(edges)
+    metric, labels = meetings(links, pairs)
+    forth = labels.filter("side = 0").select(*PAIR, "node", F.col("dist").alias("d0"))
+    back = labels.filter("side = 1").select(*PAIR, "node", F.col("dist").alias("d1"))
+    total = metric.select(*PAIR, F.col("dist").alias("_best"))
+    met = forth.join(back, [*PAIR, "node"]).join(total, PAIR).filter(F.col("d0") + F.col("d1") == F.col("_best"))
+    on = cut(met.select(*PAIR, "node", F.col("d0").alias("dist")))
+    found = [on]
+    # from the nodes where the sides met, along each side's labels to its end
+    half = {"src": (forth.withColumnRenamed("d0", "_d"), "dst", -1),
+            "dst": (back.join(total, PAIR).select(*PAIR, "node", (F.col("_best") - F.col("d1")).alias("_d")), "src", 1)}
+    for end, (near, start, sign) in half.items():
+        walk = on
+        while True:
+            steps = walk.join(links, F.col("node") == F.col(start)).select(*PAIR, F.col(end).alias("node"), (F.col("dist") + sign * F.col("weight")).alias("dist"))
+            walk = cut(steps.join(near, [*PAIR, "node"]).filter("dist = _d").select(*PAIR, "node", "dist").distinct())
+            if walk.isEmpty():
+                break
+            found.append(walk)
+    nodes = cut(reduce(DataFrame.unionByName, found).distinct())
+    one = nodes.select(*PAIR, F.col("node").alias("pred"), F.col("dist").alias("pred_dist")).join(links, F.col("pred") == F.col("src"))
+    preds = one.select(*PAIR, F.col("dst").alias("node"), "pred", "pred_dist", (F.col("pred_dist") + F.col("weight")).alias("dist")).join(
+        nodes, [*PAIR, "node", "dist"]).select(*PAIR, "node", "pred", "pred_dist")
+    return _walk_back(metric, preds, PAIR)
+
+
 def routes(edges: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """For (source, target) pairs: metric rows, one path, and the hops of all equal-cost paths.
 
@@ -94,10 +162,14 @@ def routes(edges: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, Da
     pairs = pairs.select("source", "target").distinct()
     links = simple_edges(edges)
     dist = _relax(links, pairs.select("source"))
-    preds = _predecessors(links, dist)
-    last = preds.groupBy("source", "node").agg(F.max_by("pred", F.struct("pred_dist", "pred")).alias("_last"))
-    preds = cut(preds.join(last, ["source", "node"]).select("source", "node", "pred", (F.col("pred") == F.col("_last")).alias("last")))
     metric = cut(pairs.join(dist.select("source", F.col("node").alias("target"), "dist"), ["source", "target"]))
+    return _walk_back(metric, _predecessors(links, dist), ["source"])
+
+
+def _walk_back(metric: DataFrame, preds: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """metric, path and hops of `routes` from all predecessors (`by`, node, pred, pred_dist) on shortest paths."""
+    last = preds.groupBy(*by, "node").agg(F.max_by("pred", F.struct("pred_dist", "pred")).alias("_last"))
+    preds = cut(preds.join(last, [*by, "node"]).select(*by, "node", "pred", (F.col("pred") == F.col("_last")).alias("last")))
 
     # all walks of a pair advance together, one hop per round; `main` marks the single path among them
     walk = metric.filter("source <> target").select("source", "target", F.col("target").alias("node"),
@@ -105,7 +177,7 @@ def routes(edges: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, Da
     hops, step = [], 0
     while True:
         step += 1
-        hop = walk.join(preds, ["source", "node"]).select("source", "target", "node", "pred", "paths",
+        hop = walk.join(preds, [*by, "node"]).select("source", "target", "node", "pred", "paths",
                                                           (F.col("main") & F.col("last")).alias("main"), F.lit(step).cast("long").alias("step"))
         hops.append(cut(hop))
         if hops[-1].isEmpty():

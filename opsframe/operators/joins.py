@@ -12,9 +12,21 @@ from opsframe.plans.model import SEP, Model, join_path_columns
 from opsframe.plans.ordered import Timeline
 
 
+def _pairings(df: DataFrame) -> int:
+    """The joins of a plan that compare all rows of two sides."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    return plan.count("CartesianProduct") + plan.count("BroadcastNestedLoopJoin")
+
+
 def comma_join(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
-    """FROM a, b WHERE condition; an equality in it becomes an equi-join."""
-    return left.join(right).filter(condition)
+    """FROM a, b WHERE condition, which must hold an equality of the two: it becomes an equi-join.
+
+    Without one, each row would meet all rows of the other table; that is refused.
+    """
+    joined = left.join(right).filter(condition)
+    if _pairings(joined) > _pairings(left) + _pairings(right):
+        raise ValueError("the condition has no equality between the two tables")
+    return joined
 
 
 def embed(model: Model, relations: list[str], how: str = "left") -> DataFrame:
@@ -72,6 +84,14 @@ def related_choices(related: DataFrame, key: str, label: str, nullable: bool, te
     return rows.orderBy("rank", "repr", "id")
 
 
+def choices_around(related: DataFrame, label: str, text: str | None = None, page_no: int = 1, size: int = 15) -> DataFrame:
+    """One row: prev_page and next_page of a page of `related_choices`, 0 where there is none."""
+    found = related.filter(F.col(label).ilike(f"%{text}%")) if text else related
+    now = max(page_no, 1)
+    pages = F.ceil(F.count(F.lit(1)) / size)
+    return found.agg(F.lit(now - 1).cast("long").alias("prev_page"), F.when(pages > now, now + 1).otherwise(0).cast("long").alias("next_page"))
+
+
 # --- topology ------------------------------------------------------------------------------------
 
 def switch_ports(switches: DataFrame, ports: DataFrame) -> DataFrame:
@@ -121,10 +141,15 @@ def int_to_ip(number: Column) -> Column:
 def segment_of(addresses: DataFrame, ip: str, segments: DataFrame, network: str, mask: str) -> DataFrame:
     """Assign each address to the segment that covers it; the longest mask wins, null when none does.
 
-    There are at most 33 different masks. Each distinct address is looked up once per mask in use by
-    an equi-join on (mask, address AND mask), so no range join and no pairs of addresses arise.
+    A mask must be ones followed by zeros, so there are at most 33 different ones; any other is an error. Each distinct
+    address is looked up once per mask in use by an equi-join on (mask, address AND mask), so no range join and no pairs
+    of addresses arise.
     """
-    nets = segments.withColumns({"_m": ip_to_int(F.col(mask)), "_net": ip_to_int(F.col(network))})
+    number = ip_to_int(F.col(mask))
+    hosts = F.lit(0xFFFFFFFF) - number
+    whole = number.isNull() | (hosts.bitwiseAND(hosts + 1) == 0)
+    checked = F.when(whole, number).otherwise(F.raise_error(F.concat(F.lit("not a contiguous mask: "), F.col(mask))).cast("long"))
+    nets = segments.withColumns({"_m": checked, "_net": ip_to_int(F.col(network))})
     nets = nets.withColumn("_net", F.col("_net").bitwiseAND(F.col("_m")))
     masks = nets.agg(F.sort_array(F.collect_set("_m")).alias("_masks"))
     values = addresses.select(F.col(ip).alias("_ip")).distinct().withColumn("_a", ip_to_int(F.col("_ip")))
