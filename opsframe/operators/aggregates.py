@@ -161,35 +161,63 @@ def play_summary(runs: DataFrame) -> DataFrame:
 
 # --- response times ------------------------------------------------------------------------------
 
+SKETCH = 1_000  # accuracy of the percentile sketch: its rank is off by a SKETCH-th of the rows at most
+
+
+def _brackets(df: DataFrame, interval: list[str], value: str, percents) -> DataFrame:
+    """(interval, _all, _brackets): the rows of each interval, and for each wanted rank a range of values that holds it.
+
+    The sketch's ends lie three errors below and above the rank, so the true value lies between them. Where that is less
+    than three rows, the only range is that of all values.
+    """
+    wanted = sorted({0.5, *(p / 100 for p in percents)})
+    ends = [min(1.0, max(0.0, w + side * 3 / SKETCH)) for w in wanted for side in (-1, 1)]
+    found = df.groupBy(*interval).agg(F.count(F.lit(1)).alias("_all"), F.min(value).alias("_lo"), F.max(value).alias("_hi"),
+                                      F.percentile_approx(value, ends, SKETCH).alias("_p"))
+    few = F.array(F.struct(F.col("_lo").alias("lo"), F.col("_hi").alias("hi")))
+    some = F.array(*[F.struct(F.get("_p", F.lit(2 * i)).alias("lo"), F.get("_p", F.lit(2 * i + 1)).alias("hi")) for i in range(len(wanted))])
+    return found.select(*interval, "_all", F.when(F.col("_all") < SKETCH, few).otherwise(some).alias("_brackets"))
+
+
 def response_times(df: DataFrame, interval: list[str], value: str, percents=(95, 99),
                    rows_per_task: int | None = None) -> DataFrame:
     """Per interval: count, max, min, avg, med, std, and max/avg/std of the fastest p percent.
 
-    `value` holds whole numbers (microseconds). Equal values are counted first, then a running count
-    over the values of an interval finds how many of each belong to the fastest p percent and to the
-    middle. Only counts are shuffled, and a hot interval is cut by value.
+    `value` holds whole numbers (microseconds). A first pass brackets the ranks of the percents and of the middle by a
+    mergeable sketch. The second counts equal values inside the brackets and adds up what lies between brackets in one row
+    each; a running count over these rows finds how many of each belong to the fastest p percent and to the middle. So the
+    shuffle holds a few thousandths of the rows, however many values differ, and a hot interval is cut by value. Null
+    values don't count.
     """
-    counted = materialised(df.groupBy(*interval, value).agg(F.count(F.lit(1)).alias("_n")))
-    line = Timeline(counted, interval, [value], rows_per_task).scan(running={"_upto": F.col("_n")}).frame
-    totals = counted.groupBy(*interval).agg(F.sum("_n").alias("_all"))
-    rows = join_null_safe(line, totals, interval, "inner").withColumn("_before", F.col("_upto") - F.col("_n"))
-
+    known = df.filter(F.col(value).isNotNull())
+    totals = materialised(_brackets(known, interval, value, percents))
     v = F.col(value).cast("decimal(19,0)")
+    inside = F.exists("_brackets", lambda x: (F.col(value) >= x["lo"]) & (F.col(value) <= x["hi"]))
+    gap = F.size(F.filter("_brackets", lambda x: x["hi"] < F.col(value)))
+    placed = join_null_safe(known.select(*interval, value), totals.drop("_all"), interval, "inner").withColumns(
+        {"_gap": F.when(~inside, gap), "_value": F.when(inside, F.col(value))})
+    counted = materialised(placed.groupBy(*interval, "_gap", "_value").agg(
+        F.count(F.lit(1)).alias("_n"), F.min(value).alias("_from"), F.max(value).alias("_to"), F.sum(v).alias("_sum"),
+        F.sum((v * v).cast("decimal(30,0)")).alias("_square")))
+    line = Timeline(counted, interval, ["_from"], rows_per_task).scan(running={"_upto": F.col("_n")}).frame
+    rows = join_null_safe(line, totals.drop("_brackets"), interval, "inner").withColumn("_before", F.col("_upto") - F.col("_n"))
 
     def share(cutoff: Column) -> Column:
+        """How many of a row's values lie below a rank: of a row between brackets all or none."""
         return F.greatest(F.lit(0), F.least(F.col("_n"), cutoff - F.col("_before"))).cast("long")
 
     def moments(take: Column, tag: str) -> list[Column]:
-        return [F.sum(take).alias(f"_c{tag}"), F.sum(v * take).cast("double").alias(f"_s{tag}"),
-                F.sum((v * v).cast("decimal(30,0)") * take).cast("double").alias(f"_q{tag}"),
-                F.max(F.when(take > 0, F.col(value))).alias(f"max{tag}")]
+        whole, one = take == F.col("_n"), F.col("_value").cast("decimal(19,0)")
+        return [F.sum(take).alias(f"_c{tag}"), F.sum(F.when(whole, F.col("_sum")).otherwise(one * take)).cast("double").alias(f"_s{tag}"),
+                F.sum(F.when(whole, F.col("_square")).otherwise((one * one).cast("decimal(30,0)") * take)).cast("double").alias(f"_q{tag}"),
+                F.max(F.when(take > 0, F.col("_to"))).alias(f"max{tag}")]
 
     low = F.floor((F.col("_all") - 1) / 2)
     high = F.floor(F.col("_all") / 2)
-    mids = [F.max(F.when((F.col("_before") <= at) & (at < F.col("_upto")), F.col(value))) for at in (low, high)]
+    mids = [F.max(F.when((F.col("_before") <= at) & (at < F.col("_upto")), F.col("_value"))) for at in (low, high)]
     cut = {f"{p}": F.floor(F.col("_all") * p / 100) for p in percents}
     sums = [m for tag, at in cut.items() for m in moments(share(at), tag)]
-    agg = rows.groupBy(*interval).agg(*moments(F.col("_n"), ""), F.min(value).alias("min"),
+    agg = rows.groupBy(*interval).agg(*moments(F.col("_n"), ""), F.min("_from").alias("min"),
                                       ((mids[0] + mids[1]) / 2).alias("med"), *sums)
 
     def mean(tag: str) -> Column:

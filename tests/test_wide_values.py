@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from opsframe.catalog.streams import stream_of
@@ -47,3 +48,25 @@ def test_a_folder_table_streams(spark, tmp_path):
     stream_of(spark, str(tmp_path), "events").writeStream.format("parquet").option("checkpointLocation", mark).trigger(
         availableNow=True).start(out).awaitTermination()
     assert spark.read.parquet(out).count() == 10
+
+
+def test_response_times_of_many_values_are_selected_exactly(spark, monkeypatch):
+    import statistics
+
+    from opsframe.operators import aggregates as A
+
+    rows = spark.range(60_000).select((F.col("id") % 3).alias("k"), (F.pmod(F.xxhash64("id"), F.lit(10**9)) + F.when(F.col("id") % 7 == 0, 5).otherwise(0)).alias("us"))
+    rows = rows.unionByName(spark.range(30).select(F.lit(None).cast("long").alias("k"), (F.col("id") % 4).alias("us")))
+    rows = rows.unionByName(spark.range(20_000).select(F.lit(9).cast("long").alias("k"), F.when(F.col("id") % 5 != 0, F.lit(7)).otherwise(F.col("id")).alias("us")))
+    rows = rows.unionByName(spark.range(5).select(F.lit(9).cast("long").alias("k"), F.lit(None).cast("long").alias("us")))
+    sizes = []
+    real = A.materialised
+    monkeypatch.setattr(A, "materialised", lambda df: (kept := real(df), sizes.append(kept.count()))[0])
+    got = {r.k: r for r in A.response_times(rows, ["k"], "us").collect()}
+    assert sizes[1] < 60_000 * 0.05 + 4 + 20_000 * 0.2  # the values inside the brackets, not all that differ
+    for k, r in got.items():
+        v = sorted(x.us for x in rows.where(F.col("k").eqNullSafe(k) & F.col("us").isNotNull()).collect())
+        assert (r["count"], r.min, r.max, r.med) == (len(v), v[0], v[-1], statistics.median(v))
+        for tag, some in (("", v), ("95", v[:len(v) * 95 // 100]), ("99", v[:len(v) * 99 // 100])):
+            assert r[f"avg{tag}"] == pytest.approx(statistics.fmean(some)) and r[f"max{tag}"] == some[-1]
+            assert r[f"std{tag}"] == pytest.approx(statistics.pstdev(some), rel=1e-6)
