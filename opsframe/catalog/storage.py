@@ -8,7 +8,7 @@ from opsframe.catalog.base import Shop, query, table
 from opsframe.operators.aggregates import hosts_by_path
 from opsframe.plans.model import Model
 from opsframe.plans.session import scratch
-from opsframe.sources import inventory, logs, writes
+from opsframe.sources import documents, inventory, logs, writes
 from opsframe.sources.shards import ShardMap, delete_shard_rows, read_shard, replace_shard, update_shard_rows, write_sharded
 from opsframe.sources.tables import scan
 
@@ -92,6 +92,16 @@ def json_export(spark, sf):
     return inventory.export_json(Shop(spark, sf).orders, ["o_orderkey", "o_orderdate", "customer__c_name", "customer__nation__n_name"], ["o_orderkey"])
 
 
+@query("s7_json_array", """SELECT '{"o_orderkey":' || o_orderkey || ',"o_orderdate":"' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || '","c_name":"' || c_name || '"}' AS object
+    FROM orders JOIN customer ON o_custkey = c_custkey""")
+def json_array(spark, sf):
+    """The elements of one array that many tasks wrote under one commit."""
+    path = scratch(spark, "array")
+    rows = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_orderdate", "c_name")
+    documents.write_document(rows.orderBy("o_orderkey").select(inventory.json_of(rows)), path, documents.JsonArray)
+    return spark.read.text(path).where("value NOT IN ('[', ',', ']', '')").select(F.regexp_replace("value", ",$", "").alias("object"))
+
+
 def customer_copy(spark, sf):
     return writes.publish(table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey"), "customer")
 
@@ -201,6 +211,17 @@ def inventory_file(spark, sf):
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 
+@query("s15_inventory_document", """WITH h AS (SELECT DISTINCT r_name || '->' || n_name || '->' || c_mktsegment AS g, c_name FROM customer
+    JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+    SELECT '[' || g || ']' AS line FROM (SELECT DISTINCT g FROM h) UNION ALL SELECT c_name FROM h""")
+def inventory_document(spark, sf):
+    from opsframe.catalog.selection import assets
+    path = scratch(spark, "inventory")
+    groups = hosts_by_path(assets(spark, sf), ["r_name", "n_name", "c_mktsegment"], "c_name")
+    documents.write_document(inventory.inventory_lines(groups).select("line"), path, documents.OneText)
+    return spark.read.text(path).where("value <> ''").withColumnRenamed("value", "line")
+
+
 @query("s16_host_facts", """SELECT md5(CAST(c_custkey // 2 AS VARCHAR)) AS product_uuid, min_by(c_name, c_custkey) AS hostname, min_by(c_mktsegment, c_custkey) AS distribution,
     CAST(min_by(c_custkey % 8, c_custkey) AS INTEGER) AS processor_cores, min_by('{"address":"10.0.0.' || (c_custkey % 250) || '"}', c_custkey) AS ipv4,
     CAST(NULL AS VARCHAR) AS domain, TIMESTAMP '2024-02-01' AS last_update FROM customer GROUP BY c_custkey // 2""")
