@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsframe.catalog.base import Shop, query, table
 from opsframe.operators import paging
+from opsframe.operators.search import TrigramIndex
 from opsframe.plans import predicates as P
 from opsframe.plans.ordered import number_rows
 from opsframe.plans.model import field_tree, join_path_columns, select_lookups
+from opsframe.plans.session import scratch
 
 DAY = dt.date(1998, 8, 1)
 
@@ -161,6 +165,16 @@ def search_exact(spark, sf):
     return P.search(assets(spark, sf), "CUSTOMER#000000012", "c_name", ["c_mktsegment", "n_name", "r_name"])
 
 
+@query("p12_search_index", f"""SELECT 'Mach' AS text, * FROM ({ASSETS}) WHERE c_name ILIKE '%mach%' OR c_mktsegment ILIKE '%mach%' OR n_name ILIKE '%mach%' OR r_name ILIKE '%mach%'
+    UNION ALL SELECT 'customer#000000012', * FROM ({ASSETS}) WHERE c_name = 'Customer#000000012'
+    UNION ALL SELECT '0012', * FROM ({ASSETS}) WHERE c_name ILIKE '%0012%'""")
+def search_index(spark, sf):
+    """Three searches of one index."""
+    index = TrigramIndex.build(assets(spark, sf), scratch(spark, "trigrams"), "c_name", ["c_mktsegment", "n_name", "r_name"])
+    found = [index.search(t).select(F.lit(t).alias("text"), "*") for t in ("Mach", "customer#000000012", "0012")]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query("p13_host_patterns", """SELECT c_custkey, c_name FROM customer
     WHERE c_name = 'Customer#000000005' OR c_name LIKE '%7' OR c_name LIKE 'Customer#00000_1_9' OR c_name LIKE '%33'""")
 def host_patterns(spark, sf):
