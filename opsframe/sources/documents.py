@@ -3,8 +3,9 @@
 `df.write.format("json_array")` takes JSON texts, `df.write.format("one_text")` lines, in a single string column. Each task
 writes its part to a staging folder below the target. Only a commit, when all tasks have ended well, moves the parts to
 their places, in the order of the partitions; for an array it adds brackets and commas as small files of their own. So no
-row passes through the driver, and `cat folder/*` is the document. A failed job leaves no file. A task that runs twice
-has two staged parts, of which only the committed one is moved.
+row passes through the driver, and `cat folder/*` is the document. A failed job leaves no part of a document; a task that
+outlives it can leave a staged one, below a folder whose name begins with an underscore, which readers pass over. A task
+that runs twice has two staged parts, of which only the committed one is moved.
 
 The folder must be one that the driver and all executors see; it is reached through pyarrow's file systems.
 """
