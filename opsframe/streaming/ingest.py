@@ -20,7 +20,7 @@ from pyspark.sql.types import IntegerType, StructType
 from opsframe.plans.session import scratch
 from opsframe.sources.inventory import read_facts
 from opsframe.sources.writes import new_rows
-from opsframe.streaming.keyed import event_instant
+from opsframe.streaming.keyed import event_instant, state_settings
 
 
 def first_writers(stream: DataFrame, keys: list[str], order: list[str], horizon: str, late_by: str) -> DataFrame:
@@ -46,9 +46,10 @@ def ingest(first: DataFrame, store: str, keys: list[str], order: list[str], chec
         stored = read_store(spark, store, schema, before=number)
         new_rows(batch, stored, keys, order).write.mode("overwrite").parquet(f"{store}/batch={number}")
 
-    writer = first.writeStream.outputMode("append").foreachBatch(on_batch)
-    writer = writer.option("checkpointLocation", checkpoint or scratch(first.sparkSession, "ingest"))
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
+    with state_settings(first.sparkSession):
+        writer = first.writeStream.outputMode("append").foreachBatch(on_batch)
+        writer = writer.option("checkpointLocation", checkpoint or scratch(first.sparkSession, "ingest"))
+        return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def read_store(spark: SparkSession, store: str, schema: StructType, before: int | None = None) -> DataFrame:

@@ -18,10 +18,11 @@ Output goes to a folder per batch (`run_batches`), which a repeated batch overwr
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -29,6 +30,7 @@ from opsframe.plans.session import scratch, ship_package
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PARTITIONS = "spark.sql.shuffle.partitions"
 DAY = 86_400.0
 
 
@@ -383,6 +385,24 @@ def login_sessions(events: DataFrame, keys: list[str], order: list[str], closed:
 
 # --- running -------------------------------------------------------------------------------------
 
+@contextmanager
+def state_settings(spark: SparkSession):
+    """Settings for queries with state that start inside: RocksDB, and no more state partitions than cores, as each takes a
+    task, with keyed state a Python worker too, in every batch. A query keeps a copy of them."""
+    partitions = min(int(spark.conf.get(PARTITIONS)), max(1, spark.sparkContext.defaultParallelism))
+    before = {name: spark.conf.get(name, None) for name in (PROVIDER, PARTITIONS)}
+    spark.conf.set(PROVIDER, ROCKSDB)
+    spark.conf.set(PARTITIONS, str(partitions))
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def run_batches(result: DataFrame, out: str, checkpoint: str | None = None, trigger: dict | None = None):
     """Start a query whose output of each batch goes to a folder of its own below `out`; its state is in RocksDB."""
     spark = result.sparkSession
@@ -390,17 +410,10 @@ def run_batches(result: DataFrame, out: str, checkpoint: str | None = None, trig
     def on_batch(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
-    try:
+    with state_settings(spark):
         writer = result.writeStream.outputMode("append").foreachBatch(on_batch)
         writer = writer.option("checkpointLocation", checkpoint or scratch(spark, "stream"))
         return writer.trigger(**(trigger or {"availableNow": True})).start()
-    finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
 
 
 def behind_watermark(query) -> int:

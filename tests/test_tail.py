@@ -43,7 +43,7 @@ def test_appended_lines_come_once_and_half_lines_wait(spark, tmp_path):
     run.write("web1.log", "Äé\n")
     assert run() == ["", "half", "one", "three", "two", "Äé"]
     run.write("app.log", "ur\n")
-    assert run()[2:3] == ["half"] and "four" in run() and len(run()) == 7
+    assert run() == ["", "four", "half", "one", "three", "two", "Äé"]
 
 
 def test_rotated_cut_and_removed_files(spark, tmp_path):
@@ -70,7 +70,7 @@ def test_rotated_cut_and_removed_files(spark, tmp_path):
 def test_parts_of_any_size_give_the_same_lines(spark, tmp_path):
     r = random.Random(1)
     lines = ["x" * r.choice([0, 1, 5, 40]) + str(i) for i in range(300)]
-    for size in (7, 64, 1000):
+    for size in (7, 1000):
         folder = tmp_path / str(size)
         folder.mkdir()
         run = Run(spark, folder, partBytes=size)
