@@ -7,8 +7,10 @@ to its weight, in the order of time, and stops once its next arrival is later th
 two documents agree on estimate their probability Jaccard. Registers in bands file documents in buckets.
 
 A document is verified against the least member of all its buckets, and if they aren't alike against the least member of
-each (exact probability Jaccard of the shingles, 0.8 or more), and components are formed. Where documents that share buckets, directly or through others, still lie in different components,
-the pairs of documents of different components are verified in blocks, within tasks, so no link that the bands show is lost.
+each (exact probability Jaccard of the shingles, 0.8 or more), and components are formed. Where documents of one bucket
+still lie in different components, the pairs that share a bucket are verified in blocks, within tasks, so no link that the
+bands show is lost. Documents that share no rare shingle with another component can't be alike to it and stay out of this
+(`in_play`): pages that have a template in common but a fifth of their own are not compared.
 
 Documents without words are copies of each other if their texts are equal. Rows that repeat a document are copies.
 """
@@ -32,6 +34,7 @@ LEAST = 0.8
 BAND_ROWS, BANDS = 6, 28
 REGISTERS = BAND_ROWS * BANDS
 SIDE = 256  # documents on each side of a block
+SLOTS = 20  # bits of a slot in the table of how often shingles occur: 2 MB, whatever the input's size
 
 
 NODE = ["_id", *KEY]
@@ -193,56 +196,130 @@ def verified(edges: DataFrame, bag: DataFrame) -> DataFrame:
     return both.mapInArrow(run, edges.select("a", "b").schema)
 
 
-def _between(groups: DataFrame, bag: DataFrame) -> DataFrame:
-    """Links (a, b) between components (`root`) of one group (`coarse`), for (node, coarse, root).
+def _often(bags_of: DataFrame) -> bytes:
+    """How many documents hold a shingle, by the leading SLOTS bits of its hash, up to 65,535."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = [np.unique(np.frombuffer(x.as_py(), np.uint64)) >> U64(64 - SLOTS) for x in batch.column(0)]
+            slot, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *slots]).astype(np.int32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n.astype(np.int64))], ["slot", "n"])
+
+    counts = bags_of.select("bag").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    found = counts.select("slot", F.least("n", F.lit(65535)).cast("int").alias("n")).toArrow()
+    out = np.zeros(1 << SLOTS, np.uint16)
+    out[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return out.tobytes()
+
+
+def rare(bag: bytes, often: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a document, as many as leave less than LEAST of its weight to the others.
 
-    The documents outside a group's largest component meet all of the group, in blocks of SIDE by SIDE documents.
+    Two documents that are alike have a weight of LEAST or more in common, each of its own whole, as no shingle's share of
+    the probability Jaccard exceeds its part of either document. So the first of their common shingles, in the same order
+    for all documents, is among the rarest of both.
     """
+    element, n = weights(bag)
+    order = np.lexsort((element, often[(element >> U64(64 - SLOTS)).astype(np.int64)]))
+    element, n = element[order], n[order]
+    after = np.cumsum(n[::-1])[::-1] / n.sum()  # the weight from this shingle on
+    return element[after >= LEAST - 1e-9]
+
+
+def in_play(opened: DataFrame) -> DataFrame:
+    """(at) of the documents (at, coarse, root, bag) that have a rare shingle in common with another root of their group."""
+    shared = opened.sparkSession.sparkContext.broadcast(_often(opened))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = np.frombuffer(shared.value, np.uint16)
+        for batch in batches:
+            found = [rare(x.as_py(), often) for x in batch.column(3)]
+            n = np.array([len(x) for x in found], np.int64)
+            values = np.concatenate([np.zeros(0, np.uint64), *found])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists(signed(values), n)], ["at", "of", "root", "rare"])
+
+    rows = opened.select("at", F.xxhash64("coarse").alias("of"), F.xxhash64("root").alias("root"), "bag")
+    rows = rows.mapInArrow(run, "at long, of long, root long, rare array<long>").select("at", "of", "root", F.explode("rare").alias("rare"))
+    rows = saved(rows.select("at", "root", F.xxhash64("of", "rare").alias("rare")), "rare")
+    both = rows.groupBy("rare").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("rare")
+    return saved(rows.join(both, "rare", "left_semi").select("at").distinct(), "play")
+
+
+def _opened(groups: DataFrame, every: DataFrame, bag: DataFrame) -> DataFrame:
+    """(at, node, coarse, root, bands, bag) of the documents in buckets that hold several roots."""
+    several = groups.groupBy("coarse").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
     # a table, so that Spark can split the join where a group is hot
-    sizes = saved(groups.groupBy("coarse", "root").agg(F.count("*").alias("n")).groupBy("coarse").agg(
+    mixed = saved(groups.join(saved(several.select("coarse"), "several"), "coarse", "left_semi"), "mixed")
+    held = saved(every.select(_node().alias("node"), "bands").join(mixed, "node").dropDuplicates(["node"]), "held")
+    buckets = held.select("node", F.xxhash64("root").alias("root"), F.explode("bands").alias("bucket"))
+    both = buckets.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
+    nodes = saved(buckets.join(both, "bucket", "left_semi").select("node").distinct(), "open")
+    held = held.join(nodes, "node", "left_semi").join(bag.select(_node().alias("node"), "bag"), "node")
+    return saved(held.select(F.xxhash64("node").alias("at"), "node", "coarse", "root", "bands", "bag"), "opened")
+
+
+def _between(groups: DataFrame, every: DataFrame, bag: DataFrame) -> DataFrame:
+    """Links (a, b) between components (`root`) of one group (`coarse`), for (node, coarse, root).
+
+    Of the documents in play, those outside a group's largest component meet all of the group, in blocks of SIDE by SIDE
+    documents, where pairs that share a bucket are verified.
+    """
+    opened = _opened(groups, every, bag)
+    held = opened.join(in_play(opened), "at", "left_semi")
+    sizes = saved(held.groupBy("coarse", "root").agg(F.count("*").alias("n")).groupBy("coarse").agg(
         F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("largest"), F.count("*").alias("roots")).where("roots > 1"), "sizes")
-    held = groups.join(sizes.select("coarse", "n", F.col("largest.root").alias("main"),
-                                    (F.col("n") - F.col("largest.n")).alias("out")), "coarse")
-    place = F.xxhash64("node")
+    held = held.join(sizes.select("coarse", "n", F.col("largest.root").alias("main"),
+                                  (F.col("n") - F.col("largest.n")).alias("out")), "coarse")
     down, across = F.ceil(F.col("out") / SIDE).cast("int"), F.ceil(F.col("n") / SIDE).cast("int")
-    held = held.withColumns({"i": F.pmod(place, down).cast("int"), "j": F.pmod(place, across).cast("int"), "down": down, "across": across})
-    held = held.join(bag.select(_node().alias("node"), "bag"), "node")
-    left = held.where("root <> main").select("coarse", "i", F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("j"), "node", "root", "bag")
-    right = held.select("coarse", F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("i"), "j", "node", "root", "bag")
-
-    def links(a: pa.Table, b: pa.Table) -> pa.Table:
-        x, y = (t.select(["node", "root", "bag"]).to_pylist() for t in (a, b))
-        for r in x + y:
+    held = held.withColumns({"i": F.pmod("at", down).cast("int"), "j": F.pmod("at", across).cast("int"), "down": down, "across": across})
+    keys, rest = ["coarse", "i", "j"], ["node", "root", "bands", "bag"]
+    left = held.where("root <> main").select("coarse", "i", F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("j"), *rest)
+    right = held.select("coarse", F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("i"), "j", *rest)
+    kind = groups.schema["node"].dataType.simpleString()
+    left, right = left.toDF(*keys, *rest), right.select(*keys, *rest).toDF(*keys, *rest)  # names of their own for Spark
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(block_links, f"a {kind}, b {kind}")
+
+
+def block_links(a: pa.Table, b: pa.Table) -> pa.Table:
+    """Links (a, b) between rows (node, root, bands, bag) of two tables whose roots differ and that share a bucket."""
+    x, y = (t.select(["node", "root", "bands", "bag"]).to_pylist() for t in (a, b))
+    for r in x + y:
+        r["root"] = tuple(r["root"].values())
+    left, right = (np.array([r["bands"] for r in rows], np.int64).reshape(-1, BANDS) for rows in (x, y))
+    meet = np.zeros((len(x), len(y)), bool)
+    for k in range(BANDS):
+        meet |= left[:, k, None] == right[None, :, k]
+    out, joined = [], {}
+
+    def top(r):
+        while r in joined:
+            r = joined[r]
+        return r
+
+    def ready(r):
+        if "set" not in r:
             r["weights"] = weights(r["bag"])
             r["set"] = frozenset(r["weights"][0].tolist())
             r["plain"] = r["weights"][1].max() == 1
-            r["root"], r["id"] = tuple(r["root"].values()), tuple(r["node"].values())
-        out, joined = [], {}
-
-        def top(r):
-            while r in joined:
-                r = joined[r]
-            return r
-
-        def same(p, q):
-            if p["plain"] and q["plain"]:
-                both = len(p["set"] & q["set"])
-                return both >= LEAST * (len(p["set"]) + len(q["set"]) - both)
-            return bool(p["set"] & q["set"]) and alike(p["weights"], q["weights"])
-
-        for p in x:
-            for q in y:
-                one, two = top(p["root"]), top(q["root"])
-                if one != two and same(p, q):
-                    joined[max(one, two)] = min(one, two)
-                    out.append((p["node"], q["node"]))
-        node = a.schema.field("node").type
-        return pa.table({"a": pa.array([o[0] for o in out], node), "b": pa.array([o[1] for o in out], node)})
-
-    kind = groups.schema["node"].dataType.simpleString()
-    keys, rest = ["coarse", "i", "j"], ["node", "root", "bag"]
-    left, right = left.toDF(*keys, *rest), right.select(*keys, *rest).toDF(*keys, *rest)  # names of their own for Spark
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(links, f"a {kind}, b {kind}")
+        return r
+
+    def same(p, q):
+        if p["plain"] and q["plain"]:
+            few, many = sorted((len(p["set"]), len(q["set"])))
+            if few < LEAST * many:
+                return False
+            both = len(p["set"] & q["set"])
+            return both >= LEAST * (few + many - both)
+        return bool(p["set"] & q["set"]) and alike(p["weights"], q["weights"])
+
+    for i, j in np.argwhere(meet).tolist():
+        p, q = x[i], y[j]
+        one, two = top(p["root"]), top(q["root"])
+        if one != two and same(ready(p), ready(q)):
+            joined[max(one, two)] = min(one, two)
+            out.append((p["node"], q["node"]))
+    node = a.schema.field("node").type
+    return pa.table({"a": pa.array([o[0] for o in out], node), "b": pa.array([o[1] for o in out], node)})
 
 
 def classes(documents: DataFrame) -> DataFrame:
@@ -267,7 +344,7 @@ def classes(documents: DataFrame) -> DataFrame:
     fine = components(links)
     groups = saved(coarse.select("node", F.col("root").alias("coarse")).join(fine, "node", "left").select(
         "node", "coarse", F.coalesce("root", "node").alias("root")), "groups")
-    more = saved(_between(groups, bag), "links")
+    more = saved(_between(groups, every, bag), "links")
     roots = components(links.unionByName(more)) if not more.isEmpty() else fine
     of = every.select(*NODE, "h1", "h2").join(first, ["h1", "h2"]).join(roots, "node", "left")
     of = of.select(*NODE, F.coalesce("root", "node").alias("root")).distinct()
@@ -281,7 +358,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     document, is a class's own.
     """
     found = saved(classes(documents), "classes")
-    sizes = saved(found.groupBy("root").agg(F.count("*").alias("class_size")), "sizes")  # as in _between
+    sizes = saved(found.groupBy("root").agg(F.count("*").alias("class_size")), "sizes")  # a table, as in _opened
     return found.join(sizes, "root").select("doc_id", F.col("root._id").alias("class_id"), "class_size",
                                             (_node() == F.col("root")).alias("representative"),
                                             F.concat_ws("-", F.hex("root._key"), F.hex("root._more")).alias("class_key"))
