@@ -238,7 +238,7 @@ def link_takedowns(spark, sf):
     ends = [(u % 8).alias("src_switch"), (e % 16).alias("src_port"), ((u + 1) % 8).alias("dst_switch"), ((e + 5) % 16).alias("dst_port")]
     out = in_two_batches(spark, events, "ts", lambda s: T.link_takedowns(
         s.select("ts", *ends), port_events(s), ["switch", "port"], "ts", "1 hour", "10 minutes", "10 minutes"))
-    return K.read_batches(spark, out)
+    return K.read_batches(spark, out).distinct()  # a link is told for each end
 
 
 # Every fifth user is in the store before the stream starts. What a user wrote first is stored when an hour without a row of

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsframe.plans.ordered import Timeline
-from opsframe.plans.session import cut
-from opsframe.streaming.keyed import LINK_TIMEOUT, LOST_PROBES, event_instant
+from opsframe.plans.session import cut, ship_package
+from opsframe.streaming.keyed import LINK_TIMEOUT, LOST_PROBES, Takedowns, back_to, event_instant, packed, unpacked
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -159,33 +159,32 @@ def link_takedowns(links: DataFrame, events: DataFrame, port: list[str], time: s
 
     A link is a row of `links` (src_<port columns>, dst_<port columns>, time) seen at most `horizon` before the delete on
     one of its ends. An `add` of the port within `grace` after the delete cancels it, so it is told once the watermark
-    (`late_by` behind the newest row) has passed that time. Three joins on port and a range of time: Spark drops deletes,
-    adds and sightings from its state as the watermark passes their ranges, and each link is told once per delete.
+    (`late_by` behind the newest row of the slower input) has passed that time. Each port has its own state
+    (`keyed.Takedowns`), so a link whose two ends were deleted at one instant is told for each, in the same batch.
     """
-    def side(rows: DataFrame, prefix: str) -> DataFrame:
-        return rows.withColumn(f"_{prefix}_time", event_instant(rows, time)).withWatermark(f"_{prefix}_time", late_by)
-
-    def as_(prefix: str) -> list[Column]:
-        return [F.col(p).alias(f"_{prefix}_{p}") for p in port]
-
-    def same(left: str, right: str) -> Column:
-        return reduce(lambda a, b: a & b, [F.col(f"_{left}_{p}") == F.col(f"_{right}_{p}") for p in port])
-
-    def only(prefix: str, what: str) -> DataFrame:
-        """Events of one kind, under the watermark of all: with the time in it, Spark leaves the condition above the watermark."""
-        rows = side(events.select(*as_(prefix), time, F.col(kind).alias("_kind")), prefix)
-        return rows.filter(F.coalesce(F.when(F.col(f"_{prefix}_time").isNull(), ""), F.col("_kind")) == what).drop("_kind")
-
-    gone, back = only("gone", "delete"), only("back", "add").drop(time)
-    dead = gone.join(back, same("gone", "back") & (F.col("_back_time") > F.col("_gone_time"))
-                     & (F.col("_back_time") <= F.col("_gone_time") + F.expr(f"INTERVAL {grace}")), "left_outer")
-    dead = dead.filter("_back_time IS NULL").select(*[f"_gone_{p}" for p in port], time, "_gone_time")
+    ship_package(events.sparkSession)
+    key = [f"x_key{i}" for i in range(len(port))]
     link = [f"{end}_{p}" for end in ("src", "dst") for p in port]
-    each = F.array(*[F.struct(*[F.col(f"{end}_{p}").alias(f"_seen_{p}") for p in port]) for end in ("src", "dst")])
-    seen = side(links.select(*link, time, F.explode(each).alias("_end")), "seen").select(*link, "_seen_time", "_end.*")
-    down = dead.join(seen, same("gone", "seen") & (F.col("_seen_time") <= F.col("_gone_time"))
-                     & (F.col("_seen_time") >= F.col("_gone_time") - F.expr(f"INTERVAL {horizon}")))
-    return down.dropDuplicates([*link, "_gone_time"]).select(*link, time, F.lit("delete").alias("event"))
+
+    def side(rows: DataFrame, columns: list[Column]) -> DataFrame:
+        return rows.select(event_instant(rows, time).alias("x_time"), *columns).withWatermark("x_time", late_by)
+
+    told = side(events, [*[F.col(p).alias(k) for k, p in zip(key, port)], F.col(kind).alias("x_what"), F.lit("").alias("x_link")])
+    # with the time in it, Spark leaves the condition above the watermark, so that events of all kinds move it
+    told = told.filter(F.coalesce(F.when(F.col("x_time").isNull(), ""), F.col("x_what")).isin("delete", "add"))
+    each = F.array(*[F.struct(*[F.col(f"{end}_{p}").alias(k) for k, p in zip(key, port)]) for end in ("src", "dst")])
+    seen = side(links, [F.lit("seen").alias("x_what"), packed(link).alias("x_link"), each.alias("x_ends")]).withColumn("x_end", F.explode("x_ends"))
+    seen = seen.select("x_time", "x_end.*", "x_what", "x_link")
+    rows = told.unionByName(seen).filter(reduce(lambda a, b: a & b, [F.coalesce(F.when(F.col("x_time").isNull(), False), F.col(k).isNotNull()) for k in key]))
+    processor = Takedowns(micros(horizon), micros(grace))
+    found = rows.withColumn("x_at", F.unix_micros("x_time")).groupBy(*key).transformWithStateInPandas(processor, processor.out, "append", "EventTime")
+    found = found.withColumn("x_link", unpacked("x_link", links, link))
+    return found.select("x_link.*", back_to(F.col("x_us"), events, time).alias(time), F.lit("delete").alias("event"))
+
+
+def micros(interval: str) -> int:
+    """Microseconds of an interval such as `10 minutes`."""
+    return int(pd.Timedelta(interval) / pd.Timedelta(1, "us"))
 
 
 def port_states(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
