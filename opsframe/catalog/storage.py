@@ -222,6 +222,14 @@ def inventory_document(spark, sf):
     return spark.read.text(path).where("value <> ''").withColumnRenamed("value", "line")
 
 
+ROWS_PER_TASK = 100_000
+
+
+def spread(rows):
+    """Rows over tasks of ROWS_PER_TASK: one file may hold millions of keys, each of which becomes a long line of facts."""
+    return rows.repartition(1 + rows.count() // ROWS_PER_TASK)
+
+
 @query("s16_host_facts", """SELECT md5(CAST(c_custkey // 2 AS VARCHAR)) AS product_uuid, min_by(c_name, c_custkey) AS hostname, min_by(c_mktsegment, c_custkey) AS distribution,
     CAST(min_by(c_custkey % 8, c_custkey) AS INTEGER) AS processor_cores, min_by('{"address":"10.0.0.' || (c_custkey % 250) || '"}', c_custkey) AS ipv4,
     CAST(NULL AS VARCHAR) AS domain, TIMESTAMP '2024-02-01' AS last_update FROM customer GROUP BY c_custkey // 2""")
@@ -231,7 +239,7 @@ def host_facts(spark, sf):
     numbers = F.format_string(',"ansible_processor_cores":%d,"ansible_default_ipv4":{"address":"10.0.0.%d"},"ansible_product_uuid":"%s"}}',
                               key % 8, key % 250, F.md5(F.floor(key / 2).cast("string")))
     text = F.concat(F.col("c_name"), F.lit(' | success => {"ansible_facts":'), F.regexp_replace(F.to_json(facts), "}$", ""), numbers)
-    lines = table(spark, sf, "customer").select("c_custkey", text.alias("text"))
+    lines = spread(table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")).select("c_custkey", text.alias("text"))
     rows = inventory.read_facts(lines, "text", F.lit("2024-02-01").cast("timestamp_ntz"))
     path = scratch(spark, "facts")
     rows.limit(0).drop("c_custkey", "text").write.parquet(path)
@@ -259,7 +267,7 @@ def all_host_facts(spark, sf):
               "mounts": F.array(F.struct(F.concat(F.lit("/data"), key % 3).alias("mount")))}
     facts = F.struct(*[x.alias(f"ansible_{inventory.FACT_KEYS.get(n, n)}") for n, x in found.items()])
     text = F.concat(F.col("c_name"), F.lit(" | success => "), F.to_json(F.struct(facts.alias("ansible_facts"))))
-    lines = table(spark, sf, "customer").select("c_custkey", text.alias("text"))
+    lines = spread(table(spark, sf, "customer").select("c_custkey", "c_name")).select("c_custkey", text.alias("text"))
     rows = inventory.read_facts(lines, "text", F.lit("2024-02-01").cast("timestamp_ntz"))
     path = scratch(spark, "facts")
     rows.limit(0).drop("c_custkey", "text").write.parquet(path)
